@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6
 from .licences import op9
+from .ngram_join import op3
 from .packing import op5
 from .pii import op8
 from .quality import op2
@@ -11,7 +13,9 @@ from .token_ids import op1
 QUERIES = {
     "op1_token_ids": op1,
     "op2_quality": op2,
+    "op3_ngram_join": op3,
     "op5_best_fit_packing": op5,
+    "op6_decontamination": op6,
     "op8_pii": op8,
     "op9_licences": op9,
 }
