@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6
+from .langid import op4
 from .licences import op9
 from .ngram_join import op3
 from .packing import op5
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_token_ids": op1,
     "op2_quality": op2,
     "op3_ngram_join": op3,
+    "op4_language_id": op4,
     "op5_best_fit_packing": op5,
     "op6_decontamination": op6,
     "op8_pii": op8,
