@@ -1,9 +1,9 @@
 """N-gram Jaccard join with prefix trees.
 
 A document's set of word n-grams is sorted in one global order: frequent n-grams last, then long before short, then by
-hash. Documents with equal sets become one class. Two sets can only be similar enough if they share an n-gram among the
-first few of each (their prefixes), so classes are chained through equal prefix n-grams of similar set sizes; what is
-chained together forms a block, found as a connected component of the chains. Each block's sets go into a trie; every
+hash. Documents with equal sets become one class. Two sets can only be similar enough if they share a known number of
+n-grams among the first few of each (their prefixes), so classes are linked by counting shared prefix n-grams, or, for
+frequent ones, chained by set size; a connected component of these candidate links is a block. Each block's sets go into a trie; every
 set walks the trie of its block, shares the overlap counted along common branches, and leaves a subtree as soon as the
 lengths that remain can't reach the needed overlap, or all of the subtree is already in its component. Blocks beyond
 BLOCK_NGRAMS are dealt out as pairs of shards, which loses no pair. No pair list is ever built: links are emitted only
@@ -29,7 +29,7 @@ from .common import discard, shuffle_partitions, spill, table
 from .graph import components
 from .words import SPACED, chunks, mix, words
 
-HOT, ORDER_LAST = 64, 200_000
+HOT, ORDER_LAST = 32, 200_000
 BLOCK_NGRAMS = 4_000_000
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)], dtype=np.uint64)
 LATE = np.uint64(1 << 63)
@@ -69,25 +69,40 @@ def _number(code: np.ndarray, length: np.ndarray, last: np.ndarray) -> np.ndarra
     return v
 
 
+def extra(size):
+    """N-grams by which a prefix is longer than one shared n-gram would need: so many more are shared by similar sets."""
+    return np.maximum(1, size // 10)
+
+
 def prefix_length(size: int, num: int, den: int) -> int:
-    return size - -(-num * size // den) + 1
+    return min(size, size - -(-num * size // den) + int(extra(size)))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def frequent(docs: DataFrame, n: int, num: int, den: int) -> np.ndarray:
-    """The most frequent prefix n-grams of the whole table, at most ORDER_LAST; one partial row per n-gram and task."""
+def frequent(docs: DataFrame, n: int, num: int, den: int, rounds: int = 2) -> np.ndarray:
+    """The most frequent prefix n-grams of the whole table, at most ORDER_LAST; one partial row per n-gram and task.
+
+    A second round counts the prefixes that form once the first round's n-grams come last.
+    """
+    last = np.zeros(0, np.uint64)
+    for _ in range(rounds):
+        last = np.union1d(last, _frequent(docs, n, num, den, last))[:ORDER_LAST]
+    return last
 
+
+def _frequent(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> np.ndarray:
     def run(batches):
-        none, kept = np.zeros(0, np.uint64), []
+        kept = []
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in chunks(texts):
-                kept += [s[: prefix_length(len(s), num, den)] for s in ngram_sets(texts[i:j], n, none) if len(s)]
+                kept += [s[: prefix_length(len(s), num, den)] for s in ngram_sets(texts[i:j], n, last) if len(s)]
         if kept:
             v, c = np.unique(np.concatenate(kept), return_counts=True)
+            v, c = v[v < LATE], c[v < LATE]
             for i in range(0, len(v), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000])], ["v", "c"])
 
@@ -111,15 +126,10 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> D
     return _texts(docs).mapInArrow(run, "doc_id long, size long, digest binary, prefix binary")
 
 
-def chains(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between classes that are neighbours, by set size, among those that share a prefix n-gram.
-
-    Sorted by range, so that even an n-gram that all classes share is dealt over many tasks; the first and last entry of
-    each task tell whether a chain goes on in the next one.
-    """
-    spark = classes.sparkSession
+def _entries(classes: DataFrame) -> DataFrame:
+    """v, size, rep: one row per class and prefix n-gram."""
 
-    def entries(batches):
+    def run(batches):
         for b in batches:
             ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
             v = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
@@ -128,7 +138,66 @@ def chains(classes: DataFrame, num: int, den: int) -> DataFrame:
             for i in range(0, len(all_v), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (all_v, all_n, all_i)], ["v", "size", "rep"])
 
-    rows = classes.select("rep", "size", "prefix").mapInArrow(entries, "v long, size long, rep long")
+    return classes.select("rep", "size", "prefix").mapInArrow(run, "v long, size long, rep long")
+
+
+def candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) whose components hold every pair of classes that may be similar.
+
+    Two similar sets share at least the smaller of their extra() numbers of prefix n-grams. Where an n-gram is shared by
+    at most HOT classes its pairs of fitting sizes are counted, and those with enough n-grams in common are links. The
+    classes of a more frequent n-gram are chained by set size instead: each is linked to the next one.
+    """
+    spark = classes.sparkSession
+    parts = shuffle_partitions(spark)
+    rows = _entries(classes)
+
+    def pairs(batches):
+        held, left = [], None
+
+        def out(v, s, r):
+            edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
+            group = np.repeat(np.diff(edge), np.diff(edge))
+            for d in range(1, int(min(group.max(initial=0), HOT))):
+                at = np.flatnonzero((v[d:] == v[:-d]) & (group[d:] <= HOT) & (s[:-d] * den >= s[d:] * num) & (r[d:] != r[:-d]))
+                yield r[at], r[at + d], np.minimum(extra(s[at]), extra(s[at + d]))
+            at = np.flatnonzero((group[1:] > HOT) & (v[1:] == v[:-1]) & (s[:-1] * den >= s[1:] * num) & (r[1:] != r[:-1]))
+            yield r[at], r[at + 1], np.zeros(len(at), np.int64)
+
+        def flush():
+            a, b, need = (np.concatenate(x) for x in zip(*held))
+            key, at, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), need], axis=1), axis=0, return_index=True, return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(key[:, 2].copy()), pa.array(n)], ["a", "b", "need", "n"])
+
+        for b in batches:
+            v, s, r = (b.column(k).to_numpy() for k in range(3))
+            if left is not None:
+                v, s, r = (np.concatenate(x) for x in zip(left, (v, s, r)))
+            if not len(v):
+                continue
+            cut = int(np.searchsorted(v, v[-1]))  # the last n-gram may go on in the next batch
+            left = (v[cut:], s[cut:], r[cut:])
+            held += [x for x in out(v[:cut], s[:cut], r[:cut]) if len(x[0])]
+            if sum(len(x[0]) for x in held) > 2_000_000:
+                yield flush()
+        if left is not None:
+            held += [x for x in out(*left) if len(x[0])]
+        if held:
+            yield flush()
+
+    rare = rows.filter("v >= 0").repartition(parts, "v").sortWithinPartitions("v", "size", "rep")
+    shared = rare.mapInArrow(pairs, "a long, b long, need long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    return shared.filter("n >= need").select("a", "b").unionByName(chains(rows.filter("v < 0"), num, den))
+
+
+def chains(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between classes that are neighbours, by set size, among those that share a frequent prefix n-gram.
+
+    Sorted by range, so that even an n-gram that all classes share is dealt over many tasks; the first and last entry of
+    each task tell whether a chain goes on in the next one.
+    """
+    spark = rows.sparkSession
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "v", "size", "rep").sortWithinPartitions("v", "size", "rep")
 
     def run(batches):
@@ -285,7 +354,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     known = rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     least = known.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "prefix")).alias("r"))
     classes = spill(least.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.size").alias("size"), F.col("r.prefix").alias("prefix")), "classes")
-    blocks = components(chains(classes, num, den))
+    blocks = components(candidates(classes, num, den))
     members = spill(classes.select("rep", "size").join(blocks, F.col("rep") == F.col("node")).select("rep", "size", F.col("root").alias("block")), "members")
     links = spill(join_blocks(docs, members, n, num, den, last), "near")
     split = members.groupBy("block").agg(F.sum("size").alias("w")).filter(F.col("w") > BLOCK_NGRAMS).limit(1).count()
