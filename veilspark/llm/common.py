@@ -79,6 +79,9 @@ class Tokens:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.lead, self.cache = lead, {}
+        if lead:  # ids whose token starts with the blank: the first of each word
+            self.opens = np.zeros(1 << 16, dtype=bool)
+            self.opens[[i for w, i in self.tok.get_vocab().items() if w.startswith("\u0120")]] = True
         self.mixed = re.compile(r"\s[ ]|[ ]\s" if lead else r"[\x1c-\x1f\x85]")
 
     @classmethod
@@ -91,17 +94,22 @@ class Tokens:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words in lines of 500; the offsets say which ids belong to which word."""
+        """Encodes words in lines of 500; leading blanks or the offsets say which ids belong to which word."""
         cache = self.cache
         for i in range(0, len(words), 5000):
             lines = [words[j : j + 500] for j in range(i, min(i + 5000, len(words)), 500)]
             joined = [" " + " ".join(x) for x in lines]
-            for line, e in zip(lines, self.tok.encode_batch(joined, add_special_tokens=False)):
-                ids = np.array(e.ids, dtype="<u2").tobytes()
-                at = np.cumsum([0] + [len(w) + 1 for w in line])
-                last = np.array([b for _, b in e.offsets], dtype=np.int64)
-                cut = (np.searchsorted(last, at, side="right") * 2).tolist()
-                cut[0] = 0
+            encode = self.tok.encode_batch_fast if self.lead else self.tok.encode_batch
+            for line, e in zip(lines, encode(joined, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u2")
+                if self.lead:
+                    cut = (np.flatnonzero(self.opens[ids]) * 2).tolist() + [2 * len(ids)]
+                else:
+                    at = np.cumsum([0] + [len(w) + 1 for w in line])
+                    last = np.array([b for _, b in e.offsets], dtype=np.int64)
+                    cut = (np.searchsorted(last, at, side="right") * 2).tolist()
+                    cut[0] = 0
+                ids = ids.tobytes()
                 for k, w in enumerate(line):
                     cache[w] = ids[cut[k] : cut[k + 1]]
 
