@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_partitions, spill, table
+from .common import shuffle_partitions, spill, table
 from .graph import components
 from .words import SPACED, chunks, mix, words
 

@@ -9,6 +9,7 @@ from .ngram_join import op3
 from .packing import op5
 from .pii import op8
 from .quality import op2
+from .suffix_dedup import op7
 from .token_ids import op1
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_language_id": op4,
     "op5_best_fit_packing": op5,
     "op6_decontamination": op6,
+    "op7_suffix_dedup": op7,
     "op8_pii": op8,
     "op9_licences": op9,
 }
