@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op6
 from .langid import op4
 from .licences import op9
+from .media import op10
 from .ngram_join import op3
 from .packing import op5
 from .pii import op8
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_suffix_dedup": op7,
     "op8_pii": op8,
     "op9_licences": op9,
+    "op10_media_copies": op10,
 }
 
 ORACLE: dict[str, str] = {}
