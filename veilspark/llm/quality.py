@@ -31,11 +31,11 @@ def _hash(code: np.ndarray, salt: int) -> np.ndarray:
     return ((code + np.uint64(salt)) * MIX >> np.uint64(46)).astype(np.int64)  # 18 bits
 
 
-def shapes(text: str) -> list[int]:
+def shapes(text: str) -> np.ndarray:
     """Codes of word-shape n-grams: how words repeat, their case and their symbols."""
     words = text.split()
     if not words:
-        return []
+        return np.zeros(0, dtype=np.uint64)
     kind = []
     last = None
     for w in words:
