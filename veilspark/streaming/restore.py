@@ -1,7 +1,7 @@
 """Streaming restoration: deltas of a reply arrive in order per (stream_id, key); tokens may be split over deltas.
 
 State per stream is the text held back, never more than an unfinished token. For every key the emitted texts join to the
-restored text of the joined deltas.
+restored text of the joined deltas. A row with is_end flushes what is held and drops the state.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def restore_text(text: str, vault: dict, as_json: bool = False) -> str:
 def _step(key, frames, state):
     held, vault = ({}, {}) if not state.exists else (json.loads(state.get[0]), json.loads(state.get[1]))
     rows = []
-    got = pd.concat(list(frames)).sort_values("seq") if not state.hasTimedOut else pd.DataFrame(columns=["seq", "key", "delta", "vault", "is_end", "as_json"])
-    for r in got.itertuples():
+    ended = False
+    for r in pd.concat(list(frames)).sort_values("seq").itertuples():
         vault.update(json.loads(r.vault) if isinstance(r.vault, str) else {})
         if isinstance(r.delta, str):
             name = f"{int(bool(r.as_json))}{r.key}"
@@ -42,16 +42,14 @@ def _step(key, frames, state):
             rows.append((key[0], r.key, r.seq, restore_text(text[:cut], vault, bool(r.as_json))))
         if r.is_end:
             rows += [(key[0], k[1:], r.seq, restore_text(t, vault, k[0] == "1")) for k, t in sorted(held.items())]
-            held = {}
-    if state.hasTimedOut:
-        rows = [(key[0], k[1:], None, restore_text(t, vault, k[0] == "1")) for k, t in sorted(held.items())]
+            held, ended = {}, True
+    if ended:
         state.remove()
     else:
         state.update((json.dumps(held), json.dumps(vault)))
-        state.setTimeoutDuration(3_600_000)
     yield pd.DataFrame(rows, columns=["stream_id", "key", "seq", "text"])
 
 
 def restore_stream(deltas: DataFrame) -> DataFrame:
     """deltas: stream_id, seq, key, delta, vault (JSON map, usually on the first row), is_end, as_json. Works on streams and tables."""
-    return deltas.groupBy("stream_id").applyInPandasWithState(_step, OUT, STATE, "append", "ProcessingTimeTimeout")
+    return deltas.groupBy("stream_id").applyInPandasWithState(_step, OUT, STATE, "append", "NoTimeout")
