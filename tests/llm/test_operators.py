@@ -30,7 +30,7 @@ def rows():
     near = " ".join(words[:50] + ["changed"] + words[51:])
     texts = [
         None, "", " ", "one", "one two", base, base, near, base.upper(), f"{text(30)} {PASSAGE} {text(20)}", f"{text(25)} {PASSAGE}",
-        "ab " * 300, text(6000), "mail a.b@c-d.org +1 (555) 123-4567 10.0.0.255 card 4111-1111-1111-1111 sk-abcdefghijklmnopqrstuv",
+        "ab " * 300, text(6000), "mail a@b.c-d.org; +1 (555) 123-4567; 10.0.0.255 card 4111-1111-1111-1111 key sk-abcdefghijklmnopqrstuv",
         "Released under the MIT License. MIT license; General Public License", "😀 é ñ 日本語 text", "x" * 5000, "a@b.c_d@e.f 1.2.3.4.5 300.1.1.1",
     ]
     out = [(i, t) for i, t in enumerate(texts)]
