@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from veilspark.llm import decontaminate, langid, licences, media, ngram_join, packing, pii, quality, suffix_dedup, token_ids
+from veilspark.llm import decontaminate, graph, langid, licences, media, ngram_join, packing, pii, quality, suffix_dedup, token_ids
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, n_tokens long, spans string, start long, digest string, key string"
 rng = random.Random(3)
@@ -256,6 +256,36 @@ def test_media_copies(spark):
     assert media.copies(media.describe(d.limit(0), media.draw, "page_id", "html")).count() == 0
 
 
+def brute_components(images: dict) -> dict:
+    """Smallest reachable id, all pairs compared."""
+    at = {i: i for i in images}
+    ids = sorted(images)
+    linked = [(a, b) for a in ids for b in ids if a < b and media.consensus(images[a], images[b])]
+    for _ in ids:
+        for a, b in linked:
+            at[a] = at[b] = min(at[a], at[b])
+    return at
+
+
+@pytest.mark.parametrize("hot", [2, 5, 32])
+def test_media_large_buckets(spark, monkeypatch, hot):
+    """Common details, as in page headers, and groups of near copies: as if all pairs were compared."""
+    monkeypatch.setattr(media, "HOT", hot)
+    r = np.random.default_rng(3)
+    common = np.concatenate([np.arange(5)[:, None] * 40, np.full((5, 2), 3), r.integers(0, 1 << 32, (5, media.BANDS))], axis=1)
+    common[:, 2] = 0
+    images = {}
+    for group in range(6):
+        own = np.concatenate([r.integers(0, 900, (14, 2)), np.zeros((14, 1), int), r.integers(0, 1 << 32, (14, media.BANDS))], axis=1)
+        for k in range(6):
+            part = own[r.permutation(14)[: int(r.integers(2, 14))]]
+            t = np.concatenate([common[: int(r.integers(1, 3))] if group else common, part])
+            images[group * 10 + k] = zlib.compress(t.astype("<u4").tobytes())
+    d = spark.createDataFrame([(i, bytearray(p)) for i, p in images.items()], "rep long, points binary")
+    got = {i: i for i in images} | {x["node"]: x["root"] for x in graph.components(media.links(d)).collect()}
+    assert got == brute_components(images)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

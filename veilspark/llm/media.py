@@ -3,9 +3,8 @@
 Corners (Harris, at two scales, the strongest of each grid cell) are described by binary tests on a smoothed patch,
 turned to the patch's orientation. Equal images become one class. Descriptors meet in Hamming tables: each is cut into
 bands, and those with an equal band vote for their pair of images in a bin of (shift, scale); enough votes in one bin
-(geometric consensus) link two images, so crops and edits are found. In a bucket of more than HOT classes every class is
-compared with the bucket's smallest one instead of all others; pairs that only meet there and differ from it stay
-unlinked, while copies also meet in the buckets of their own details.
+(geometric consensus) link two images, so crops and edits are found. Large buckets, where common details meet, are
+searched without emitting all their pairs; see links().
 
 The tables here hold no pictures, so the query draws each page: its visible words in a micro font, a new line for each
 block, which is what a screenshot thumbnail would show.
@@ -22,7 +21,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, spill, table
@@ -130,32 +129,56 @@ def describe(rows: DataFrame, paint, key: str, column: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("id"), column).mapInArrow(run, "id long, n_keypoints long, digest binary, points binary")
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes with geometric consensus. classes: rep, points."""
+def _entries(points: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Table keys (band number, scale, band) and places (x, y in one number) of all bands of an image."""
+    t = np.frombuffer(zlib.decompress(points), "<u4").reshape(-1, 3 + BANDS).astype(np.int64)
+    key = np.concatenate([(k << 34) | (t[:, 2] << 32) | t[:, 3 + k] for k in range(BANDS)])
+    return key, np.tile(t[:, 0] << 32 | t[:, 1], BANDS)
 
-    def entries(batches):
-        for b in batches:
-            for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = np.frombuffer(zlib.decompress(p), "<u4").reshape(-1, 3 + BANDS).astype(np.int64)
-                key = np.concatenate([(k << 34) | (t[:, 2] << 32) | t[:, 3 + k] for k in range(BANDS)])
-                place = np.tile(t[:, 0] << 32 | t[:, 1], BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), i)), pa.array(place)], ["key", "rep", "place"])
 
-    rows = classes.mapInArrow(entries, "key long, rep long, place long")
-    ordered = rows.repartition(shuffle_partitions(classes.sparkSession), "key").sortWithinPartitions("key", "rep")
+def _bins(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The bin of the shift from place p to place q."""
+    dx = ((q >> 32) - (p >> 32)) // SHIFT
+    dy = ((q & 0xFFFFFFFF) - (p & 0xFFFFFFFF)) // SHIFT
+    return (dx + (1 << 20)) << 24 | (dy + (1 << 20))
+
+
+def consensus(a: bytes, b: bytes) -> bool:
+    """Whether VOTES details of each stand in the other at one shift; a detail counts once in a bin."""
+    (k, p), (m, q) = _entries(a), _entries(b)
+    order = np.argsort(m, kind="stable")
+    m, q = m[order], q[order]
+    lo, hi = np.searchsorted(m, k, side="left"), np.searchsorted(m, k, side="right")
+    n = hi - lo
+    own = np.repeat(np.arange(len(k)), n)
+    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    shift = _bins(p[own], q[other])
+    full = None
+    for detail in (own, other):
+        bins, votes = np.unique(np.unique(np.stack([shift, detail], axis=1), axis=0)[:, 0], return_counts=True)
+        full = bins[votes >= VOTES] if full is None else np.intersect1d(full, bins[votes >= VOTES])
+    return len(full) > 0
+
+
+def _verify(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a < b) among the candidates that have geometric consensus."""
+    pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    x, y = (classes.select(F.col("rep").alias(k), F.col("points").alias(f"p{k}")) for k in "ab")
+
+    def run(batches):
+        for t in batches:
+            ok = [consensus(p, q) for p, q in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
+            yield t.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
+def _rare_votes(rare: DataFrame) -> DataFrame:
+    """a, b, n: the votes of the fullest bin of each pair in buckets of at most HOT entries."""
+    ordered = rare.repartition(shuffle_partitions(rare.sparkSession), "key").sortWithinPartitions("key", "rep")
 
     def vote(batches):
-        left, held, size = None, [], 0
-
-        def pairs(k, r, p):
-            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-            group = np.repeat(np.diff(edge), np.diff(edge))
-            first = np.repeat(edge[:-1], np.diff(edge))
-            for d in range(1, int(min(group.max(initial=0), HOT))):
-                at = np.flatnonzero((k[d:] == k[:-d]) & (group[d:] <= HOT))
-                yield at, at + d
-            at = np.flatnonzero(group > HOT)
-            yield first[at], at
+        left, held = None, []
 
         def flush():
             t = np.concatenate(held)
@@ -164,13 +187,11 @@ def links(classes: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy()), pa.array(u[:, 2].copy()), pa.array(n)], ["a", "b", "bin", "n"])
 
         def take(k, r, p):
-            for i, j in pairs(k, r, p):
-                ok = r[i] != r[j]
-                i, j = i[ok], j[ok]
-                dx = ((p[j] >> 32) - (p[i] >> 32)) // SHIFT
-                dy = ((p[j] & 0xFFFFFFFF) - (p[i] & 0xFFFFFFFF)) // SHIFT
-                if len(i):
-                    held.append(np.stack([r[i], r[j], (dx + (1 << 20)) << 24 | (dy + (1 << 20))], axis=1))
+            for d in range(1, HOT):
+                i = np.flatnonzero((k[d:] == k[:-d]) & (r[d:] != r[:-d]))
+                if not len(i) and not (k[d:] == k[:-d]).any():
+                    break
+                held.append(np.stack([r[i], r[i + d], _bins(p[i], p[i + d])], axis=1))
 
         for b in batches:
             k, r, p = (b.column(c).to_numpy() for c in range(3))
@@ -189,11 +210,50 @@ def links(classes: DataFrame) -> DataFrame:
             yield flush()
 
     votes = ordered.mapInArrow(vote, "a long, b long, bin long, n long").groupBy("a", "b", "bin").agg(F.sum("n").alias("n"))
-    return votes.filter(F.col("n") >= VOTES).select("a", "b").distinct()
+    return votes.groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
+def links(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with geometric consensus, enough of them that the components are exact.
+
+    Buckets of at most HOT entries vote for all their pairs. Entries of larger buckets are ordered by the size of their
+    bucket; the VOTES - 1 last ones of an image can't reach a consensus alone and are left out of the search. In what
+    remains of a large bucket, all images are compared with its smallest one, and then those outside the bucket's
+    largest component with all images of other components: no pair that could join two components stays uncompared.
+    """
+
+    def entries(batches):
+        for b in batches:
+            for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                key, place = _entries(p)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), i)), pa.array(place)], ["key", "rep", "place"])
+
+    rows = spill(classes.mapInArrow(entries, "key long, rep long, place long"), "details")
+    large = spill(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT), "large")
+    rare = rows.join(large.select("key"), "key", "left_anti").select("key", "rep", "place")
+    hot = rows.join(large, "key").select("key", "rep", "size")
+    per_image = Window.partitionBy("rep").orderBy(F.col("size").desc(), F.col("key").desc())
+    hot = spill(hot.withColumn("nth", F.row_number().over(per_image)), "large-entries")
+    n_hot = hot.groupBy("rep").agg(F.max("nth").alias("h"))
+    votes = spill(_rare_votes(rare), "votes")
+    h = n_hot.select("rep", "h")
+    near = votes.join(h.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a", "left").join(h.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b", "left")
+    near = near.filter(F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= VOTES).select("a", "b")
+    member = spill(hot.filter(F.col("nth") >= VOTES).select("key", "rep").distinct(), "members")
+    pivot = member.groupBy("key").agg(F.min("rep").alias("a"))
+    first = spill(_verify(near.unionByName(member.join(pivot, "key").select("a", F.col("rep").alias("b"))), classes), "links-1")
+    roots = components(first)
+    placed = member.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    placed = spill(placed, "placed")
+    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
+    outside = placed.join(main, "key").filter("root <> main").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"))
+    rest = outside.join(placed.select("key", F.col("rep").alias("b"), F.col("root").alias("rb")), "key").filter("ra <> rb").select("a", "b")
+    return first.unionByName(_verify(rest, classes)).distinct()
 
 
 def copies(described: DataFrame) -> DataFrame:
-    """id, n_keypoints, component_id, n_links (links of its class to different images)."""
+    """id, n_keypoints, component_id, n_links (compared links of its class to different images)."""
     held = spill(described, "keypoints")
     known = held.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
     least = known.groupBy("digest").agg(F.min(F.struct("id", "points")).alias("r"))
