@@ -144,7 +144,8 @@ def _bins(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def consensus(a: bytes, b: bytes) -> bool:
-    """Whether VOTES details of each stand in the other at one shift; a detail counts once in a bin."""
+    """Whether VOTES details of each stand in the other at one shift; a detail counts once in a bin, however many of its
+    bands agree."""
     (k, p), (m, q) = _entries(a), _entries(b)
     order = np.argsort(m, kind="stable")
     m, q = m[order], q[order]
@@ -154,7 +155,7 @@ def consensus(a: bytes, b: bytes) -> bool:
     other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
     shift = _bins(p[own], q[other])
     full = None
-    for detail in (own, other):
+    for detail in (p[own], q[other]):
         bins, votes = np.unique(np.unique(np.stack([shift, detail], axis=1), axis=0)[:, 0], return_counts=True)
         full = bins[votes >= VOTES] if full is None else np.intersect1d(full, bins[votes >= VOTES])
     return len(full) > 0
@@ -217,8 +218,8 @@ def links(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes with geometric consensus, enough of them that the components are exact.
 
     Buckets of at most HOT entries vote for all their pairs. Entries of larger buckets are ordered by the size of their
-    bucket; the VOTES - 1 last ones of an image can't reach a consensus alone and are left out of the search. In what
-    remains of a large bucket, all images are compared with its smallest one, and then those outside the bucket's
+    bucket; those of an image's VOTES - 1 commonest details can't reach a consensus alone and are left out of the search.
+    In what remains of a large bucket, all images are compared with its smallest one, and then those outside the bucket's
     largest component with all images of other components: no pair that could join two components stays uncompared.
     """
 
@@ -228,28 +229,34 @@ def links(classes: DataFrame) -> DataFrame:
                 key, place = _entries(p)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), i)), pa.array(place)], ["key", "rep", "place"])
 
-    rows = spill(classes.mapInArrow(entries, "key long, rep long, place long"), "details")
+    rows = classes.mapInArrow(entries, "key long, rep long, place long")
     large = spill(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT), "large")
-    rare = rows.join(large.select("key"), "key", "left_anti").select("key", "rep", "place")
-    hot = rows.join(large, "key").select("key", "rep", "size")
-    per_image = Window.partitionBy("rep").orderBy(F.col("size").desc(), F.col("key").desc())
-    hot = spill(hot.withColumn("nth", F.row_number().over(per_image)), "large-entries")
-    n_hot = hot.groupBy("rep").agg(F.max("nth").alias("h"))
-    votes = spill(_rare_votes(rare), "votes")
-    h = n_hot.select("rep", "h")
-    near = votes.join(h.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a", "left").join(h.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b", "left")
-    near = near.filter(F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= VOTES).select("a", "b")
-    member = spill(hot.filter(F.col("nth") >= VOTES).select("key", "rep").distinct(), "members")
+    votes = spill(_rare_votes(rows.join(large.select("key"), "key", "left_anti").select("key", "rep", "place")), "votes")
+    order = (F.col("size").desc(), F.col("key").desc())
+    hot = rows.join(large, "key").withColumn("nth", F.row_number().over(Window.partitionBy("rep", "place").orderBy(*order)))
+    hot = hot.withColumn("details", F.sum((F.col("nth") == 1).cast("int")).over(Window.partitionBy("rep").orderBy(*order, "place")))
+    hot = spill(hot.select("key", "rep", "size", "details"), "large-entries")
+    n_hot = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("h"))
+    near = votes.join(n_hot.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a", "left").join(n_hot.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b", "left")
+    near = near.filter(F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= VOTES)
+    member = hot.filter(F.col("details") >= VOTES)
     pivot = member.groupBy("key").agg(F.min("rep").alias("a"))
-    first = spill(_verify(near.unionByName(member.join(pivot, "key").select("a", F.col("rep").alias("b"))), classes), "links-1")
-    roots = components(first)
-    placed = member.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    placed = spill(placed, "placed")
+    starred = member.join(pivot, "key").filter("a <> rep").groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    stars = spill(near.select("a", "b", "n").unionByName(starred), "candidates")
+    # each image with its likeliest partner first: what that links needs no further comparison
+    likely = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    found = spill(_verify(likely, classes), "links-0")
+    roots = spill(components(found), "roots-0")
+    ends = stars.select("a", "b").distinct().join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    apart = ends.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    found = spill(found.unionByName(_verify(apart, classes)), "links-1")
+    roots = spill(components(found), "roots-1")
+    placed = member.select("key", "rep").distinct().join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
     outside = placed.join(main, "key").filter("root <> main").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"))
     rest = outside.join(placed.select("key", F.col("rep").alias("b"), F.col("root").alias("rb")), "key").filter("ra <> rb").select("a", "b")
-    return first.unionByName(_verify(rest, classes)).distinct()
+    return found.unionByName(_verify(rest, classes)).distinct()
 
 
 def copies(described: DataFrame) -> DataFrame:
