@@ -33,6 +33,8 @@ SAMPLES = [(0, 2, 5, 7, 9), (0, 3, 6, 9, 13), (1, 4, 8, 12, 15), (0, 5, 11, 17,
 OFFSET = 3  # words between an item's offsets
 SHORT = 8  # items with fewer words are looked up by their first word
 BLOCK_ITEMS = 20_000
+# memory only, results don't depend on them: characters searched at once, candidate places compared at once
+CHUNK, CANDIDATES = 1 << 19, 4096
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 FILTER = 18
 
@@ -113,6 +115,14 @@ class Index:
         which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.stack([rows[which, 0], np.repeat(at, n) - rows[which, 1]])
 
+    @staticmethod
+    def _blocks(item: np.ndarray, start: np.ndarray):
+        """Each item with its candidate places, at most CANDIDATES of them at once; together all of them."""
+        edge = np.flatnonzero(np.diff(item, prepend=-1, append=-1)) if len(item) else np.zeros(0, int)
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            for i in range(lo, hi, CANDIDATES):
+                yield int(item[lo]), start[i : min(hi, i + CANDIDATES)]
+
     def search(self, texts: list) -> list[list[tuple[int, int, int]]]:
         """For each text: (item id, edits, first word of the window) of every item found, the best place of each."""
         out: list = [[] for _ in texts]
@@ -129,8 +139,8 @@ class Index:
         code = np.unique(hits[0] * (1 << 40) + hits[1] + (1 << 39))
         item, start = code >> 40, (code & ((1 << 40) - 1)) - (1 << 39)
         best: dict = {}
-        for k in np.unique(item):
-            t, at = self.items[k], start[item == k]
+        for k, at in self._blocks(item, start):
+            t = self.items[k]
             n, most = len(t), int(SHARE * len(self.items[k]))
             near = np.arange(-most - 1, n + most + 1)
             where = at[:, None] + near
@@ -174,7 +184,7 @@ def find(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
             index = Index(items)
             for b in batches:
                 ids, texts, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-                for i, j in chunks(texts):
+                for i, j in chunks(texts, CHUNK):
                     for d, found in zip(ids[i:j], index.search(texts[i:j])):
                         rows += [(d, *f) for f in found]
                 cols = list(zip(*rows)) or [()] * 4
@@ -194,7 +204,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
             index = Index(items)
             for b in batches:
                 texts = b.column(at).to_pylist()
-                clean = [not f for i, j in chunks(texts) for f in index.search(texts[i:j])]
+                clean = [not f for i, j in chunks(texts, CHUNK) for f in index.search(texts[i:j])]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
