@@ -27,6 +27,7 @@ from .words import prefix, spans as span_hash
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # an anchor's string starts at most so far before it
 BATCH = 1 << 17  # strings in a batch
+CONTEXTS = 20_000  # surroundings that a task indexes, on average: bounds the memory of its levels
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +139,8 @@ def _surroundings(held: DataFrame) -> DataFrame:
 
 def _scan(contexts: DataFrame) -> DataFrame:
     """doc_id, begin, end: ranges of removed bytes found among differing surroundings."""
-    ordered = contexts.repartition(shuffle_partitions(contexts.sparkSession), "h").sortWithinPartitions("doc_id", "at")
+    n = max(shuffle_partitions(contexts.sparkSession), -(-contexts.count() // CONTEXTS))
+    ordered = contexts.repartition(n, "h").sortWithinPartitions("doc_id", "at")
 
     def run(batches):
         index, seen, held, size = Levels(), {}, [], 0
