@@ -31,6 +31,7 @@ from .words import SPACED, chunks, mix, words
 
 HOT, ORDER_LAST = 32, 200_000
 BLOCK_NGRAMS = 4_000_000
+COUNTED = 1_000_000  # prefix n-grams that a task counts at once (memory only)
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)], dtype=np.uint64)
 LATE = np.uint64(1 << 63)
 
@@ -83,7 +84,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def frequent(docs: DataFrame, n: int, num: int, den: int, rounds: int = 2) -> np.ndarray:
-    """The most frequent prefix n-grams of the whole table, at most ORDER_LAST; one partial row per n-gram and task.
+    """The most frequent prefix n-grams of the whole table, at most ORDER_LAST; partial rows per n-gram and task.
 
     A second round counts the prefixes that form once the first round's n-grams come last.
     """
@@ -95,17 +96,28 @@ def frequent(docs: DataFrame, n: int, num: int, den: int, rounds: int = 2) -> np
 
 def _frequent(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> np.ndarray:
     def run(batches):
-        kept = []
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in chunks(texts):
-                kept += [s[: prefix_length(len(s), num, den)] for s in ngram_sets(texts[i:j], n, last) if len(s)]
-        if kept:
+        kept, size = [], 0
+
+        def flush():
             v, c = np.unique(np.concatenate(kept), return_counts=True)
+            kept.clear()
             v, c = v[v < LATE], c[v < LATE]
             for i in range(0, len(v), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000])], ["v", "c"])
 
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for i, j in chunks(texts):
+                for s in ngram_sets(texts[i:j], n, last):
+                    if len(s):
+                        kept.append(s[: prefix_length(len(s), num, den)].copy())  # a copy frees the whole set
+                        size += len(kept[-1])
+                if size >= COUNTED:
+                    yield from flush()
+                    size = 0
+        if kept:
+            yield from flush()
+
     counts = docs.select("text").mapInArrow(run, "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).filter(F.col("c") > HOT)
     top = counts.orderBy(F.desc("c"), "v").limit(ORDER_LAST).select("v").toPandas()["v"].to_numpy(dtype=np.int64)
     return np.sort(top.view(np.uint64))

@@ -56,7 +56,7 @@ def words(texts: list, table: bytes):
     return spans(prefix(b), start, end), start, end, np.searchsorted(start, at)
 
 
-def chunks(texts: list, limit: int = 4 << 20):
+def chunks(texts: list, limit: int = 1 << 20):
     """Slices of texts of about `limit` characters together."""
     i = size = 0
     for j, t in enumerate(texts):
