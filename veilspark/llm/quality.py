@@ -23,6 +23,7 @@ from .common import held_out, table
 
 SAMPLE = 3000  # labelled documents of each class, at most
 WIDTH = 1 << 18
+PIECE = 1 << 17  # bytes of a text whose n-grams are coded at once (memory only)
 COST, BETA, EPOCHS = 1.0, 0.25, 12
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,14 +58,16 @@ def shapes(text: str) -> np.ndarray:
 
 def features(text: str) -> np.ndarray:
     """Sorted distinct feature numbers below WIDTH."""
-    b = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
-    if not len(b):
+    whole = np.frombuffer(text.encode(), np.uint8)
+    if not len(whole):
         return np.zeros(0, dtype=np.int32)
     seen = np.zeros(WIDTH, dtype=bool)
-    code = b
-    for n in range(1, 5):
-        seen[_hash(code, n << 40)] = True
-        code = code[:-1] << np.uint64(8) | b[n:] if len(b) > n else code[:0]
+    for i in range(0, len(whole), PIECE):  # pieces overlap by three bytes, so that no n-gram is missed
+        b = whole[i : i + PIECE + 3].astype(np.uint64)
+        code = b
+        for n in range(1, 5):
+            seen[_hash(code, n << 40)] = True
+            code = code[:-1] << np.uint64(8) | b[n:] if len(b) > n else code[:0]
     seen[_hash(shapes(text), 9 << 40)] = True
     return np.flatnonzero(seen).astype(np.int32)
 
