@@ -27,6 +27,7 @@ from .words import prefix, spans as span_hash
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # an anchor's string starts at most so far before it
 BATCH = 1 << 17  # strings in a batch
+SEEN = 400_000  # surroundings that a task remembers; what it forgets is settled by the scan
 CONTEXTS = 20_000  # surroundings that a task indexes, on average: bounds the memory of its levels
 
 
@@ -113,26 +114,36 @@ def _surroundings(held: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: dict = {}
+        rows: list = []
+
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+            rows.clear()
+            return batch
+
         for b in batches:
-            rows = []
-            for d, t, w in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()), key=lambda r: r[0]):
-                data = t.encode()
-                for x in sorted(w, key=lambda x: x["at"]):
-                    begin, end = max(0, x["at"] - REACH), min(len(data), x["at"] + LENGTH)
+            ids, wanted = b.column(0).to_numpy(), b.column(2)
+            edge = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
+            place, hashed = (wanted.flatten().field(k).to_numpy() for k in ("at", "h"))
+            for k in np.argsort(ids, kind="stable").tolist():
+                d, data = int(ids[k]), b.column(1)[k].as_py().encode()
+                at, h = place[edge[k] : edge[k + 1]], hashed[edge[k] : edge[k + 1]]
+                for i in np.argsort(at, kind="stable").tolist():
+                    a, g = int(at[i]), int(h[i])
+                    begin, end = max(0, a - REACH), min(len(data), a + LENGTH)
                     c = data[begin:end]
-                    key = xxhash.xxh3_128_digest(c + (x["at"] - begin).to_bytes(2, "little"))
+                    key = xxhash.xxh3_128_digest(c + (a - begin).to_bytes(2, "little"))
                     old = seen.get(key)
-                    if old is not None and old <= (d, x["at"]):
-                        rows.append((x["h"], d, x["at"], begin, end, None if old < (d, x["at"]) else c))
+                    if old is not None and old <= (d, a):
+                        rows.append((g, d, a, begin, end, None if old < (d, a) else c))
                     else:
-                        if len(seen) < 2_000_000:
-                            seen[key] = (d, x["at"])
-                        rows.append((x["h"], d, x["at"], begin, end, c))
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
-                    rows = []
+                        if old is not None or len(seen) < SEEN:
+                            seen[key] = (d, a)
+                        rows.append((g, d, a, begin, end, c))
+                    if len(rows) >= 20_000:
+                        yield out()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+                yield out()
 
     return held.mapInArrow(run, "h long, doc_id long, at long, begin long, end long, context binary")
 
