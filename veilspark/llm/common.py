@@ -12,9 +12,20 @@ from pyspark.sql import functions as F
 
 #: Words kept per Python worker before the cache starts afresh (bounds its memory, not the result).
 CACHE_WORDS = 1_000_000
+#: Bytes of an Arrow batch between the JVM and Python, unless the session asks for smaller ones (bounds memory only).
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ten thousand long texts in one batch would be held several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +46,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def spill(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends here, and any executor can read it again."""
+    small_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

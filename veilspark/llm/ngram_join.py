@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, spill, table
+from .common import shuffle_partitions, small_batches, spill, table
 from .graph import components
 from .words import SPACED, chunks, mix, words
 
@@ -361,6 +361,7 @@ def join_blocks(docs: DataFrame, members: DataFrame, n: int, num: int, den: int,
 
 def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by a Jaccard similarity of at least num / den."""
+    small_batches(docs.sparkSession)
     last = frequent(docs, n, num, den)
     rows = spill(profiles(docs, n, num, den, last), "profiles")
     known = rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
