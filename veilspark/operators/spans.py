@@ -53,3 +53,10 @@ def scores(found: DataFrame, expected: DataFrame) -> DataFrame:
     t = both.groupBy("kind").agg(F.sum(F.least("f", "e")).alias("hit"), F.sum("f").alias("f"), F.sum("e").alias("e"))
     recall, precision = F.try_divide("hit", "e"), F.try_divide("hit", "f")
     return t.select("kind", recall.alias("recall"), precision.alias("precision"), F.try_divide(2 * recall * precision, recall + precision).alias("f1"))
+
+
+def top_spender(units: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key, kind, units: the kind that used most units; of equal ones the later in `order`."""
+    per_kind = units.groupBy(key, "kind").agg(F.sum("units").alias("units")).filter("units > 0")
+    at = F.array_position(F.array(*[F.lit(k) for k in order]), F.col("kind"))
+    return per_kind.groupBy(key).agg(F.max_by("kind", F.struct("units", at)).alias("kind"), F.max("units").alias("units"))

@@ -241,3 +241,106 @@ def _precision(spark, sf_dir):
     """Share of documents, by language, in which a phone number is seen."""
     d = detect.with_spans(_table(spark, sf_dir, "documents").select("lang", "text"), names=["phone_cc", "phone_us"])
     return d.groupBy("lang").agg(F.avg((F.size("spans") > 0).cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"))
+
+
+_IBAN_GROUPS = "concat_ws(' ', substr({0}, 1, 4), substr({0}, 5, 4), substr({0}, 9, 4), substr({0}, 13, 4), substr({0}, 17, 4), substr({0}, 21, 2))".format("h")
+_CARD_GROUPS = "concat_ws('-', substr(h, 1, 4), substr(h, 5, 4), substr(h, 9, 4), substr(h, 13, 4))"
+
+
+@_query("iban_grouped", f"SELECT c_custkey, {_IBAN_GROUPS} AS value FROM (SELECT c_custkey, {_IBAN} AS h FROM customer)")
+def _iban_grouped(spark, sf_dir):
+    d = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_IBAN).alias("h")).select("c_custkey", F.expr(f"concat('pay to ', {_IBAN_GROUPS}, '.')").alias("text"))
+    return detect.spans_table(d, "c_custkey", "text", ["iban"]).select("c_custkey", F.col("text").alias("value"))
+
+
+@_query("card_grouped_luhn", f"SELECT c_custkey, {_CARD_GROUPS} AS value FROM (SELECT c_custkey, {_CARD} AS h FROM customer) WHERE {_LUHN}")
+def _card_grouped(spark, sf_dir):
+    d = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_CARD).alias("h")).select("c_custkey", F.expr(f"concat('card ', {_CARD_GROUPS}, ' paid')").alias("text"))
+    return detect.spans_table(d, "c_custkey", "text", ["card"]).select("c_custkey", F.col("text").alias("value"))
+
+
+_extract("phone_cc_shape", "concat('+49 151 ', lpad(cast(c_custkey % 100000000 AS varchar(9)), 8, '0'))", "phone_cc")
+_extract("email_in_text", "concat('user.', cast(c_custkey AS varchar(9)), '@mail.example.org')", "email")
+
+#: recogniser -> (prefix, validator of the digits after it)
+_VAT = {"vat_it": ("IT", _N11, V.piva), "vat_gb": ("gb", _N9, V.gb_vat), "vat_pt": ("PT", _N9, V.nif)}
+for _name, (_head, _digits, _rule) in _VAT.items():
+
+    @_query(f"{_name}_extract", f"SELECT c_custkey, concat('{_head}', h) AS value FROM (SELECT c_custkey, {_digits} AS h FROM customer) WHERE {_rule('h')}")
+    def _vat(spark, sf_dir, name=_name, head=_head, digits=_digits):
+        d = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"concat('vat ', '{head}', {digits}, ', due')").alias("text"))
+        return detect.spans_table(d, "c_custkey", "text", [name]).select("c_custkey", F.col("text").alias("value"))
+
+
+@_query(
+    "top_spender",
+    f"""WITH u AS (SELECT k, kind, sum(e - s) AS units FROM ({_SPANS}) GROUP BY k, kind)
+    SELECT k, arg_max(kind, units * 10 + CASE kind WHEN 'CARD' THEN 0 WHEN 'PHONE' THEN 1 ELSE 2 END) AS kind, cast(max(units) AS bigint) AS units FROM u WHERE units > 0 GROUP BY k""",
+)
+def _spender(spark, sf_dir):
+    d = _span_rows(spark, sf_dir).withColumn("units", F.col("end") - F.col("start"))
+    return spans.top_spender(d, "k", ["CARD", "PHONE", "TAXID"])
+
+
+_EVAL = "SELECT l_returnflag AS kind, cast(l_partkey % 40 AS varchar(9)) AS text, l_linenumber AS n FROM lineitem"
+
+
+@_query(
+    "multiset_scores",
+    f"""WITH x AS ({_EVAL}), a AS (SELECT kind, text, count(*) AS f FROM x WHERE n % 2 = 0 GROUP BY kind, text), b AS (SELECT kind, text, count(*) AS e FROM x WHERE n % 3 <> 0 GROUP BY kind, text),
+    t AS (SELECT kind, sum(least(coalesce(f, 0), coalesce(e, 0))) AS hit, sum(coalesce(f, 0)) AS f, sum(coalesce(e, 0)) AS e FROM a FULL JOIN b USING (kind, text) GROUP BY kind),
+    s AS (SELECT kind, cast(hit AS double) / cast(e AS double) AS recall, cast(hit AS double) / cast(f AS double) AS "precision" FROM t)
+    SELECT kind, recall, "precision", 2 * recall * "precision" / (recall + "precision") AS f1 FROM s""",
+)
+def _scores(spark, sf_dir):
+    _table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    x = spark.sql(_EVAL)
+    return spans.scores(x.filter("n % 2 = 0"), x.filter("n % 3 <> 0"))
+
+
+@_query(
+    "chunk_windows",
+    """WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), w AS (SELECT doc_id, n, unnest(range(0, greatest(0, n - 33) + 1, 448)) AS s FROM d)
+    SELECT doc_id, cast(s AS int) AS "start", cast(least(n, s + 480) AS int) AS "end" FROM w""",
+)
+def _windows(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.explode(labels.chunk_ranges(F.length("text"))).alias("w"))
+    return d.select("doc_id", "w.start", "w.end")
+
+
+@_query("redact_userinfo", r"SELECT page_id, regexp_replace(replace(url, '://', '://me:pw@'), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@', '\1<redacted>@') AS url FROM pages")
+def _redact(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", requests.redact_url(F.replace("url", F.lit("://"), F.lit("://me:pw@"))).alias("url"))
+
+
+@_query(
+    "credential_choice",
+    """SELECT decision, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'client_authorization' WHEN o_orderkey % 2 = 0 THEN 'client_api_key'
+    WHEN o_custkey % 5 = 0 THEN 'configured' ELSE 'rejected' END AS decision FROM orders) GROUP BY decision""",
+)
+def _credential(spark, sf_dir):
+    have = lambda c: F.when(c, F.lit("set"))
+    d = _table(spark, sf_dir, "orders").select(requests.credential(have(F.col("o_orderkey") % 3 == 0), have(F.col("o_orderkey") % 2 == 0), have(F.col("o_custkey") % 5 == 0)).alias("decision"))
+    return d.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    "admit_bodies",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'blocked' WHEN length(c_name) + length(cast(c_custkey AS varchar(20))) + 16 > 36 THEN 'blocked' ELSE 'ok' END AS status FROM customer""",
+)
+def _admit(spark, sf_dir):
+    whole = F.concat(F.lit('{"name":"'), "c_name", F.lit('","k":'), F.col("c_custkey").cast("string"), F.lit("}"))
+    d = _table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("{"), "c_name")).otherwise(whole).alias("body"))
+    return requests.admit(d, 36).select("c_custkey", "status")
+
+
+@_query("demask_json_escaped", """SELECT c_custkey, concat('{"a":"say \\"', c_name, '\\""}') AS text FROM customer""")
+def _json(spark, sf_dir):
+    d = _table(spark, sf_dir, "customer").withColumn("v", F.concat(F.lit('say "'), "c_name", F.lit('"')))
+    return d.select("c_custkey", vault.demask(F.lit('{"a":"[EMAIL_1]"}'), F.create_map(F.lit("[EMAIL_1]"), F.col("v")), json=True).alias("text"))
+
+
+@_query("header_list", "SELECT c_custkey, concat('x-', lower(c_name), '|accept') AS names FROM customer")
+def _header_list(spark, sf_dir):
+    d = _table(spark, sf_dir, "customer")
+    return d.select("c_custkey", F.array_join(requests.parse_header_list(F.concat(F.lit(" X-"), "c_name", F.lit(" ,, Accept "))), "|").alias("names"))
