@@ -184,6 +184,23 @@ def test_decontamination_recall():
     assert found / len(items) >= decontaminate.RECALL
 
 
+def edited(words, kind, n, even):
+    """n edits of one kind, spread evenly or at random."""
+    at = [(k + 1) * len(words) // (n + 1) for k in range(n)] if even else rng.sample(range(len(words)), n)
+    for p in sorted(at, reverse=True):
+        words[p : p + 1] = {"replaced": ["zz"], "deleted": [], "inserted": ["yy", words[p]]}[kind]
+    return words
+
+
+@pytest.mark.parametrize("even", [True, False])
+@pytest.mark.parametrize("kind", ["replaced", "deleted", "inserted"])
+@pytest.mark.parametrize("n", [20, 40, 60, 100, 200, 300])
+def test_decontamination_recall_of_edits(n, kind, even):
+    items = [(i, text(n)) for i in range(40)]
+    found = decontaminate.Index(items).search([f"{text(10)} {' '.join(edited(t.split(), kind, int(0.15 * n), even))} {text(10)}" for _, t in items])
+    assert sum(i in [x[0] for x in f] for (i, _), f in zip(items, found)) / len(items) >= decontaminate.RECALL
+
+
 def brute_removed(texts):
     seen, out = set(), {}
     for i, t in texts:

@@ -148,13 +148,6 @@ class Index:
             # the text of a window is that of its middle; words beyond the text count as none
             mine = (where >= first[doc][:, None]) & (where < first[doc + 1][:, None])
             windows = np.where(mine, tokens[np.clip(where, 0, len(tokens) - 1)], np.uint64(0))
-            same = np.zeros(len(at), dtype=np.int64)
-            for shift in range(2 * most + 3):
-                same = np.maximum(same, (windows[:, shift : shift + n] == t).sum(axis=1))
-            good = same >= max(1, min(4, n), n // 8)
-            at, doc, windows = at[good], doc[good], windows[good]
-            if not len(at):
-                continue
             d = distance(t, windows)
             for dd, aa, oo in zip(d[d <= most].tolist(), at[d <= most].tolist(), doc[d <= most].tolist()):
                 if (key := (oo, int(k))) not in best or dd < best[key][0]:
