@@ -201,6 +201,22 @@ def test_decontamination_recall_of_edits(n, kind, even):
     assert sum(i in [x[0] for x in f] for (i, _), f in zip(items, found)) / len(items) >= decontaminate.RECALL
 
 
+@pytest.mark.parametrize("n", range(5, 20))
+def test_decontamination_finds_all_short_items(n):
+    """Every place and kind of as many edits as an item may have."""
+    items, most = [(i, text(n)) for i in range(12)], int(decontaminate.SHARE * n)
+    index = decontaminate.Index(items)
+    for kind in ("replaced", "deleted", "inserted"):
+        for even in (True, False):
+            found = index.search([f"{text(10)} {' '.join(edited(t.split(), kind, most, even))} {text(10)}" for _, t in items])
+            assert all(i in [x[0] for x in f] for (i, _), f in zip(items, found))
+        if most == 1:
+            for i, t in items:
+                w = t.split()
+                one = [" ".join(w[:p] + {"replaced": ["zz"], "deleted": [], "inserted": ["yy", w[p]]}[kind] + w[p + 1 :]) for p in range(n)]
+                assert all(i in [x[0] for x in f] for f in index.search([*one, *(f"{text(5)} {x} {text(5)}" for x in one)]))
+
+
 def brute_removed(texts):
     seen, out = set(), {}
     for i, t in texts:
