@@ -12,6 +12,8 @@ MESSAGE = "struct<role:string,content:string,name:string,tool_calls:array<struct
 OPENAI = f"struct<messages:array<{MESSAGE}>,tools:array<struct<function:struct<description:string>>>>"
 BLOCK = "struct<type:string,text:string,thinking:string>"
 ANTHROPIC = "struct<system:string,messages:array<struct<role:string,content:string>>,tools:array<struct<description:string>>>"
+#: Where these are null, a system text or message content is no JSON array, whatever its text begins with.
+LISTED = "struct<system:array<string>,messages:array<struct<content:array<string>>>>"
 
 
 def forwardable(headers: Column) -> Column:
@@ -52,19 +54,18 @@ def admit(requests: DataFrame, limit: int = MAX_BODY) -> DataFrame:
     return requests.withColumn("status", F.when(F.octet_length("body") > limit, "blocked").when(parsed.isNull(), "blocked").otherwise("ok"))
 
 
-def _parts(content: Column) -> Column:
-    """Texts of a message's content: a string, or an array of strings and objects with `text`."""
-    listed = F.from_json(content, "array<string>")
+def _parts(content: Column, listed: Column) -> Column:
+    """Texts of a message's content: a string, or an array (`listed`) of strings and objects with `text`."""
     text = lambda p: F.coalesce(F.get_json_object(p, "$.text"), F.when(~p.startswith("{"), p))
-    return F.when(content.startswith("["), F.filter(F.transform(listed, text), lambda t: t.isNotNull())).otherwise(F.array(content))
+    return F.when(listed.isNotNull(), F.filter(F.transform(listed, text), lambda t: t.isNotNull())).otherwise(F.array(content))
 
 
 def openai_fields(requests: DataFrame) -> DataFrame:
     """request_id, field_ord, path, text: per message content, name and arguments, then the tools' descriptions."""
-    body = F.from_json("body", OPENAI)
+    body, listed = F.from_json("body", OPENAI), F.from_json("body", LISTED)["messages"]
     field = lambda path, text: F.struct(F.lit(path).alias("path"), text.alias("text"))
-    per_message = lambda m: F.concat(
-        F.transform(F.coalesce(_parts(m["content"]), F.array()), lambda t: field("content", t)),
+    per_message = lambda m, i: F.concat(
+        F.transform(F.coalesce(_parts(m["content"], F.get(listed, i)["content"]), F.array()), lambda t: field("content", t)),
         F.array(field("name", m["name"])),
         F.transform(F.coalesce(m["tool_calls"]["function"]["arguments"], F.array().cast("array<string>")), lambda t: field("tool_call", t)),
         F.array(field("function_call", m["function_call"]["arguments"])),
@@ -77,11 +78,11 @@ def openai_fields(requests: DataFrame) -> DataFrame:
 
 def anthropic_fields(requests: DataFrame) -> DataFrame:
     """request_id, field_ord, path, text: system, message contents, tool descriptions."""
-    body = F.from_json("body", ANTHROPIC)
+    body, listed = F.from_json("body", ANTHROPIC), F.from_json("body", LISTED)
     field = lambda path, text: F.struct(F.lit(path).alias("path"), text.alias("text"))
     none = F.array().cast("array<string>")
-    system = F.transform(F.when(body["system"].isNull(), none).otherwise(_parts(body["system"])), lambda t: field("system", t))
-    content = F.flatten(F.transform(body["messages"]["content"], lambda c: F.transform(_parts(c), lambda t: field("content", t))))
+    system = F.transform(F.when(body["system"].isNull(), none).otherwise(_parts(body["system"], listed["system"])), lambda t: field("system", t))
+    content = F.flatten(F.transform(body["messages"]["content"], lambda c, i: F.transform(_parts(c, F.get(listed["messages"], i)["content"]), lambda t: field("content", t))))
     tools = F.transform(F.coalesce(body["tools"]["description"], none), lambda t: field("tool", t))
     kept = F.filter(F.concat(system, content, tools), lambda f: f["text"].isNotNull())
     return requests.select("request_id", F.posexplode(kept).alias("field_ord", "f")).select("request_id", "field_ord", "f.path", "f.text")
