@@ -278,6 +278,26 @@ def test_automaton_statistics():
         assert auto.members[state] == {k for k, s in enumerate(seqs) if any(tuple(s[i : i + n]) == own for i in range(30))}
 
 
+def test_licence_templates_next_to_words_of_others():
+    scanner = licences.Scanner(licences.TEMPLATES, licences.PHRASES)
+    for label, t in licences.TEMPLATES.items():
+        for w in [x.decode() for x in scanner.code] + ["zz"]:
+            for doc in (f"{t} {w}", f"{w} {t}", f"zz {w} {t} {w} zz"):
+                assert [x for x in scanner.scan(doc)[2] if x[0] == label and x[3] == 1.0], (label, doc)
+
+
+def test_automaton_matches_of_each_template():
+    seqs = [[rng.randrange(4) for _ in range(n)] for n in (8, 20, 30)]
+    auto, probe = licences.Automaton(seqs), [rng.randrange(5) for _ in range(400)]
+    for least in (1, 3):
+        want = []
+        for k, s in enumerate(seqs):
+            runs = {tuple(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1)}
+            longest = [max(n for n in range(e + 2) if tuple(probe[e + 1 - n : e + 1]) in runs) for e in range(len(probe))]
+            want += [(e, n, k) for e, n in enumerate(longest) if n >= least and (e + 1 == len(probe) or tuple(probe[e + 1 - n : e + 2]) not in runs)]
+        assert sorted(auto.matches(probe, least)) == sorted(want)
+
+
 def test_media_copies(spark):
     draw = lambda n: "<p>" + "</p><p>".join(text(rng.randint(30, 60)) for _ in range(n)) + "</p>"
     a, b = draw(12), draw(12)

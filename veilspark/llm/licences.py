@@ -1,7 +1,8 @@
 """Licence scans with a generalised suffix automaton over the words of licence templates.
 
 The automaton holds every run of consecutive words of every template. A document's words stream through it once and
-give matching statistics: at each word, the length of the longest run ending there that some template contains. Long
+give matching statistics: at each word, the length of the longest run ending there that some template contains; each
+template is credited where its own run ends, also if a longer template goes on. Long
 matches of one template are chained, with small gaps, into covered spans; a span's score is the share of the template's
 words that it covers. Words outside all templates send the automaton back to its start, so that time is linear.
 
@@ -49,6 +50,7 @@ class Automaton:
 
     def __init__(self, sequences: list[list[int]]):
         self.next, self.link, self.length, self.members = [{}], [-1], [0], [set()]
+        self.ended: dict = {}
         for k, seq in enumerate(sequences):
             last = 0
             for w in seq:
@@ -104,6 +106,36 @@ class Automaton:
             out.append((len(ids) - 1, length, state))
         return out
 
+    def _ended(self, state: int, w: int | None) -> list[tuple[int, int]]:
+        """(length, or 0 for that of the whole match; template) of every template whose own match the word w ends."""
+        if (state, w) not in self.ended:
+            out, seen, q = [], set(), state
+            while q > 0:
+                on = self.next[q].get(w)
+                out += [(0 if q == state else self.length[q], k) for k in sorted(self.members[q] - seen) if on is None or k not in self.members[on]]
+                seen |= self.members[q]
+                q = self.link[q]
+            self.ended[state, w] = out
+        return self.ended[state, w]
+
+    def matches(self, ids: list[int], least: int):
+        """(position, length, template) wherever a template's own longest match ends, if it has `least` words.
+
+        A template's match may end while a longer template's goes on: its longest run is that of the first state on the
+        suffix links that it belongs to.
+        """
+        state = length = 0
+        for i, w in enumerate([*ids, None]):
+            if length >= least:
+                yield from ((i - 1, n or length, k) for n, k in self._ended(state, w) if (n or length) >= least)
+            while state > 0 and w not in self.next[state]:
+                state = self.link[state]
+                length = self.length[state]
+            if w in self.next[state]:
+                state, length = self.next[state][w], length + 1
+            else:
+                state = length = 0
+
 
 class Scanner:
     def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
@@ -131,17 +163,15 @@ class Scanner:
                     places += [(at + i, label) for i in range(len(own) - n + 1) if own[i] == p[0] and own[i : i + n] == p]
             if len(own) < LEAST_RUN:
                 continue
-            for end, n, state in self.auto.statistics(own):
-                if n >= LEAST_RUN:
-                    for k in self.auto.members[state]:
-                        chain = chains.setdefault(k, [])
-                        start, stop = at + end - n + 1, at + end + 1
-                        if chain and start - chain[-1][1] <= GAP:
-                            last = chain[-1]
-                            last[2] += stop - max(start, last[1])
-                            last[1] = max(stop, last[1])
-                        else:
-                            chain.append([start, stop, n])
+            for end, n, k in self.auto.matches(own, LEAST_RUN):
+                chain = chains.setdefault(k, [])
+                start, stop = at + end - n + 1, at + end + 1
+                if chain and start - chain[-1][1] <= GAP:
+                    last = chain[-1]
+                    last[2] += stop - max(start, last[1])
+                    last[1] = max(stop, last[1])
+                else:
+                    chain.append([start, stop, n])
         spans = [(self.labels[k], s, e, min(1.0, n / self.size[k])) for k, c in chains.items() for s, e, n in c if n >= LEAST_SHARE * self.size[k]]
         return len(words), sorted(places), sorted(spans, key=lambda s: (s[1], -s[3], s[0]))
 
