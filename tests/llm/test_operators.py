@@ -159,6 +159,27 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.train(none)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("documents", [19_200, 100])
+def test_all_languages_are_learned(spark, monkeypatch, documents):
+    monkeypatch.setattr(langid, "DOCUMENTS", documents, raising=False)
+    own = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for _ in range(70)]
+    d = [(k * 100 + i, " ".join(rng.choice(own[k]) for _ in range(30)), f"l{k:02}") for k in range(70) for i in range(9)]
+    m = langid.train(spark.createDataFrame(d, "doc_id long, text string, lang string"))
+    assert m.languages == [f"l{k:02}" for k in range(70)]
+    assert np.mean([x == y for (x, _), (_, _, y) in zip(m.label([t for _, t, _ in d]), d)]) > 0.9
+
+
+@pytest.mark.parametrize("letters", ["\u4e00\u5000", "\u0e01\u0e18", "az"])
+def test_language_of_unspaced_text(letters):
+    """Runs that differ only beyond their first 40 bytes and before their last 4."""
+    sets = [[chr(ord(c) + (-k if c == "z" else k)) for k in range(10)] for c in letters]
+    head, tail = letters[0] * 40, letters[0] * 4
+    t = [(head + "".join(rng.choice(sets[k]) for _ in range(300)) + tail, "xy"[k]) for k in (0, 1) for _ in range(60)]
+    m = langid.learn([x for x, _ in t[::2]], [y for _, y in t[::2]])
+    assert [x for x, _ in m.label([x for x, _ in t[1::2]])] == [y for _, y in t[1::2]]
+    assert "".join(langid.line_words(t[0][0])) == t[0][0]
+
+
 def test_decontamination(spark, docs, none):
     words = PASSAGE.split()
     edited = " ".join(words[:20] + ["odd"] + words[21:40] + words[42:])

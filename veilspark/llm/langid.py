@@ -5,8 +5,10 @@ hashed affix, byte n-gram and whole-word features and of a lexicon learned from
 languages are learned with them, so that a chain may switch language within a text. Forward-backward gives each word's
 probabilities; a text gets the language with the largest sum over all its words, and the score is its share.
 
-Training takes at most SAMPLE documents of each of the LANGUAGES most frequent languages, chosen by a hash of doc_id,
-and runs in one task. Labelling is map-only and covers whole texts.
+Long runs of letters and runs in scripts without blanks are cut into several words, so that all letters count.
+
+Training takes every language, at most SAMPLE documents of each and fewer (one at least) where all together would be
+more than DOCUMENTS, chosen by a hash of doc_id, and runs in one task. Labelling is map-only and covers whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; a null lang is not learned; without any
 training text all are `und`; ties go to the language that sorts first; further columns are ignored.
@@ -27,11 +29,26 @@ from pyspark.sql.window import Window as W
 from .common import CACHE_WORDS, held_out, table
 from .words import chunks
 
-SAMPLE, LANGUAGES = 300, 64
+SAMPLE, DOCUMENTS = 300, 19_200
 WIDTH = 1 << 16
 CHAIN, GROUP = 64, 4096
 EPOCHS, RATE, DECAY = 3, 0.5, 1e-6
 WORD = re.compile(r"[^\W\d_]+")
+#: Scripts without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+LONGEST = 40
+PIECE = re.compile(f"[^{UNSPACED}]{{1,{LONGEST}}}|[{UNSPACED}]{{1,4}}")
+
+
+def line_words(line: str) -> list[str]:
+    """The words of a line; together all of its letters."""
+    out = []
+    for w in WORD.findall(line):
+        if len(w) <= LONGEST and w.isascii():
+            out.append(w)
+        else:
+            out += PIECE.findall(w)
+    return out
 
 
 def word_features(word: str) -> list[int]:
@@ -39,7 +56,7 @@ def word_features(word: str) -> list[int]:
     w = word.encode()
     c, n = zlib.crc32, len(w)
     out = [c(b"^" + w[:k]) for k in range(1, min(4, n) + 1)] + [c(b"$" + w[-k:]) for k in range(1, min(4, n) + 1)] + [c(b"=" + w)]
-    out += [c(w[i : i + 3]) for i in range(min(n, 40) - 2)]
+    out += [c(w[i : i + 3]) for i in range(n - 2)]
     return [x % WIDTH for x in out]
 
 
@@ -102,7 +119,7 @@ class Model:
         words, text_of, size = [], [], []
         for d, t in enumerate(texts):
             for line in (t or "").lower().split("\n"):
-                own = WORD.findall(line)
+                own = line_words(line)
                 for i in range(0, len(own), CHAIN):
                     text_of.append(d)
                     size.append(len(own[i : i + CHAIN]))
@@ -131,7 +148,7 @@ def learn(texts: list[str], langs: list[str]) -> Model:
     for t, lang in zip(texts, langs):
         y = languages.index(lang)
         for line in (t or "").lower().split("\n"):
-            own = WORD.findall(line)
+            own = line_words(line)
             for w in own:
                 c = count.setdefault(w, [0] * k)
                 c[y] += 1
@@ -177,14 +194,16 @@ def learn(texts: list[str], langs: list[str]) -> Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not counts:
         return Model([], np.zeros((WIDTH + 1, 0), np.float32), np.zeros((0, 0)), {})
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3 * sample / r["n"]))])
+    sample = max(1, min(sample, DOCUMENTS // len(counts)))
+    # drawn with enough to spare that no language is left without documents
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, max(3 * sample, 60) / r["n"]))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     few = known.select("doc_id", "lang").filter(draw < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     few = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("k") <= sample)
-    few = few.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))  # at most sample * LANGUAGES rows
+    few = few.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))  # at most DOCUMENTS rows, or one of each language
     rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("__id")).select("doc_id", F.col("__lang").alias("lang"), "text")
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
