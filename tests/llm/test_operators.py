@@ -360,6 +360,13 @@ def test_media_large_buckets(spark, monkeypatch, hot):
     assert got == brute_components(images)
 
 
+def test_unfinished_components_are_an_error(spark):
+    d = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
+    assert {tuple(r) for r in graph.components(d).collect()} == {(k, 0) for k in range(31)}
+    with pytest.raises(RuntimeError):
+        graph.components(d, most_rounds=1)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -32,4 +32,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if tuple(got) == mark:
             break
         mark = tuple(got)
+    else:
+        raise RuntimeError(f"components aren't finished after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
