@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept per Python worker before the cache starts afresh (bounds its memory, not the result).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 #: Bytes of an Arrow batch between the JVM and Python, unless the session asks for smaller ones (bounds memory only).
 BATCH_BYTES = 4 << 20
+#: A piece of text between blanks: no white space but a line end before it.
+PIECE = re.compile(r"\n?\S+\Z").match
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -75,9 +77,12 @@ def held_out(doc_id: str = "doc_id"):
 class Tokens:
     """Token ids as little-endian uint16 bytes.
 
-    A text is cut at plain blanks, where neither vocabulary merges across, and each distinct word is encoded once per
-    worker; texts whose blanks touch other white space go through the tokenizer whole. `lead` says that a word keeps
-    the blank before it (byte-level vocabularies) instead of dropping white space.
+    The texts of a batch are cut at single blanks and line ends, where neither vocabulary merges across; each distinct
+    piece is encoded once per worker. A text with other white space, or with more than one such character in a row, has
+    pieces that say so (None in the cache) and goes through the tokenizer whole. `lead` says that a word keeps the blank
+    before it (byte-level vocabularies) instead of dropping white space.
+
+    Special tokens' strings in a text are ordinary text (encode_special_tokens), as the vocabularies' description asks.
     """
 
     _of: dict[tuple[str, bool], "Tokens"] = {}
@@ -91,10 +96,11 @@ class Tokens:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.lead, self.cache = lead, {}
+        self.marks = {c: x for c in ".," if len(x := self.whole(["a" + c])[0][len(self.whole(["a"])[0]) :]) == 2}
         if lead:  # ids whose token starts with the blank: the first of each word
             self.opens = np.zeros(1 << 16, dtype=bool)
             self.opens[[i for w, i in self.tok.get_vocab().items() if w.startswith("\u0120")]] = True
-        self.mixed = re.compile(r"\s[ ]|[ ]\s" if lead else r"[\x1c-\x1f\x85]")
+            self.line_end = self.tok.encode("\n", add_special_tokens=False).ids[0]
 
     @classmethod
     def get(cls, path: str, lead: bool) -> "Tokens":
@@ -105,8 +111,37 @@ class Tokens:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words in lines of 500; leading blanks or the offsets say which ids belong to which word."""
+    def learn(self, words: set[str]) -> None:
+        """Encodes new pieces. A piece with a mark at its end has the ids of the rest, then the mark's, if a letter or
+        digit stands before the mark: the tokenizer cuts there."""
+        cache, marks, plain, opening, marked = self.cache, self.marks, set(), set(), []
+        for w in words:
+            if not PIECE(w):
+                cache[w] = None
+                continue
+            if w[-1] in marks and w[-2:-1].isalnum():
+                marked.append(w)
+                w = w[:-1]
+                if w in cache:
+                    continue
+            (opening if w[0] == "\n" else plain).add(w)
+        self._plain(list(plain))
+        self._opening(list(opening))
+        for w in marked:
+            cache[w] = cache[w[:-1]] + self.marks[w[-1]]
+
+    def _opening(self, words: list[str]) -> None:
+        """Pieces that begin with a line end: it is an id of its own and tells where each begins."""
+        for i in range(0, len(words), 500):
+            line = words[i : i + 500]
+            ids = np.frombuffer(self.whole(["".join(line)])[0], "<u2")
+            cut = (np.flatnonzero(ids == self.line_end) * 2).tolist() + [2 * len(ids)]
+            ids = ids.tobytes()
+            for k, w in enumerate(line):
+                self.cache[w] = ids[cut[k] : cut[k + 1]]
+
+    def _plain(self, words: list[str]) -> None:
+        """Words in lines of 500; leading blanks or the offsets say which ids belong to which word."""
         cache = self.cache
         for i in range(0, len(words), 5000):
             lines = [words[j : j + 500] for j in range(i, min(i + 5000, len(words)), 500)]
@@ -126,25 +161,31 @@ class Tokens:
                     cache[w] = ids[cut[k] : cut[k + 1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        odd, plain, new = [], [], set()
+        out: list[bytes | None] = [b""] * len(texts)
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        for i, x in enumerate(texts):
-            if not x:
-                out[i] = b""
-            elif self.mixed.search(x) or (self.lead and (x[0].isspace() or x[-1].isspace())):
+        if self.lead:
+            at = [i for i, x in enumerate(texts) if x]
+            n = [texts[i].count(" ") + texts[i].count("\n") + 1 for i in at]
+            words = ("\n" + "\n".join([texts[i] for i in at])).replace("\n", " \n").split(" ")[1:] if at else []
+        else:  # separators that Python knows and the tokenizer doesn't
+            at = [i for i, x in enumerate(texts) if x and not any(c in x for c in "\x1c\x1d\x1e\x1f\x85")]
+            per = [texts[i].split() for i in at]
+            n, words = [len(w) for w in per], [w for p in per for w in p]
+        self.learn(set(words).difference(cache))
+        ids = list(map(cache.__getitem__, words))
+        known, lo = set(at), 0
+        odd = [i for i, x in enumerate(texts) if x and i not in known]
+        skip = 2 if self.lead else 0  # the line end put before each text
+        for i, k in zip(at, n):
+            own = ids[lo : lo + k]
+            lo += k
+            if None in own:
                 odd.append(i)
             else:
-                words = x.split(" ") if self.lead else x.split()
-                plain.append((i, words))
-                new.update(words[1:] if self.lead else words)
-        self.learn([w for w in new if w not in cache])
+                out[i] = b"".join(own)[skip:]
         if odd:
             for i, b in zip(odd, self.whole([texts[i] for i in odd])):
                 out[i] = b
-        firsts = self.whole([w[0] for _, w in plain]) if self.lead and plain else []
-        for k, (i, words) in enumerate(plain):
-            out[i] = firsts[k] + b"".join(map(cache.__getitem__, words[1:])) if self.lead else b"".join(map(cache.__getitem__, words))
         return out
