@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 1_500_000
 #: Bytes of an Arrow batch between the JVM and Python, unless the session asks for smaller ones (bounds memory only).
 BATCH_BYTES = 4 << 20
+ODD = b"odd"  # no ids have three bytes
 #: A piece of text between blanks: no white space but a line end before it.
 PIECE = re.compile(r"\n?\S+\Z").match
 
@@ -79,7 +80,7 @@ class Tokens:
 
     The texts of a batch are cut at single blanks and line ends, where neither vocabulary merges across; each distinct
     piece is encoded once per worker. A text with other white space, or with more than one such character in a row, has
-    pieces that say so (None in the cache) and goes through the tokenizer whole. `lead` says that a word keeps the blank
+    pieces that say so (ODD in the cache) and goes through the tokenizer whole. `lead` says that a word keeps the blank
     before it (byte-level vocabularies) instead of dropping white space.
 
     Special tokens' strings in a text are ordinary text (encode_special_tokens), as the vocabularies' description asks.
@@ -117,7 +118,7 @@ class Tokens:
         cache, marks, plain, opening, marked = self.cache, self.marks, set(), set(), []
         for w in words:
             if not PIECE(w):
-                cache[w] = None
+                cache[w] = ODD
                 continue
             if w[-1] in marks and w[-2:-1].isalnum():
                 marked.append(w)
@@ -173,15 +174,18 @@ class Tokens:
             at = [i for i, x in enumerate(texts) if x and not any(c in x for c in "\x1c\x1d\x1e\x1f\x85")]
             per = [texts[i].split() for i in at]
             n, words = [len(w) for w in per], [w for p in per for w in p]
-        self.learn(set(words).difference(cache))
-        ids = list(map(cache.__getitem__, words))
+        ids = list(map(cache.get, words))
+        new = [k for k, x in enumerate(ids) if x is None]
+        self.learn({words[k] for k in new})
+        for k in new:
+            ids[k] = cache[words[k]]
         known, lo = set(at), 0
         odd = [i for i, x in enumerate(texts) if x and i not in known]
         skip = 2 if self.lead else 0  # the line end put before each text
         for i, k in zip(at, n):
             own = ids[lo : lo + k]
             lo += k
-            if None in own:
+            if ODD in own:
                 odd.append(i)
             else:
                 out[i] = b"".join(own)[skip:]
