@@ -181,7 +181,7 @@ def _all_anchors(docs: DataFrame, local: int) -> DataFrame:
         held, n = [], 0
         for b in batches:
             ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for i, j in chunks(texts, 1 << 22):
+            for i, j in chunks(texts, 1 << 19):
                 found = anchors([t.encode() for t in texts[i:j]])
                 found[0] = ids[i:j][found[0]]
                 held.append(found)
@@ -339,7 +339,7 @@ def _by_document(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """doc_id, text, marks, written in buckets of doc_id: what joins it later by doc_id needs no shuffle of texts."""
     spark = docs.sparkSession
     n, name = shuffle_partitions(spark), f"repeating_{uuid.uuid4().hex}"
-    kind = marks.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "h", "at", "end")).alias("marks"))
+    kind = marks.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "h", "at", "end")).alias("marks"))
     held = docs.join(kind, "doc_id").select("doc_id", "text", "marks")
     held.write.option("compression", "zstd").option("path", scratch(spark, "repeating")).bucketBy(n, "doc_id").sortBy("doc_id").saveAsTable(name)
     return spark.table(name)
@@ -357,7 +357,7 @@ def remove(docs: DataFrame, wide: int = WIDE, local: int = LOCAL) -> DataFrame:
     ranges = _scan(_contexts(held), kinds.get(OPEN, 0))
     if kinds.get(SPREAD):
         ranges = ranges.unionByName(_spread(held))
-    ranges = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
+    ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
     def cut(batches):
         for b in batches:
