@@ -1,35 +1,43 @@
 """Copies of images by local descriptors.
 
-Corners (Harris, at two scales, the strongest of each grid cell) are described by binary tests on a smoothed patch,
-turned to the patch's orientation. Equal images become one class. Descriptors meet in Hamming tables: each is cut into
-bands, and those with an equal band vote for their pair of images in a bin of (shift, scale); enough votes in one bin
-(geometric consensus) link two images, so crops and edits are found. Large buckets, where common details meet, are
-searched without emitting all their pairs; see links().
+Corners (Harris, at two scales; the strongest within RADIUS pixels, wherever the image is cut) are described by binary
+tests on a smoothed patch, turned to the patch's orientation. Equal images become one class. Two images are linked if
+enough details of each stand in the other at one shift (geometric consensus): half of the details of the image that has
+fewer, LEAST at least; so crops and edits are found, and pages that share a header only are not.
+
+Descriptors meet in Hamming tables: each is cut into BANDS, and details with an equal band are alike. Every image has its
+details in one order, rare ones first (by counts of all bands in BINS bins; they change the order only, never a result).
+All but the last need - TRIES of them are its prefix: whatever it may be linked with shares TRIES details of the prefix of
+the image that has fewer. Buckets of at most HOT entries vote for their pairs of prefix details and others by shift.
+Larger buckets, where copies of one image or common details meet, are searched by components: each prefix entry is
+compared with the bucket's fullest image, and what is still apart then is compared across components; see links().
 
 The tables here hold no pictures, so the query draws each page: its visible words in a micro font, a new line for each
 block, which is what a screenshot thumbnail would show.
 
-Defined results: a null or damaged image has no keypoints and links with nothing; equal images are linked (unless they
+Defined results: a null or damaged image has no keypoints and links with nothing; equal images are one class (unless they
 have no keypoint); a null id links with nothing; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, spill, table
 from .graph import components
+from .words import mix
 
-CELL, PATCH, BANDS, SHIFT = 32, 7, 4, 8
-VOTES, HOT = 8, 32
+PATCH, RADIUS, CORNER, BANDS, SHIFT = 7, 8, 3e5, 2, 8
+LEAST, TRIES, HOT, BINS = 3, 3, 32, 1 << 16
+COMMON = 0.01  # share of all images: a bin with more entries is dealt over tasks like a large bucket
 WIDTH = 128
+MARGIN = 60  # of nine pixels' sum: what flat places differ by through noise is no difference
 _rng = np.random.default_rng(11)
 TESTS = _rng.integers(-PATCH, PATCH + 1, size=(32 * BANDS, 4))
 TAG, BLOCK, HIDDEN = re.compile(r"<[^>]*>"), re.compile(r"</?(?:p|div|h\d|li|ul|tr|table|article|nav|br)\b[^>]*>"), re.compile(r"<(script|style|title)\b.*?</\1>|<!--.*?-->", re.S)
@@ -65,51 +73,53 @@ def draw(html: str | None) -> np.ndarray | None:
     return image
 
 
-def _box(a: np.ndarray, r: int) -> np.ndarray:
-    for axis in (0, 1):
-        p = np.pad(a, [(r + 1, r) if k == axis else (0, 0) for k in (0, 1)], mode="edge").cumsum(axis=axis)
-        a = p[2 * r + 1 :] - p[: -2 * r - 1] if axis == 0 else p[:, 2 * r + 1 :] - p[:, : -2 * r - 1]
+def _sum(a: np.ndarray, n: int) -> np.ndarray:
+    """Sums over n x n squares that lie inside."""
+    h, w = a.shape[0] - n + 1, a.shape[1] - n + 1
+    rows = sum((a[k : k + h] for k in range(1, n)), a[:h])
+    return sum((rows[:, k : k + w] for k in range(1, n)), rows[:, :w])
+
+
+def _highest(a: np.ndarray, n: int) -> np.ndarray:
+    """Maxima over n x n squares that lie inside."""
+    for _ in range(2):
+        width = 1
+        while width * 2 <= n:
+            a, width = np.maximum(a[:-width], a[width:]), width * 2
+        if width < n:
+            a = np.maximum(a[: width - n], a[n - width :])
+        a = a.T
     return a
 
 
-def keypoints(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """x, y, scale and bands (a 32-bit number each) of an image's corners."""
+def keypoints(image: np.ndarray | None) -> np.ndarray:
+    """Rows of x, y, scale and BANDS numbers of 32 bits: an image's corners."""
     found = []
+    edge = int(PATCH * 1.5) + 2
     for scale in (0, 1):
-        if image is None or min(image.shape) < 2 * PATCH + 4:
+        if image is None or min(image.shape) < 2 * edge + 2:
             break
-        a = image.astype(np.float32)
-        gy, gx = np.gradient(a)
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        edge = int(PATCH * 1.5) + 1
-        r[:edge], r[-edge:], r[:, :edge], r[:, -edge:] = 0, 0, 0, 0
-        h, w = r.shape
-        H, W = -(-h // CELL) * CELL, -(-w // CELL) * CELL
-        cells = np.zeros((H, W), np.float32)
-        cells[:h, :w] = r
-        cells = cells.reshape(H // CELL, CELL, W // CELL, CELL).transpose(0, 2, 1, 3).reshape(-1, CELL * CELL)
-        best = cells.argmax(axis=1)
-        ok = cells[np.arange(len(cells)), best] > 1e4
-        n = W // CELL
-        y = (np.arange(len(cells)) // n) * CELL + best // CELL
-        x = (np.arange(len(cells)) % n) * CELL + best % CELL
-        x, y = x[ok], y[ok]
+        s = _sum(image.astype(np.float32), 3)  # s[y, x] is the square around (x + 1, y + 1)
+        gx, gy = s[1:-1, 2:] - s[1:-1, :-2], s[2:, 1:-1] - s[:-2, 1:-1]
+        xx, yy, xy = _sum(gx * gx, 3), _sum(gy * gy, 3), _sum(gx * gy, 3)
+        r = (xx * yy - xy * xy) / (xx + yy + 1)  # r[y, x] belongs to (x + 3, y + 3)
+        inner = r[edge - 3 : r.shape[0] - edge + 3, edge - 3 : r.shape[1] - edge + 3]
+        best = _highest(np.pad(inner, RADIUS, constant_values=-1), 2 * RADIUS + 1)
+        y, x = np.nonzero((inner == best) & (inner > CORNER))
         if len(x):
-            s = _box(a, 1)
+            y, x = y + edge, x + edge
             off = np.arange(-PATCH, PATCH + 1)
-            p = 9 * 255 - s[y[:, None, None] + off[:, None], x[:, None, None] + off]
-            angle = np.arctan2((p * off[:, None]).sum(axis=(1, 2)), (p * off).sum(axis=(1, 2)))
+            p = 9 * 255 - s[(y - 1)[:, None, None] + off[:, None], (x - 1)[:, None, None] + off]
+            angle = np.arctan2((p.sum(axis=2) * off).sum(axis=1), (p.sum(axis=1) * off).sum(axis=1))
             c, d = np.cos(angle)[:, None], np.sin(angle)[:, None]
-            at = lambda u, v: s[y[:, None] + np.rint(d * u + c * v).astype(int), x[:, None] + np.rint(c * u - d * v).astype(int)]
-            bits = at(TESTS[:, 0], TESTS[:, 1]) < at(TESTS[:, 2], TESTS[:, 3])
-            bands = np.packbits(bits, axis=1).view(">u4").astype(np.int64)
-            found.append((x << scale, y << scale, np.full(len(x), scale), bands))
+            at = lambda u, v: s[(y - 1)[:, None] + np.rint(d * u + c * v).astype(np.int32), (x - 1)[:, None] + np.rint(c * u - d * v).astype(np.int32)]
+            bits = at(TESTS[:, 0], TESTS[:, 1]) + MARGIN < at(TESTS[:, 2], TESTS[:, 3])
+            bands = np.packbits(bits, axis=1).view(">u4")
+            found.append(np.concatenate([np.stack([x << scale, y << scale, np.full(len(x), scale)], axis=1), bands], axis=1).astype("<u4"))
         h, w = (image.shape[0] // 2) * 2, (image.shape[1] // 2) * 2
-        image = image[:h, :w].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros((0, BANDS), np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found))
+        image = image[:h, :w].astype(np.float32)
+        image = (image[::2, ::2] + image[1::2, ::2] + image[::2, 1::2] + image[1::2, 1::2]) / 4
+    return np.concatenate(found) if found else np.zeros((0, 3 + BANDS), "<u4")
 
 
 def describe(rows: DataFrame, paint, key: str, column: str) -> DataFrame:
@@ -120,45 +130,63 @@ def describe(rows: DataFrame, paint, key: str, column: str) -> DataFrame:
             n, digest, points = [], [], []
             for v in b.column(1).to_pylist():
                 image = paint(v)
-                x, y, s, bands = keypoints(image)
-                n.append(len(x))
-                digest.append(xxhash.xxh3_128_digest(image.tobytes() + image.shape[1].to_bytes(4, "little")) if len(x) else None)
-                points.append(zlib.compress(np.concatenate([np.stack([x, y, s], axis=1), bands], axis=1).astype("<u4").tobytes(), 1) if len(x) else None)
+                t = keypoints(image)
+                n.append(len(t))
+                digest.append(xxhash.xxh3_128_digest(image.tobytes() + image.shape[1].to_bytes(4, "little")) if len(t) else None)
+                points.append(t.tobytes() if len(t) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(points, pa.binary())], ["id", "n_keypoints", "digest", "points"])
 
     return rows.select(F.col(key).cast("long").alias("id"), column).mapInArrow(run, "id long, n_keypoints long, digest binary, points binary")
 
 
-def _entries(points: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Table keys (band number, scale, band) and places (x, y in one number) of all bands of an image."""
-    t = np.frombuffer(zlib.decompress(points), "<u4").reshape(-1, 3 + BANDS).astype(np.int64)
-    key = np.concatenate([(k << 34) | (t[:, 2] << 32) | t[:, 3 + k] for k in range(BANDS)])
-    return key, np.tile(t[:, 0] << 32 | t[:, 1], BANDS)
+def _details(points: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all details of several images: the image's number, the keys (detail, band), x and y."""
+    t = np.frombuffer(b"".join(points), "<u4").reshape(-1, 3 + BANDS).astype(np.int64)
+    own = np.repeat(np.arange(len(points)), [len(p) // (4 * (3 + BANDS)) for p in points])
+    return own, (np.arange(BANDS) << 33) | (t[:, 2:3] << 32) | t[:, 3:], t[:, 0], t[:, 1]
+
+
+def _bin(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) >> np.uint64(48)).astype(np.int64) % BINS
+
 
+def _shift(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    return (dx // SHIFT + (1 << 20)) << 24 | (dy // SHIFT + (1 << 20))
 
-def _bins(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The bin of the shift from place p to place q."""
-    dx = ((q >> 32) - (p >> 32)) // SHIFT
-    dy = ((q & 0xFFFFFFFF) - (p & 0xFFFFFFFF)) // SHIFT
-    return (dx + (1 << 20)) << 24 | (dy + (1 << 20))
 
+def need(n):
+    """Details that an image of n details must share with a larger one."""
+    return np.maximum(LEAST, (n + 1) // 2)
 
-def consensus(a: bytes, b: bytes) -> bool:
-    """Whether VOTES details of each stand in the other at one shift; a detail counts once in a bin, however many of its
-    bands agree."""
-    (k, p), (m, q) = _entries(a), _entries(b)
-    order = np.argsort(m, kind="stable")
-    m, q = m[order], q[order]
-    lo, hi = np.searchsorted(m, k, side="left"), np.searchsorted(m, k, side="right")
-    n = hi - lo
-    own = np.repeat(np.arange(len(k)), n)
-    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    shift = _bins(p[own], q[other])
+
+def consensus(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """For each pair of images, whether need() details of each stand in the other at one shift. A detail counts once at a
+    shift, however many of its bands agree."""
+    i, k, x, y = _details([a for a, _ in pairs])
+    j, m, u, v = _details([b for _, b in pairs])
+    least = need(np.minimum(np.bincount(i, minlength=len(pairs)), np.bincount(j, minlength=len(pairs))))
+    alike = []
+    for band in range(BANDS):
+        key, other = (i << 36) | k[:, band], (j << 36) | m[:, band]
+        order = np.argsort(other, kind="stable")
+        lo, hi = np.searchsorted(other[order], key, side="left"), np.searchsorted(other[order], key, side="right")
+        n = hi - lo
+        own = np.repeat(np.arange(len(key)), n)
+        alike.append(own * len(j) + order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
+    alike = np.unique(np.concatenate(alike))
+    own, other = alike // max(1, len(j)), alike % max(1, len(j))
+    _, spot = np.unique(np.stack([i[own], _shift(u[other] - x[own], v[other] - y[own])], axis=1), axis=0, return_inverse=True)
+    spot = spot.reshape(-1)
     full = None
-    for detail in (p[own], q[other]):
-        bins, votes = np.unique(np.unique(np.stack([shift, detail], axis=1), axis=0)[:, 0], return_counts=True)
-        full = bins[votes >= VOTES] if full is None else np.intersect1d(full, bins[votes >= VOTES])
-    return len(full) > 0
+    for detail in (own, other):
+        got = np.bincount(np.unique(spot * (1 << 32) + detail) >> 32, minlength=int(spot.max(initial=-1)) + 1)
+        full = got if full is None else np.minimum(full, got)
+    out = np.zeros(len(pairs), dtype=bool)
+    if len(own):
+        of = np.zeros(len(full), np.int64)
+        of[spot] = i[own]
+        out[of[full >= least[of]]] = True
+    return out
 
 
 def _verify(candidates: DataFrame, classes: DataFrame) -> DataFrame:
@@ -168,110 +196,151 @@ def _verify(candidates: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for t in batches:
-            ok = [consensus(p, q) for p, q in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
-            yield t.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            for i in range(0, t.num_rows, 500):
+                part = t.slice(i, 500)
+                ok = consensus(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())))
+                yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(x, "a").join(y, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _rare_votes(rare: DataFrame) -> DataFrame:
-    """a, b, n: the votes of the fullest bin of each pair in buckets of at most HOT entries."""
-    ordered = rare.repartition(shuffle_partitions(rare.sparkSession), "key").sortWithinPartitions("key", "rep")
+def sketch(classes: DataFrame) -> np.ndarray:
+    """How many entries each bin has, over all images: BINS numbers."""
+
+    def run(batches):
+        n = np.zeros(BINS, np.int64)
+        for b in batches:
+            if b.num_rows:
+                n += np.bincount(_bin(_details(b.column(0).to_pylist())[1].ravel()), minlength=BINS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bin", "n"])
+
+    got = classes.select("points").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BINS, np.int64)
+    out[got["bin"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
 
-    def vote(batches):
-        left, held = None, []
 
-        def flush():
-            t = np.concatenate(held)
-            held.clear()
-            u, n = np.unique(t, axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy()), pa.array(u[:, 2].copy()), pa.array(n)], ["a", "b", "bin", "n"])
+def _entries(classes: DataFrame, load: np.ndarray, common: int) -> DataFrame:
+    """route, key, rep, n (details of the image), first (whether the detail is in its prefix), x, y, large."""
 
-        def take(k, r, p):
-            for d in range(1, HOT):
-                i = np.flatnonzero((k[d:] == k[:-d]) & (r[d:] != r[:-d]))
-                if not len(i) and not (k[d:] == k[:-d]).any():
-                    break
-                held.append(np.stack([r[i], r[i + d], _bins(p[i], p[i + d])], axis=1))
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            reps, points = b.column(0).to_numpy(), b.column(1).to_pylist()
+            own, key, x, y = _details(points)
+            size = np.bincount(own, minlength=len(points))
+            count = load[_bin(key.ravel())].reshape(key.shape)
+            order = np.lexsort((mix(key[:, 0].astype(np.uint64)), count.max(axis=1), own))
+            rank = np.empty(len(own), np.int64)
+            rank[order] = np.arange(len(own)) - (np.cumsum(size) - size)[own]
+            n = size[own]
+            first = rank < n - need(n) + TRIES
+            large = count > common
+            rep = reps[own]
+            keys = key.T.ravel()
+            large = large.T.ravel()
+            rep, n, first, x, y = (np.tile(c, BANDS) for c in (rep, n, first, x, y))
+            spread = mix(keys.astype(np.uint64) ^ mix(rep.astype(np.uint64))).view(np.int64)
+            cols = [np.where(large, spread, keys), keys, rep, n.astype(np.int32), first, x.astype(np.int32), y.astype(np.int32), large]
+            for i in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], ["route", "key", "rep", "n", "first", "x", "y", "large"])
+
+    rows = classes.filter(F.octet_length("points") >= LEAST * 4 * (3 + BANDS)).select("rep", "points")
+    return rows.mapInArrow(run, "route long, key long, rep long, n int, first boolean, x int, y int, large boolean")
+
+
+def _buckets(entries: DataFrame) -> DataFrame:
+    """kind 0: votes (a, b, shift, n) of buckets of at most HOT entries; kind 1: entries of larger ones (a: rep, b: key,
+    n: details, shift: 1 if in the prefix)."""
+    ordered = entries.repartition(shuffle_partitions(entries.sparkSession), "route").sortWithinPartitions("route", "key", "rep")
+    names = ["kind", "a", "b", "shift", "n"]
+
+    def batch(kind, a, b, shift, n):
+        cols = (np.full(len(a), kind, np.int32), a, b, shift, n)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int32 if k == 0 else np.int64)) for k, c in enumerate(cols)], names)
+
+    def take(cols):
+        key, rep, n, first, x, y, large = cols
+        if not len(key):
+            return
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        size = np.repeat(np.diff(edge), np.diff(edge))
+        hot = (size > HOT) | large.astype(bool)
+        if hot.any():
+            yield batch(1, rep[hot], key[hot], first[hot], n[hot])
+        found = []
+        for d in range(1, HOT):
+            i = np.flatnonzero((key[d:] == key[:-d]) & ~hot[d:] & ~hot[:-d])
+            if not len(i):
+                break
+            j = i + d
+            # the detail of the smaller image must be in its prefix
+            ok = (rep[i] != rep[j]) & np.where(n[i] < n[j], first[i], np.where(n[j] < n[i], first[j], first[i] | first[j])).astype(bool)
+            i, j = i[ok], j[ok]
+            found.append(np.stack([rep[i], rep[j], _shift(x[j] - x[i], y[j] - y[i])], axis=1))
+        if found:
+            u, c = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            yield batch(0, u[:, 0], u[:, 1], u[:, 2], c)
 
+    def run(batches):
+        left = None
         for b in batches:
-            k, r, p = (b.column(c).to_numpy() for c in range(3))
-            if left is not None:
-                k, r, p = (np.concatenate(x) for x in zip(left, (k, r, p)))
-            if not len(k):
+            if not b.num_rows:
                 continue
-            cut = int(np.searchsorted(k, k[-1]))
-            left = (k[cut:], r[cut:], p[cut:])
-            take(k[:cut], r[:cut], p[:cut])
-            if sum(map(len, held)) > 1_000_000:
-                yield flush()
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)]
+            if left is not None:
+                cols = [np.concatenate(c) for c in zip(left, cols)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
+            left = [c[cut:] for c in cols]
+            yield from take([c[:cut] for c in cols][1:])
         if left is not None:
-            take(*left)
-        if held:
-            yield flush()
+            yield from take(left[1:])
 
-    votes = ordered.mapInArrow(vote, "a long, b long, bin long, n long").groupBy("a", "b", "bin").agg(F.sum("n").alias("n"))
-    return votes.groupBy("a", "b").agg(F.max("n").alias("n"))
+    return ordered.mapInArrow(run, "kind int, a long, b long, shift long, n long")
 
 
 def links(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes with geometric consensus, enough of them that the components are exact.
 
-    Buckets of at most HOT entries vote for all their pairs. Entries of larger buckets are ordered by the size of their
-    bucket; those of an image's VOTES - 1 commonest details can't reach a consensus alone and are left out of the search.
-    In what remains of a large bucket, all images are compared with its smallest one, and then those outside the bucket's
-    largest component with all images of other components: no pair that could join two components stays uncompared.
+    Pairs that meet in small buckets only are counted: those with too few votes at each shift, even if all of the large
+    buckets' entries of the image that has fewer were added, are no candidates. In a large bucket every prefix entry is
+    compared with the image that has most details; where a bucket's images are in several components after that, its
+    prefix entries are compared with the larger images of other components. So no pair that could join two components
+    stays uncompared, and pairs already in one component aren't compared.
     """
-
-    def entries(batches):
-        for b in batches:
-            for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key, place = _entries(p)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), i)), pa.array(place)], ["key", "rep", "place"])
-
-    rows = classes.mapInArrow(entries, "key long, rep long, place long")
-    large = spill(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT), "large")
-    votes = spill(_rare_votes(rows.join(large.select("key"), "key", "left_anti").select("key", "rep", "place")), "votes")
-    order = (F.col("size").desc(), F.col("key").desc())
-    hot = rows.join(large, "key").withColumn("nth", F.row_number().over(Window.partitionBy("rep", "place").orderBy(*order)))
-    hot = hot.withColumn("details", F.sum((F.col("nth") == 1).cast("int")).over(Window.partitionBy("rep").orderBy(*order, "place")))
-    hot = spill(hot.select("key", "rep", "size", "details"), "large-entries")
-    n_hot = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("h"))
-    near = votes.join(n_hot.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a", "left").join(n_hot.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b", "left")
-    near = near.filter(F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= VOTES)
-    member = hot.filter(F.col("details") >= VOTES)
-    pivot = member.groupBy("key").agg(F.min("rep").alias("a"))
-    starred = member.join(pivot, "key").filter("a <> rep").groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    stars = spill(near.select("a", "b", "n").unionByName(starred), "candidates")
-    # each image with its likeliest partner first: what that links needs no further comparison
-    likely = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    found = spill(_verify(likely, classes), "links-0")
-    roots = spill(components(found), "roots-0")
-    ends = stars.select("a", "b").distinct().join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    apart = ends.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    found = spill(found.unionByName(_verify(apart, classes)), "links-1")
-    roots = spill(components(found), "roots-1")
-    placed = member.select("key", "rep").distinct().join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    outside = placed.join(main, "key").filter("root <> main").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"))
-    rest = outside.join(placed.select("key", F.col("rep").alias("b"), F.col("root").alias("rb")), "key").filter("ra <> rb").select("a", "b")
+    total = classes.count()
+    met = spill(_buckets(_entries(classes, sketch(classes), max(HOT, int(COMMON * total)))), "met")
+    hot = met.filter("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("rep"), "n", (F.col("shift") == 1).alias("first"))
+    votes = met.filter("kind = 0").groupBy("a", "b", "shift").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(F.max("n").alias("n"))
+    n_hot = hot.filter("first").groupBy("rep").agg(F.count(F.lit(1)).alias("h"))
+    few = votes.filter(F.col("n") < TRIES).join(n_hot.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a", "left").join(n_hot.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b", "left")
+    few = few.filter(F.col("n") + F.greatest(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= TRIES)
+    fullest = hot.groupBy("key").agg(F.max(F.struct("n", "rep")).alias("m")).select("key", F.col("m.rep").alias("b"))
+    starred = hot.filter("first").join(fullest, "key").select(F.col("rep").alias("a"), "b")
+    near = votes.filter(F.col("n") >= TRIES).select("a", "b").unionByName(few.select("a", "b")).unionByName(starred)
+    found = spill(_verify(near, classes), "links")
+    roots = spill(components(found), "roots")
+    placed = hot.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "first", F.coalesce("root", "rep").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+    apart = spill(placed.join(split, "key"), "apart")
+    x = apart.filter("first").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    y = apart.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    rest = x.join(y, "key").filter("ra <> rb AND nb >= na").select("a", "b")
     return found.unionByName(_verify(rest, classes)).distinct()
 
 
 def copies(described: DataFrame) -> DataFrame:
-    """id, n_keypoints, component_id, n_links (compared links of its class to different images)."""
+    """id, n_keypoints, component_id: images linked, over any number of steps, have the smallest id among them."""
     held = spill(described, "keypoints")
     known = held.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
     least = known.groupBy("digest").agg(F.min(F.struct("id", "points")).alias("r"))
     classes = spill(least.select("digest", F.col("r.id").alias("rep"), F.col("r.points").alias("points")), "images")
-    pairs = spill(links(classes.select("rep", "points")), "copies")
-    roots = components(pairs)
-    n = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).groupBy("n").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").join(n, F.col("rep") == F.col("n"), "left")
-    named = named.select("digest", F.coalesce("root", "rep").alias("root"), "n_links")
+    roots = components(links(classes.select("rep", "points")))
+    named = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = held.select("id", "n_keypoints", "digest").join(named, "digest", "left")
-    return out.select("id", "n_keypoints", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("id", "n_keypoints", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
