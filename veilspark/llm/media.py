@@ -7,8 +7,8 @@ fewer, LEAST at least; so crops and edits are found, and pages that share a head
 
 Descriptors meet in Hamming tables: each is cut into BANDS, and details with an equal band are alike. Every image has its
 details in one order, rare ones first (by counts of all bands in BINS bins; they change the order only, never a result).
-All but the last need - TRIES of them are its prefix: whatever it may be linked with shares TRIES details of the prefix of
-the image that has fewer. Buckets of at most HOT entries vote for their pairs of prefix details and others by shift.
+An image linked with a larger one shares at least TRIES of all but its last need() - TRIES details (its prefix), and one
+of all but its last need() - 1. Buckets of at most HOT entries vote for their pairs of prefix details and others by shift.
 Larger buckets, where copies of one image or common details meet, are searched by components: each prefix entry is
 compared with the bucket's fullest image, and what is still apart then is compared across components; see links().
 
@@ -37,9 +37,10 @@ PATCH, RADIUS, CORNER, BANDS, SHIFT = 7, 8, 3e5, 2, 8
 LEAST, TRIES, HOT, BINS = 3, 3, 32, 1 << 16
 COMMON = 0.01  # share of all images: a bin with more entries is dealt over tasks like a large bucket
 WIDTH = 128
-MARGIN = 60  # of nine pixels' sum: what flat places differ by through noise is no difference
+MARGIN = 24  # of nine pixels' sum: what flat places differ by through noise is no difference
 _rng = np.random.default_rng(11)
 TESTS = _rng.integers(-PATCH, PATCH + 1, size=(32 * BANDS, 4))
+FULL = 0.7  # share of a patch that isn't blank: shapes of blank places are the same in many images
 TAG, BLOCK, HIDDEN = re.compile(r"<[^>]*>"), re.compile(r"</?(?:p|div|h\d|li|ul|tr|table|article|nav|br)\b[^>]*>"), re.compile(r"<(script|style|title)\b.*?</\1>|<!--.*?-->", re.S)
 
 
@@ -93,7 +94,7 @@ def _highest(a: np.ndarray, n: int) -> np.ndarray:
 
 
 def keypoints(image: np.ndarray | None) -> np.ndarray:
-    """Rows of x, y, scale and BANDS numbers of 32 bits: an image's corners."""
+    """Rows of x, y, scale and BANDS numbers of 32 bits: an image's corners, of equal ones the topmost."""
     found = []
     edge = int(PATCH * 1.5) + 2
     for scale in (0, 1):
@@ -110,6 +111,8 @@ def keypoints(image: np.ndarray | None) -> np.ndarray:
             y, x = y + edge, x + edge
             off = np.arange(-PATCH, PATCH + 1)
             p = 9 * 255 - s[(y - 1)[:, None, None] + off[:, None], (x - 1)[:, None, None] + off]
+            full = (p > 0).mean(axis=(1, 2)) >= FULL
+            x, y, p = x[full], y[full], p[full]
             angle = np.arctan2((p.sum(axis=2) * off).sum(axis=1), (p.sum(axis=1) * off).sum(axis=1))
             c, d = np.cos(angle)[:, None], np.sin(angle)[:, None]
             at = lambda u, v: s[(y - 1)[:, None] + np.rint(d * u + c * v).astype(np.int32), (x - 1)[:, None] + np.rint(c * u - d * v).astype(np.int32)]
@@ -119,7 +122,10 @@ def keypoints(image: np.ndarray | None) -> np.ndarray:
         h, w = (image.shape[0] // 2) * 2, (image.shape[1] // 2) * 2
         image = image[:h, :w].astype(np.float32)
         image = (image[::2, ::2] + image[1::2, ::2] + image[::2, 1::2] + image[1::2, 1::2]) / 4
-    return np.concatenate(found) if found else np.zeros((0, 3 + BANDS), "<u4")
+    if not found:
+        return np.zeros((0, 3 + BANDS), "<u4")
+    found = np.concatenate(found)  # by scale, then from top to bottom
+    return found[np.sort(np.unique(found[:, 2:], axis=0, return_index=True)[1])]
 
 
 def describe(rows: DataFrame, paint, key: str, column: str) -> DataFrame:
@@ -190,8 +196,8 @@ def consensus(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
 
 
 def _verify(candidates: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a < b) among the candidates that have geometric consensus."""
-    pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    """The pairs among the candidates that have geometric consensus. The details of a, which has fewer, go to those of b."""
+    pairs = candidates.filter("a <> b").distinct()
     x, y = (classes.select(F.col("rep").alias(k), F.col("points").alias(f"p{k}")) for k in "ab")
 
     def run(batches):
@@ -222,7 +228,8 @@ def sketch(classes: DataFrame) -> np.ndarray:
 
 
 def _entries(classes: DataFrame, load: np.ndarray, common: int) -> DataFrame:
-    """route, key, rep, n (details of the image), first (whether the detail is in its prefix), x, y, large."""
+    """route, key, rep, n (details of the image), first (2: in the prefix that shares one detail with any link, 1: in
+    that which shares TRIES, 0: in none), x, y, large."""
 
     def run(batches):
         for b in batches:
@@ -236,24 +243,24 @@ def _entries(classes: DataFrame, load: np.ndarray, common: int) -> DataFrame:
             rank = np.empty(len(own), np.int64)
             rank[order] = np.arange(len(own)) - (np.cumsum(size) - size)[own]
             n = size[own]
-            first = rank < n - need(n) + TRIES
+            first = (rank < n - need(n) + TRIES).astype(np.int64) + (rank < n - need(n) + 1)
             large = count > common
             rep = reps[own]
             keys = key.T.ravel()
             large = large.T.ravel()
             rep, n, first, x, y = (np.tile(c, BANDS) for c in (rep, n, first, x, y))
             spread = mix(keys.astype(np.uint64) ^ mix(rep.astype(np.uint64))).view(np.int64)
-            cols = [np.where(large, spread, keys), keys, rep, n.astype(np.int32), first, x.astype(np.int32), y.astype(np.int32), large]
+            cols = [np.where(large, spread, keys), keys, rep, n.astype(np.int32), first.astype(np.int32), x.astype(np.int32), y.astype(np.int32), large]
             for i in range(0, len(keys), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], ["route", "key", "rep", "n", "first", "x", "y", "large"])
 
     rows = classes.filter(F.octet_length("points") >= LEAST * 4 * (3 + BANDS)).select("rep", "points")
-    return rows.mapInArrow(run, "route long, key long, rep long, n int, first boolean, x int, y int, large boolean")
+    return rows.mapInArrow(run, "route long, key long, rep long, n int, first int, x int, y int, large boolean")
 
 
 def _buckets(entries: DataFrame) -> DataFrame:
-    """kind 0: votes (a, b, shift, n) of buckets of at most HOT entries; kind 1: entries of larger ones (a: rep, b: key,
-    n: details, shift: 1 if in the prefix)."""
+    """kind 0: votes (a, b, shift, n; a has fewer details, or as many and a smaller id) of buckets of at most HOT entries; kind 1: entries of larger ones (a: rep, b: key,
+    n: details, shift: first)."""
     ordered = entries.repartition(shuffle_partitions(entries.sparkSession), "route").sortWithinPartitions("route", "key", "rep")
     names = ["kind", "a", "b", "shift", "n"]
 
@@ -268,8 +275,10 @@ def _buckets(entries: DataFrame) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.repeat(np.diff(edge), np.diff(edge))
         hot = (size > HOT) | large.astype(bool)
-        if hot.any():
-            yield batch(1, rep[hot], key[hot], first[hot], n[hot])
+        if hot.any():  # one row per image: in its prefix if any of its equal details is
+            k, r = key[hot], rep[hot]
+            head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
+            yield batch(1, r[head], k[head], np.maximum.reduceat(first[hot], head), n[hot][head])
         found = []
         for d in range(1, HOT):
             i = np.flatnonzero((key[d:] == key[:-d]) & ~hot[d:] & ~hot[:-d])
@@ -279,6 +288,7 @@ def _buckets(entries: DataFrame) -> DataFrame:
             # the detail of the smaller image must be in its prefix
             ok = (rep[i] != rep[j]) & np.where(n[i] < n[j], first[i], np.where(n[j] < n[i], first[j], first[i] | first[j])).astype(bool)
             i, j = i[ok], j[ok]
+            i, j = np.where(n[j] < n[i], j, i), np.where(n[j] < n[i], i, j)  # rep rises from i to j where n is equal
             found.append(np.stack([rep[i], rep[j], _shift(x[j] - x[i], y[j] - y[i])], axis=1))
         if found:
             u, c = np.unique(np.concatenate(found), axis=0, return_counts=True)
@@ -312,11 +322,11 @@ def links(classes: DataFrame) -> DataFrame:
     """
     total = classes.count()
     met = spill(_buckets(_entries(classes, sketch(classes), max(HOT, int(COMMON * total)))), "met")
-    hot = met.filter("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("rep"), "n", (F.col("shift") == 1).alias("first"))
+    hot = met.filter("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("rep"), "n", (F.col("shift") == 2).alias("first"), (F.col("shift") > 0).alias("counted"))
     votes = met.filter("kind = 0").groupBy("a", "b", "shift").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(F.max("n").alias("n"))
-    n_hot = hot.filter("first").groupBy("rep").agg(F.count(F.lit(1)).alias("h"))
-    few = votes.filter(F.col("n") < TRIES).join(n_hot.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a", "left").join(n_hot.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b", "left")
-    few = few.filter(F.col("n") + F.greatest(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= TRIES)
+    n_hot = hot.filter("counted").groupBy("rep").agg(F.count(F.lit(1)).alias("h"))
+    few = votes.filter(F.col("n") < TRIES).join(n_hot.select(F.col("rep").alias("a"), "h"), "a").filter(F.col("n") + F.col("h") >= TRIES)
+    hot = hot.groupBy("key", "rep").agg(F.max("n").alias("n"), F.max("first").alias("first"))
     fullest = hot.groupBy("key").agg(F.max(F.struct("n", "rep")).alias("m")).select("key", F.col("m.rep").alias("b"))
     starred = hot.filter("first").join(fullest, "key").select(F.col("rep").alias("a"), "b")
     near = votes.filter(F.col("n") >= TRIES).select("a", "b").unionByName(few.select("a", "b")).unionByName(starred)
@@ -328,7 +338,7 @@ def links(classes: DataFrame) -> DataFrame:
     x = apart.filter("first").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
     y = apart.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
     rest = x.join(y, "key").filter("ra <> rb AND nb >= na").select("a", "b")
-    return found.unionByName(_verify(rest, classes)).distinct()
+    return found.unionByName(_verify(rest, classes))
 
 
 def copies(described: DataFrame) -> DataFrame:
