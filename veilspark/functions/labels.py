@@ -2,31 +2,92 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Label synonyms after the last hyphen or underscore.
-NER_KINDS = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORG", "ORGANIZATION": "ORG", "LOC": "LOCATION", "LOCATION": "LOCATION", "GPE": "LOCATION"}
+#: Kinds by the last part of a label, and by a span model's label.
+NER_KINDS = {
+    **dict.fromkeys(("PER", "PERSON", "GIVENNAME", "SURNAME", "FIRSTNAME", "LASTNAME", "NAME"), "PERSON"),
+    **dict.fromkeys(("ORG", "ORGANIZATION", "COMPANY"), "ORG"),
+    **dict.fromkeys(("LOC", "GPE", "LOCATION", "CITY", "STATE", "COUNTRY"), "LOCATION"),
+}
+KIND_ORDER = ["PERSON", "ORG", "LOCATION"]
+
+
+def _kind(label: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in NER_KINDS.items() for x in kv]), label)
 
 
 def label_kind(label: Column) -> Column:
-    last = F.upper(F.element_at(F.split(label, "[-_]"), -1))
-    return F.create_map(*[F.lit(x) for kv in NER_KINDS.items() for x in kv])[last]
+    return _kind(F.upper(F.element_at(F.split(label, "[-_]"), -1)))
+
+
+def begins(label: Column) -> Column:
+    """Whether a label says that an entity begins: B before the first hyphen or underscore."""
+    return F.upper(F.element_at(F.split(label, "[-_]"), 1)) == "B"
+
+
+def span_labels(raw: Column) -> Column:
+    """The labels of a comma-separated list with their kinds; null if one has no kind or there is none."""
+    names = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
+    pairs = F.transform(names, lambda x: F.struct(x.alias("label"), _kind(F.upper(x)).alias("kind")))
+    return F.when((F.size(pairs) > 0) & F.forall(pairs, lambda p: p["kind"].isNotNull()), pairs)
+
+
+def labels_fit(id2label: Column, classes: Column) -> Column:
+    """Whether a label map names exactly the classes 0 to classes - 1."""
+    return F.coalesce((F.size(id2label) == classes) & F.forall(F.sequence(F.lit(0), F.greatest(classes, F.lit(1)) - 1), lambda i: F.map_contains_key(id2label, i.cast("string"))), F.lit(False))
 
 
 def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
-def bio_decode(tokens: DataFrame, key: str) -> DataFrame:
+def bio_decode(tokens: DataFrame, key: str, text: str | None = None) -> DataFrame:
     """Entities (key, kind, start, end) of labelled tokens (key, ord, label, start, end): a token goes on if its kind is
-    that of the one before and its label does not begin a new one; a label without a kind ends the entity."""
+    that of the one before and its label does not begin a new one; a label without a kind ends the entity. text: a column
+    of the whole text, if blanks around an entity are to be cut off; an entity of blanks only goes."""
     order = W.partitionBy(key).orderBy("ord")
     t = tokens.withColumn("kind", label_kind(F.col("label")))
-    goes_on = F.col("kind").eqNullSafe(F.lag("kind").over(order)) & ~F.upper("label").startswith("B-")
-    t = t.withColumn("__e", F.sum(F.when(goes_on, 0).otherwise(1)).over(order)).filter(F.col("kind").isNotNull())
-    return t.groupBy(key, "__e", "kind").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__e")
+    goes_on = F.col("kind").eqNullSafe(F.lag("kind").over(order)) & ~begins(F.col("label"))
+    t = t.withColumn("entity", F.sum(F.when(goes_on, 0).otherwise(1)).over(order)).filter(F.col("kind").isNotNull())
+    found = t.groupBy(key, "entity", "kind").agg(F.min("start").alias("start"), F.max("end").alias("end"), *([F.first(text).alias("whole")] if text else []))
+    if text:
+        own = F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start"))
+        found = found.select(key, "kind", "start", "end", F.regexp_replace(own, r"^\s+", "").alias("own"))
+        found = found.select(key, "kind", (F.col("end") - F.length("own")).alias("start"), F.regexp_replace("own", r"\s+\z", "").alias("own")).filter("own <> ''")
+        return found.select(key, "kind", "start", (F.col("start") + F.length("own")).cast("int").alias("end"))
+    return found.drop("entity")
+
+
+WORDS = re.compile(r"\w+(?:[-_]\w+)*|\S")
+
+
+def split_words(text: Column) -> Column:
+    """Places of words, hyphenated ones as one, and of single other characters; null for null."""
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def places(a: pa.Array) -> pa.Array:
+        found = [None if t is None else [{"start": m.start(), "end": m.end()} for m in WORDS.finditer(t)] for t in a.to_pylist()]
+        return pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return places(text)
+
+
+def best_spans(scores: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+    """key, kind, start_word, end_word: of scored word spans (key, start_word, end_word, kind, logit) above the threshold,
+    the likeliest first (then the earlier, the longer, by kind), each that shares no word with one taken before."""
+    rank = F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind"))
+    likely = scores.withColumn("p", sigmoid(F.col("logit"))).filter((F.col("p") >= threshold) & (F.col("start_word") <= F.col("end_word")))
+    row = F.struct((-F.col("p")).alias("p"), F.col("start_word").alias("s"), (-F.col("end_word")).alias("e"), rank.alias("r"), F.col("kind").alias("kind"))
+    greedy = """aggregate(rows, cast(array() AS array<struct<s:int,e:int,kind:string>>), (taken, x) ->
+        CASE WHEN exists(taken, t -> x.s <= t.e AND t.s <= -x.e) THEN taken ELSE concat(taken, array(named_struct('s', x.s, 'e', -x.e, 'kind', x.kind))) END)"""
+    got = likely.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("rows")).select(key, F.explode(F.expr(greedy)).alias("t"))
+    return got.select(key, "t.kind", F.col("t.s").alias("start_word"), F.col("t.e").alias("end_word"))
 
 
 def chunk_ranges(n: Column, window: int = 480, overlap: int = 32) -> Column:
@@ -38,5 +99,5 @@ def chunk_ranges(n: Column, window: int = 480, overlap: int = 32) -> Column:
 
 def safe_prefix(pending: Column) -> Column:
     """How much of a streamed text can't be part of an unfinished token."""
-    tail = F.regexp_extract(pending, r"(\[[A-Za-z0-9 _\-]{0,32})$", 1)
+    tail = F.regexp_extract(pending, r"(\[[A-Za-z0-9 _\-]{0,32})\z", 1)
     return F.length(pending) - F.length(tail)

@@ -1,85 +1,51 @@
-"""Recognisers as data, and detection as one projection: an array of spans per text, without a shuffle.
+"""Detection as one projection: an array of spans per text, without a shuffle.
 
-A recogniser is a pattern with a rule. Positions come from splitting the text at the matches and summing the lengths of
-gaps and matches; they count code points, ends exclusive. Boundaries are look-arounds on ASCII word characters, so that
-a value next to a letter of another script is found.
+The scan itself (functions/scan.py) runs in Arrow batches; everything around it is expressions. Positions count code
+points, ends exclusive. Boundaries are ASCII word characters, so that a value next to a letter of another script is found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import validators as V
+from ..functions import scan as S
+from ..functions.scan import DOMESTIC, NAMES, PRIORITY  # noqa: F401
 
-GAP = r"[\t    -   　]{1,4}"
-CARD_GAP = r"[\t    -   　-]{1,4}"
-PHONE_GAP = r"[\t    -   　./()-]{1,4}"
-B, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-
-#: kind -> rank by which a union of overlapping spans is named.
-PRIORITY = {"SECRET": 7, "IBAN": 6, "CARD": 5, "SSN": 4, "NATID": 4, "PHONE": 3, "TAXID": 2, "EMAIL": 1, "PERSON": 0, "ORG": 0, "LOCATION": 0}
-
-#: (name, kind, pattern, rule on h, rule for a verified span)
-RECOGNISERS = [
-    ("secret", "SECRET", rf"{B}(?:sk-[A-Za-z0-9_-]{{5,}}[A-Za-z0-9_]{E}|AKIA[0-9A-Z]{{16}}{E})", None, None),
-    ("iban", "IBAN", rf"{B}[A-Za-z]{{2}}\d{{2}}(?:[A-Za-z0-9]{{11,30}}|(?:{GAP}[A-Za-z0-9]{{4}}){{2,7}}(?:{GAP}[A-Za-z0-9]{{1,4}})?){E}", V.iban_gate("h"), f"{V.iban_mod97('h')} AND {V.iban_length('h')}"),
-    ("card", "CARD", rf"{B}(?:\d{{4}}{CARD_GAP}\d{{4}}{CARD_GAP}\d{{4}}{CARD_GAP}\d{{4}}(?:{CARD_GAP}\d{{1,3}})?|\d{{4}}{CARD_GAP}\d{{6}}{CARD_GAP}\d{{4,5}}|\d{{13,19}}){E}", V.card("h"), None),
-    ("phone_cc", "PHONE", rf"\+\d{{1,3}}(?:{PHONE_GAP}\d{{1,8}}){{1,6}}{E}|\+\d{{8,15}}{E}", "length(regexp_replace(h, '[^0-9]', '')) BETWEEN 8 AND 15", None),
-    ("email", "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", None, None),
-    ("phone_us", "PHONE", rf"(?:\+1{PHONE_GAP})?(?:\(\d{{3}}\){PHONE_GAP}|\d{{3}}{PHONE_GAP})\d{{3}}{PHONE_GAP}\d{{4}}", None, None),
-    ("ssn", "SSN", rf"{B}\d{{3}}-\d{{2}}-\d{{4}}{E}", None, None),
-    ("it_cf", "NATID", rf"{B}[A-Za-z]{{6}}\d{{2}}[A-Za-z]\d{{2}}[A-Za-z]\d{{3}}[A-Za-z]{E}", V.it_cf("h"), None),
-    ("gb_nino", "NATID", rf"{B}[A-Za-z]{{2}}(?:\d{{6}}|{GAP}\d{{2}}{GAP}\d{{2}}{GAP}\d{{2}}{GAP})[A-Da-d]{E}", V.nino_prefix("h"), None),
-    ("es_dni", "NATID", rf"{B}(?:[XYZxyz]\d{{7}}|\d{{8}})[A-Za-z]{E}", V.es_dni("h"), None),
-    ("fr_nir", "NATID", rf"{B}[12]\d{{2}}(?:0[1-9]|1[0-2]|20|3\d|4[0-2]|[5-9]\d)\d{{10}}{E}", V.fr_nir("h"), None),
-    ("nine_digit", "NATID", rf"{B}\d{{9}}{E}", V.nine_digit_id("h"), None),
-    ("eleven_digit", "NATID", rf"{B}\d{{11}}{E}", V.eleven_digit_id("h"), None),
-    ("lv_dashed", "NATID", rf"{B}\d{{6}}-\d{{5}}{E}", V.lv_code("replace(h, '-', '')"), None),
-    ("cn_id", "NATID", rf"{B}\d{{17}}[0-9Xx]{E}", V.cn_id("h"), None),
-    ("vat_it_bare", "TAXID", rf"{B}\d{{11}}{E}", V.piva("h"), None),
-    ("vat_it", "TAXID", rf"{B}[Ii][Tt]\d{{11}}{E}", V.piva("substr(h, 3)"), None),
-    ("vat_de", "TAXID", rf"{B}[Dd][Ee]\d{{9}}{E}", V.de_vat("substr(h, 3)"), None),
-    ("vat_gb", "TAXID", rf"{B}[Gg][Bb]\d{{9}}{E}", V.gb_vat("substr(h, 3)"), None),
-    ("vat_pt", "TAXID", rf"{B}[Pp][Tt]\d{{9}}{E}", V.nif("substr(h, 3)"), None),
-    ("vat_nl", "TAXID", rf"{B}[Nn][Ll]\d{{9}}[Bb]\d{{2}}{E}", None, V.bsn("substr(h, 3, 9)")),
-]
-PATTERN = {r[0]: r[2] for r in RECOGNISERS}
 SPAN = "struct<kind:string,start:int,end:int,text:string,verified:boolean>"
+_FIELDS = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("verified", pa.bool_())]
+#: The e-mail pattern for SQL engines: possessive, and only where a run of its characters starts, so that time is linear.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL_LINEAR = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: What every recogniser's text must hold; other texts never leave the JVM.
+NEEDED = r"[@\p{Nd}]|sk-|AKIA"
 
 
-def _literal(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _bound(rule: str) -> str:
-    """A rule on h as a rule on the field of the span s."""
-    import re
-
-    return re.sub(r"\bh\b", "s.h", rule)
+def spans(text: Column, names: list[str] | None = None, locales: list[str] | None = None) -> Column:
+    """Array of raw spans of a text; empty for null. names: recognisers; locales: regions of domestic phones, none by default."""
 
+    @F.arrow_udf(f"array<{SPAN}>")
+    def found(a: pa.Array) -> pa.Array:
+        extra = S.domestic(locales) if locales is not None or set(names or ()) & set(DOMESTIC) else []
+        offsets, rows = [0], []
+        for t in a.to_pylist():
+            rows += S.scan(t, names, locales, S.Budget(float("inf")), extra) if t else []
+            offsets.append(len(rows))
+        cols = list(zip(*rows)) or [()] * 5
+        parts = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, _FIELDS)], fields=[pa.field(*f) for f in _FIELDS])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)
 
-def spans_of(name: str, column: str) -> str:
-    """SQL: the array of accepted spans of one recogniser in a text column."""
-    _, kind, pattern, rule, verified = next(r for r in RECOGNISERS if r[0] == name)
-    p = _literal(pattern)
-    found = f"""aggregate(zip_with(split({column}, {p}, -1), regexp_extract_all({column}, {p}, 0), (g, h) -> named_struct('g', length(g), 'h', h)),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,end:int,h:string>>)),
-        (a, x) -> CASE WHEN x.h IS NULL THEN a ELSE named_struct('at', a.at + x.g + length(x.h), 'out', concat(a.out, array(named_struct('start', a.at + x.g, 'end', a.at + x.g + length(x.h), 'h', x.h)))) END,
-        a -> a.out)"""
-    kept = f"filter({found}, s -> {_bound(rule)})" if rule else found
-    return f"transform({kept}, s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.end, 'text', s.h, 'verified', {_bound(verified) if verified else 'true'}))"
+    # a null goes through the scan for nothing; nondeterministic: never computed twice, whatever reads it
+    return found.asNondeterministic()(F.when(text.rlike(NEEDED), text))
 
 
-def with_spans(df: DataFrame, text: str = "text", out: str = "spans", names: list[str] | None = None) -> DataFrame:
-    """Adds the array of all raw spans. A text without any character that a pattern needs skips all patterns."""
-    names = names or [r[0] for r in RECOGNISERS]
-    need = r"rlike(`__t`, '[@0-9]|sk-|AKIA')"
-    all_ = ", ".join(spans_of(n, "`__t`") for n in names)
-    d = df.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    return d.withColumn(out, F.expr(f"CASE WHEN {need} THEN concat({all_}) ELSE cast(array() AS array<{SPAN}>) END")).drop("__t")
+def with_spans(df: DataFrame, text: str = "text", out: str = "spans", names: list[str] | None = None, locales: list[str] | None = None) -> DataFrame:
+    """Adds the array of all raw spans; all columns stay."""
+    return df.withColumn(out, spans(F.col(text), names, locales))
 
 
-def spans_table(df: DataFrame, key: str, text: str = "text", names: list[str] | None = None) -> DataFrame:
+def spans_table(df: DataFrame, key: str, text: str = "text", names: list[str] | None = None, locales: list[str] | None = None) -> DataFrame:
     """key, kind, start, end, text, verified: one row per raw span."""
-    return with_spans(df.select(key, text), text, "__s", names).select(key, F.explode("__s").alias("s")).select(key, "s.*")
+    found = df.select(F.col(key), spans(F.col(text), names, locales).alias("found"))
+    return found.select(F.col(key), F.explode("found").alias("s")).select(F.col(key), "s.*")

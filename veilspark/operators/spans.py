@@ -21,11 +21,11 @@ def resolve(spans: DataFrame, key: str) -> DataFrame:
     """
     order = W.partitionBy(key).orderBy("start", F.desc("end"))
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = spans.withColumn("__new", F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0))
-    grouped = marked.withColumn("__group", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    marked = spans.select(F.col(key), "kind", "start", "end", "verified", F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0).alias("begins"))
+    grouped = marked.withColumn("run", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
     rank = F.struct(priority(F.col("kind")), (F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("s"), F.col("kind"))
     winner = F.max_by(F.struct("kind", "start", "end", "verified"), rank)
-    got = grouped.groupBy(key, "__group").agg(
+    got = grouped.groupBy(key, "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), winner.alias("w"),
         F.collect_set(F.when(F.col("kind") == "EMAIL", F.struct("start", "end"))).alias("mails"),
     )

@@ -1,60 +1,82 @@
 """Placeholders: numbering, masking and restoration.
 
-A value keeps one placeholder per request, named by the kind under which it was first seen; numbers follow reading
-order. A token is `[KIND_n]`; restoration accepts other case, blanks, hyphens and underscores inside the brackets and
-leaves unknown tokens as they are.
+A value keeps one placeholder per request, named by the kind under which it was first seen; numbers follow reading order
+and leave out those that the text already uses. A token is `[KIND_n]`; restoration accepts other case, blanks, hyphens and
+underscores inside the brackets and leaves unknown tokens as they are.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .detect import PRIORITY, with_spans
+from ..functions import scan as S
+from .detect import NEEDED
 
 TOKEN = r"\[\s*[A-Za-z]+[ _-]*[0-9]+\s*\]"
+_MASKED = "struct<masked:string,vault:map<string,string>,status:string>"
+_MAP = pa.map_(pa.string(), pa.string())
 
 
 def number(sightings: DataFrame, request: str, order: list[str]) -> DataFrame:
     """request, text, kind, n, placeholder. sightings: request, kind, text and the order columns."""
-    first = sightings.groupBy(request, "text").agg(F.min_by("kind", F.struct(*order)).alias("kind"), F.min(F.struct(*order)).alias("__at"))
-    n = F.row_number().over(W.partitionBy(request, "kind").orderBy("__at"))
+    first = sightings.groupBy(request, "text").agg(F.min_by("kind", F.struct(*order)).alias("kind"), F.min(F.struct(*order)).alias("first_seen"))
+    n = F.row_number().over(W.partitionBy(request, "kind").orderBy("first_seen"))
     return first.withColumn("n", n).select(request, "text", "kind", "n", F.concat(F.lit("["), "kind", F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("placeholder"))
 
 
-def resolved(spans: str) -> str:
-    """SQL: an array of raw spans as disjoint unions, in order. The naming rule is that of spans.resolve()."""
-    rank = "CASE s.kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORITY.items()) + " ELSE 0 END"
-    return f"""aggregate(array_sort({spans}, (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start WHEN a.end <> b.end THEN b.end - a.end ELSE 0 END),
-        cast(array() AS array<struct<start:int,end:int,kind:string,rank:int,n:int>>),
-        (acc, s) -> CASE WHEN size(acc) = 0 OR s.start >= element_at(acc, -1).end
-            THEN concat(acc, array(named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'rank', {rank}, 'n', s.end - s.start)))
-            ELSE concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end),
-                'kind', CASE WHEN s.end > element_at(acc, -1).end AND element_at(acc, -1).kind = 'EMAIL' THEN s.kind
-                             WHEN element_at(acc, -1).kind = 'EMAIL' AND s.end <= element_at(acc, -1).end AND element_at(acc, -1).n = element_at(acc, -1).end - element_at(acc, -1).start THEN 'EMAIL'
-                             WHEN {rank} > element_at(acc, -1).rank OR ({rank} = element_at(acc, -1).rank AND s.end - s.start > element_at(acc, -1).n) THEN s.kind ELSE element_at(acc, -1).kind END,
-                'rank', greatest(element_at(acc, -1).rank, {rank}), 'n', greatest(element_at(acc, -1).n, s.end - s.start)))) END)"""
-
-
-def mask(df: DataFrame, text: str = "text", names: list[str] | None = None) -> DataFrame:
-    """Adds `masked` and `vault` (map of placeholder to original); one row is one request. No shuffle, no Python."""
-    d = with_spans(df, text, "__raw", names).withColumn("__u", F.expr(resolved("__raw"))).drop("__raw")
-    d = d.withColumn("__u", F.expr(f"transform(__u, u -> named_struct('start', u.start, 'end', u.end, 'kind', u.kind, 'text', substring(`{text}`, u.start + 1, u.end - u.start)))"))
-    d = d.withColumn("__texts", F.expr("array_distinct(transform(__u, u -> u.text))"))
-    d = d.withColumn("__kinds", F.expr("transform(__texts, x -> element_at(filter(__u, u -> u.text = x), 1).kind)"))
-    d = d.withColumn("__tokens", F.expr("transform(__kinds, (k, i) -> concat('[', k, '_', size(filter(slice(__kinds, 1, i + 1), y -> y = k)), ']'))"))
-    parts = f"""aggregate(__u, named_struct('at', 0, 'out', cast(array() AS array<string>)),
-        (a, u) -> named_struct('at', u.end, 'out', concat(a.out, array(substring(`{text}`, a.at + 1, u.start - a.at), element_at(__tokens, cast(array_position(__texts, u.text) AS int))))),
-        a -> concat(array_join(a.out, ''), substring(`{text}`, a.at + 1)))"""
-    d = d.withColumn("masked", F.when(F.size("__u") > 0, F.expr(parts)).otherwise(F.col(text)))
-    return d.withColumn("vault", F.map_from_arrays("__tokens", "__texts")).drop("__u", "__texts", "__kinds", "__tokens")
+def masked(text: Column, names: list[str] | None = None, locales: list[str] | None = None, units: float = S.UNITS, passes: int = S.PASSES) -> Column:
+    """Struct of the masked text, the vault (placeholder to original) and the status of a request with one text: `ok`, or
+    why it is blocked; then there is no masked text and no vault."""
+
+    @F.arrow_udf(_MASKED)
+    def run(a: pa.Array) -> pa.Array:
+        extra = S.domestic(locales) if locales is not None else []
+        out, vaults, status = [], [], []
+        for t in a.to_pylist():
+            vault = S.Vault([t] if t else [])
+            try:
+                out.append(S.mask(t, vault, S.Budget(units), names, locales, extra, passes) if t else t)
+                vaults.append(list(vault.original.items()))
+                status.append("ok")
+            except S.Blocked as e:
+                out.append(None)
+                vaults.append([])
+                status.append(f"blocked: {e}")
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(vaults, _MAP), pa.array(status, pa.string())], ["masked", "vault", "status"])
+
+    return run.asNondeterministic()(text)
+
+
+def mask(df: DataFrame, text: str = "text", names: list[str] | None = None, locales: list[str] | None = None, **limits) -> DataFrame:
+    """Adds `masked`, `vault` and `status`; one row is one request. No shuffle; all other columns stay."""
+    result = "result_of_masking"
+    while result in df.columns:
+        result += "_"
+    # a text that no recogniser can read stays in the JVM: it passes as it is
+    need = F.col(text).rlike(NEEDED)
+    d = df.withColumn(result, masked(F.when(need, F.col(text)), names, locales, **limits))
+    kept = [c for c in df.columns if c not in ("masked", "vault", "status")]
+    return d.select(*kept, F.when(need, F.col(f"{result}.masked")).otherwise(F.col(text)).alias("masked"), F.col(f"{result}.vault").alias("vault"), F.col(f"{result}.status").alias("status"))
 
 
 def canonical(token: Column) -> Column:
     return F.concat(F.lit("["), F.upper(F.regexp_extract(token, "([A-Za-z]+)", 1)), F.lit("_"), F.regexp_extract(token, "([0-9]+)", 1), F.lit("]"))
 
 
+def is_token(text: Column) -> Column:
+    """Whether a text is a placeholder and nothing else, of a known kind."""
+    kind = F.upper(F.regexp_extract(text, r"^\s*\[\s*([A-Za-z]+)[ _-]*[0-9]+\s*\]\s*\z", 1))
+    return F.coalesce(kind.isin(S.KINDS), F.lit(False))
+
+
+def maskable(spans: Column) -> Column:
+    """The spans that are no placeholders themselves."""
+    return F.filter(spans, lambda s: ~is_token(s["text"]))
+
+
 def demask(text: Column, vault: Column, json: bool = False) -> Column:
     """Puts the originals back, in plain or JSON-escaped form. The pieces are joined, never used as a replacement pattern."""
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import bodies
+
 MAX_BODY = 16 * 1024 * 1024
 RESPONSE_HEADERS = r"^(retry-after|x-request-id|x-ratelimit.*|openai-.*|anthropic-.*)$"
 
-MESSAGE = "struct<role:string,content:string,name:string,tool_calls:array<struct<function:struct<arguments:string>>>,function_call:struct<arguments:string>>"
-OPENAI = f"struct<messages:array<{MESSAGE}>,tools:array<struct<function:struct<description:string>>>>"
-BLOCK = "struct<type:string,text:string,thinking:string>"
-ANTHROPIC = "struct<system:string,messages:array<struct<role:string,content:string>>,tools:array<struct<description:string>>>"
-#: Where these are null, a system text or message content is no JSON array, whatever its text begins with.
-LISTED = "struct<system:array<string>,messages:array<struct<content:array<string>>>>"
+#: What a provider's preset sets: the path of chat requests, and the request headers that pass.
+PRESETS = {
+    "openai": ("/v1/chat/completions", ["openai-organization", "openai-project"]),
+    "copilot": ("/chat/completions", ["editor-version", "editor-plugin-version", "copilot-integration-id", "openai-intent"]),
+    "anthropic": ("/v1/chat/completions", ["anthropic-version", "anthropic-beta"]),
+}
 
 
 def forwardable(headers: Column) -> Column:
@@ -39,8 +41,24 @@ def env_flag(raw: Column) -> Column:
     return F.coalesce(F.lower(F.trim(raw)).isin("1", "true", "yes", "on"), F.lit(False))
 
 
+def preset(provider: Column) -> Column:
+    """Struct of a provider's chat path and the headers that pass; unknown providers get those of openai."""
+    entry = lambda v: F.struct(F.lit(v[0]).alias("chat_path"), F.array(*map(F.lit, v[1])).alias("forward_headers"))
+    known = F.create_map(*[x for k, v in PRESETS.items() for x in (F.lit(k), entry(v))])
+    return F.coalesce(F.try_element_at(known, provider), entry(PRESETS["openai"]))
+
+
+def valid_url(url: Column) -> Column:
+    """Whether a URL is http or https and has a host."""
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & (F.length(F.try_parse_url(url, F.lit("HOST"))) > 0), F.lit(False))
+
+
 def redact_url(url: Column) -> Column:
-    return F.regexp_replace(url, "^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@", "$1<redacted>@")
+    """A URL for logs: user and password are hidden, up to the last @ before the host ends; whatever is no http or https
+    URL with a host is hidden whole."""
+    hidden = F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@", "$1<redacted>@")
+    host = F.regexp_extract(hidden, r"^(?i:https?)://(?:<redacted>@)?([^/?#@\s:]+|\[[0-9A-Fa-f:.]+\])(?::[0-9]*)?(?:[/?#]|\z)", 1)
+    return F.when(F.length(host) > 0, hidden).otherwise(F.when(url.isNotNull(), F.lit("<unprintable>")))
 
 
 def credential(authorization: Column, api_key: Column, configured: Column) -> Column:
@@ -54,35 +72,11 @@ def admit(requests: DataFrame, limit: int = MAX_BODY) -> DataFrame:
     return requests.withColumn("status", F.when(F.octet_length("body") > limit, "blocked").when(parsed.isNull(), "blocked").otherwise("ok"))
 
 
-def _parts(content: Column, listed: Column) -> Column:
-    """Texts of a message's content: a string, or an array (`listed`) of strings and objects with `text`."""
-    text = lambda p: F.coalesce(F.get_json_object(p, "$.text"), F.when(~p.startswith("{"), p))
-    return F.when(listed.isNotNull(), F.filter(F.transform(listed, text), lambda t: t.isNotNull())).otherwise(F.array(content))
-
-
 def openai_fields(requests: DataFrame) -> DataFrame:
-    """request_id, field_ord, path, text: per message content, name and arguments, then the tools' descriptions."""
-    body, listed = F.from_json("body", OPENAI), F.from_json("body", LISTED)["messages"]
-    field = lambda path, text: F.struct(F.lit(path).alias("path"), text.alias("text"))
-    per_message = lambda m, i: F.concat(
-        F.transform(F.coalesce(_parts(m["content"], F.get(listed, i)["content"]), F.array()), lambda t: field("content", t)),
-        F.array(field("name", m["name"])),
-        F.transform(F.coalesce(m["tool_calls"]["function"]["arguments"], F.array().cast("array<string>")), lambda t: field("tool_call", t)),
-        F.array(field("function_call", m["function_call"]["arguments"])),
-    )
-    tools = F.transform(F.coalesce(body["tools"]["function"]["description"], F.array().cast("array<string>")), lambda t: field("tool", t))
-    all_ = F.concat(F.flatten(F.transform(body["messages"], per_message)), tools)
-    kept = F.filter(all_, lambda f: f["text"].isNotNull())
-    return requests.select("request_id", F.posexplode(kept).alias("field_ord", "f")).select("request_id", "field_ord", "f.path", "f.text")
+    """request_id, field_ord, path, text: every text of the bodies in one shape, in reading order."""
+    return bodies.fields(requests, "openai")
 
 
 def anthropic_fields(requests: DataFrame) -> DataFrame:
-    """request_id, field_ord, path, text: system, message contents, tool descriptions."""
-    body, listed = F.from_json("body", ANTHROPIC), F.from_json("body", LISTED)
-    field = lambda path, text: F.struct(F.lit(path).alias("path"), text.alias("text"))
-    none = F.array().cast("array<string>")
-    system = F.transform(F.when(body["system"].isNull(), none).otherwise(_parts(body["system"], listed["system"])), lambda t: field("system", t))
-    content = F.flatten(F.transform(body["messages"]["content"], lambda c, i: F.transform(_parts(c, F.get(listed["messages"], i)["content"]), lambda t: field("content", t))))
-    tools = F.transform(F.coalesce(body["tools"]["description"], none), lambda t: field("tool", t))
-    kept = F.filter(F.concat(system, content, tools), lambda f: f["text"].isNotNull())
-    return requests.select("request_id", F.posexplode(kept).alias("field_ord", "f")).select("request_id", "field_ord", "f.path", "f.text")
+    """As openai_fields, for the other shape."""
+    return bodies.fields(requests, "anthropic")

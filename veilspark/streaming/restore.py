@@ -12,18 +12,22 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"\[\s*([A-Za-z]+)[ _-]*([0-9]+)\s*\]")
-TAIL = re.compile(r"\[[A-Za-z0-9 _\-]{0,32}$")
+from ..functions.walks import restore
+
+#: Fixed value: what may be the beginning of a token.
+TAIL = re.compile(r"\[[A-Za-z0-9 _\-]{0,32}\Z")
 OUT = "stream_id string, key string, seq long, text string"
 STATE = "held string, vault string"
 
 
 def restore_text(text: str, vault: dict, as_json: bool = False) -> str:
-    def put(m):
-        own = vault.get(f"[{m[1].upper()}_{m[2]}]")
-        return m[0] if own is None else json.dumps(own, ensure_ascii=False)[1:-1] if as_json else own
+    return restore(text, vault, as_json)
+
 
-    return TOKEN.sub(put, text)
+def held_back(text: str) -> int:
+    """How much of a text can't be part of an unfinished token."""
+    at = text.rfind("[")
+    return at if at >= 0 and TAIL.match(text, at) else len(text)
 
 
 def _step(key, frames, state):
@@ -35,8 +39,7 @@ def _step(key, frames, state):
         if isinstance(r.delta, str):
             name = f"{int(bool(r.as_json))}{r.key}"
             text = held.pop(name, "") + r.delta
-            tail = TAIL.search(text)
-            cut = tail.start() if tail else len(text)
+            cut = held_back(text)
             if cut < len(text):
                 held[name] = text[cut:]
             rows.append((key[0], r.key, r.seq, restore_text(text[:cut], vault, bool(r.as_json))))
