@@ -15,7 +15,7 @@ from . import phones
 from .phones import digits
 
 #: Characters between groups of digits, and the rank by which a union of overlapping spans is named.
-BLANK = "\t    -   　"
+BLANK = "\t \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 GAP, CARD_GAP, PHONE_GAP = f"[{BLANK}]{{1,4}}", f"[{BLANK}-]{{1,4}}", f"[{BLANK}./()-]{{1,4}}"
 PRIORITY = {"SECRET": 7, "IBAN": 6, "CARD": 5, "SSN": 4, "NATID": 4, "PHONE": 3, "TAXID": 2, "EMAIL": 1, "PERSON": 0, "ORG": 0, "LOCATION": 0}
 #: Kinds in order; of kinds that used equally many units the later one is named.
