@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -33,12 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one only where the session names none, as in local tests."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or what setCheckpointDir was given."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
+    if not root and sc.master.startswith("local"):  # one machine: a folder beside the warehouse is shared
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
         sc.setCheckpointDir(root)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root
 
 

@@ -35,7 +35,7 @@ STEPS, WALKS = 32, 2
 SAMPLES = [(0, 2, 5, 7, 9), (0, 3, 6, 9, 13), (1, 4, 8, 12, 15), (0, 5, 11, 17, 22), (2, 8, 14, 20, 26), (0, 7, 15, 23, 31)]
 OFFSET = 3  # words between an item's offsets
 SHORT = 20  # items with fewer words are looked up by pieces, one of which any allowed edits leave whole
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20  # of the benchmark that one pass searches for
 # memory only, results don't depend on them: characters searched at once, candidate places compared at once
 CHUNK, CANDIDATES = 1 << 19, 4096
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -172,9 +172,10 @@ class Index:
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> list[list[tuple[int, str]]]:
-    """The query set, in blocks of about `size` items; each is read on its own."""
+    """The query set, in blocks of about `size` items and at most about BLOCK_BYTES; each is read on its own."""
     own = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).filter(F.col("t").isNotNull() & F.col("i").isNotNull())
-    n = max(1, -(-own.count() // size))
+    whole = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    n = max(1, -(-whole["n"] // size), -(-whole["b"] // BLOCK_BYTES))
     for k in range(n):
         part = own if n == 1 else own.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
         yield [(r["i"], r["t"]) for r in part.collect()]

@@ -11,8 +11,10 @@ from .common import discard, spill
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
     """(node, root) for every node that has a link; root is the smallest node of its component.
 
-    Each step groups by node with partial aggregates and joins the minimum back, so a hub's links are never in one
-    place by force; every round is written to the shared folder.
+    Each step groups by node with partial aggregates and joins the minimum back. A hub's links stream through that join,
+    sorted, and adaptive execution splits them over tasks where they are many; no task holds them. Every round is written
+    to the shared folder; rounds go on until nothing changes, and most_rounds, which no graph that fits a cluster needs
+    (rounds grow with the logarithm of its nodes), is an error.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -2,7 +2,8 @@
 
 Words are letters of one script run, lower-cased; a line is a chain (cut after CHAIN words). Emissions are sums of
 hashed affix, byte n-gram and whole-word features and of a lexicon learned from the training words; transitions between
-languages are learned with them, so that a chain may switch language within a text. Forward-backward gives each word's
+languages are learned with them, from chains of one language and from chains joined of two, so that a chain may switch
+language within a text. Forward-backward gives each word's
 probabilities; a text gets the language with the largest sum over all its words, and the score is its share.
 
 Long runs of letters and runs in scripts without blanks are cut into several words, so that all letters count.
@@ -33,6 +34,7 @@ SAMPLE, DOCUMENTS = 300, 19_200
 WIDTH = 1 << 16
 CHAIN, GROUP = 64, 4096
 EPOCHS, RATE, DECAY = 3, 0.5, 1e-6
+SWITCHED = 8  # one training chain in so many is joined from two
 WORD = re.compile(r"[^\W\d_]+")
 #: Scripts without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
 UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
@@ -46,8 +48,9 @@ def line_words(line: str) -> list[str]:
     for w in WORD.findall(line):
         if len(w) <= LONGEST and w.isascii():
             out.append(w)
-        else:
-            out += PIECE.findall(w)
+        else:  # numbers like 2 as a superscript or one half are no letters
+            for run in [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split():
+                out += PIECE.findall(run)
     return out
 
 
@@ -154,7 +157,14 @@ def learn(texts: list[str], langs: list[str]) -> Model:
                 c[y] += 1
             for i in range(0, len(own), CHAIN):
                 chains.append(own[i : i + CHAIN])
-                target.append(y)
+                target.append([y] * len(chains[-1]))
+    # text that switches: every SWITCHED-th chain is the beginning of one and the end of another, in the middle of a line
+    if k > 1:
+        order = np.random.default_rng(7).permutation(len(chains))
+        for a, b in zip(order[::SWITCHED].tolist(), order[1::SWITCHED].tolist()):
+            m, n = max(1, len(chains[a]) // 2), len(chains[b]) // 2
+            chains.append((chains[a][:m] + chains[b][n:])[:CHAIN])
+            target.append((target[a][:m] + target[b][n:])[:CHAIN])
     lexicon = {w: int(np.argmax(c)) for w, c in count.items() if sum(c) >= 5 and max(c) >= 0.8 * sum(c)}
     model = Model(languages, np.zeros((WIDTH + k + 1, k), np.float32), np.zeros((k, k)), lexicon)
     if not chains:
@@ -169,7 +179,7 @@ def learn(texts: list[str], langs: list[str]) -> Model:
         order = rng.permutation(len(chains))
         for i in range(0, len(order), 512):
             part = [chains[j] for j in order[i : i + 512]]
-            y = np.array([target[j] for j in order[i : i + 512]])
+            y = np.concatenate([target[j] for j in order[i : i + 512]])
             size = np.array([len(c) for c in part])
             ids = np.fromiter((code[w] for c in part for w in c), np.int64)
             row, col = np.repeat(np.arange(len(part)), size), np.concatenate([np.arange(s) for s in size])
@@ -179,9 +189,10 @@ def learn(texts: list[str], langs: list[str]) -> Model:
             emit[row, col] = np.add.reduceat(weights[f], np.cumsum(n_of[ids]) - n_of[ids], axis=0)
             m, pairs = forward_backward(emit, size, trans)
             gold = np.zeros((k, k))
-            np.add.at(gold, (y, y), size - 1)
+            within = row[1:] == row[:-1]
+            np.add.at(gold, (y[:-1][within], y[1:][within]), 1)
             miss = m[row, col]
-            miss[np.arange(len(ids)), y[row]] -= 1
+            miss[np.arange(len(ids)), y] -= 1
             grad = np.stack([np.bincount(f, weights=miss[rep, j], minlength=len(weights)) for j in range(k)], axis=1) / len(part) + DECAY * weights
             g_w += grad**2
             weights -= RATE * grad / np.sqrt(g_w)

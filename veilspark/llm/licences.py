@@ -3,8 +3,8 @@
 The automaton holds every run of consecutive words of every template. A document's words stream through it once and
 give matching statistics: at each word, the length of the longest run ending there that some template contains; each
 template is credited where its own run ends, also if a longer template goes on. Long
-matches of one template are chained, with small gaps, into covered spans; a span's score is the share of the template's
-words that it covers. Words outside all templates send the automaton back to its start, so that time is linear.
+matches of one template are chained, with small gaps and in the order of the template, into covered spans; a span's score
+is the share of the template's words that it covers, each counted once. Words outside all templates send the automaton back to its start, so that time is linear.
 
 Base labels (phrases of the contract) are places where the phrase's words stand consecutively.
 
@@ -24,17 +24,33 @@ from .common import table
 #: Phrases and labels of the base.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Template texts (openings and headers of well-known licences; a parameter of scan()).
+#: Whole texts of short licences in their parts (each part has the licence's label where it stands alone),
+#: standard headers of long ones, and common notices; a parameter of scan().
 TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ],
     "mit-notice": "released under the mit license",
     "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "apache-2.0-notice": "licensed under the apache license version 2 0",
     "gpl-3.0": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-2.0": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     "gpl-3.0-notice": "this work is licensed under the gnu general public license version 3",
-    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ],
+    "bsd-3-clause": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ],
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 LEAST_RUN = 4  # words of a match that may be chained
@@ -138,11 +154,16 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
-        self.labels = sorted(templates)
+    def __init__(self, templates: dict[str, str | list[str]], phrases: dict[str, str]):
+        parts = sorted((k, p) for k, t in templates.items() for p in ([t] if isinstance(t, str) else t))
+        self.labels = [k for k, _ in parts]
         self.code: dict[bytes, int] = {}
-        seqs = [[self.code.setdefault(w, len(self.code)) for w in templates[k].encode().translate(WORDS).split()] for k in self.labels]
+        self.seqs = seqs = [[self.code.setdefault(w, len(self.code)) for w in p.encode().translate(WORDS).split()] for _, p in parts]
         self.size = [len(s) for s in seqs]
+        self.places: list[dict] = [{} for _ in seqs]  # where each run of LEAST_RUN words stands in its template
+        for own, s in zip(self.places, seqs):
+            for i in range(len(s) - LEAST_RUN + 1):
+                own.setdefault(tuple(s[i : i + LEAST_RUN]), []).append(i)
         self.phrases = [([self.code.setdefault(w, len(self.code)) for w in p.encode().split()], label) for p, label in phrases.items()]
         self.auto = Automaton(seqs)
         self.heads = {p[0] for p, _ in self.phrases}
@@ -166,17 +187,20 @@ class Scanner:
             for end, n, k in self.auto.matches(own, LEAST_RUN):
                 chain = chains.setdefault(k, [])
                 start, stop = at + end - n + 1, at + end + 1
-                if chain and start - chain[-1][1] <= GAP:
-                    last = chain[-1]
-                    last[2] += stop - max(start, last[1])
-                    last[1] = max(stop, last[1])
+                run, seq = own[end - n + 1 : end + 1], self.seqs[k]
+                places = [p for p in self.places[k][tuple(run[:LEAST_RUN])] if seq[p : p + n] == run]
+                # a chain goes on at the next place of the template; words that it already has count no more
+                if chain and start - chain[-1][1] <= GAP and (on := [p for p in places if p + n > chain[-1][3]]):
+                    last, p = chain[-1], on[0]
+                    last[2] += p + n - max(p, last[3])
+                    last[1], last[3] = max(stop, last[1]), p + n
                 else:
-                    chain.append([start, stop, n])
-        spans = [(self.labels[k], s, e, min(1.0, n / self.size[k])) for k, c in chains.items() for s, e, n in c if n >= LEAST_SHARE * self.size[k]]
+                    chain.append([start, stop, n, places[0] + n])
+        spans = [(self.labels[k], s, e, n / self.size[k]) for k, c in chains.items() for s, e, n, _ in c if n >= LEAST_SHARE * self.size[k]]
         return len(words), sorted(places), sorted(spans, key=lambda s: (s[1], -s[3], s[0]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str | list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """doc_id, n_words, base (places), spans: one row per document, no shuffle."""
     kind = "doc_id long, n_words long, base array<struct<word:long,label:string>>, spans array<struct<label:string,first_word:long,end_word:long,share:double>>"
     base_t = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))

@@ -3,8 +3,9 @@
 Regular expressions propose spans; checksums (Luhn for cards, mod-97 for IBANs) and range rules confirm them; words
 near a span raise or lower its score. Base kinds (email, ip, card, phone) are never dropped for their score; the added
 kinds (iban, secret, ssn) are kept from a score of 0.5 on. Positions are code points, ends exclusive: the text is split
-at the matches, and a running sum over the lengths of gaps and matches gives each start. The expressions start only
-where a run of their characters starts and never step back into it, so that time stays linear in the text.
+at the matches, and a running sum over the lengths of gaps and matches gives each start; the words near a match are taken
+from the gap before it. The expressions start only where a run of their characters starts and never step back into it, and
+matches are gathered in pieces, so that time stays linear in the text.
 
 Defined results: a null text counts as empty (no spans); every input row gives one row, repeated rows too; an empty
 table gives no rows; further columns are ignored by the query and kept by redact().
@@ -67,6 +68,8 @@ FOR = {
     "ssn": "ssn|social|security",
 }
 AGAINST = "version|release|order no|invoice|isbn|serial"
+PIECE = 128
+FOUND = "array<struct<start:int,end:int,h:string,b:string>>"
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -74,13 +77,17 @@ def _of(kind: str) -> str:
     """SQL for the accepted spans of one kind in the column t."""
     pattern, test, ok, score = KINDS[kind]
     p = pattern.replace("\\", "\\\\")
-    before = f"lower(substring(t, greatest(1, s.start - {NEAR - 1}), least({NEAR}, s.start)))"
-    found = f"""filter(aggregate(
-        zip_with(split(t, '{p}', -1), regexp_extract_all(t, '{p}', 0), (g, h) -> named_struct('g', length(g), 'h', h)),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,end:int,h:string>>)),
-        (acc, x) -> CASE WHEN x.h IS NULL THEN acc ELSE named_struct('at', acc.at + x.g + length(x.h),
-            'out', concat(acc.out, array(named_struct('start', acc.at + x.g, 'end', acc.at + x.g + length(x.h), 'h', x.h)))) END,
-        acc -> acc.out), s -> {ok.replace("h,", "s.h,").replace("(h)", "(s.h)")})"""
+    before = "lower(s.b)"
+    near = lambda x: f"right({x}, {NEAR})"
+    # matches in pieces of PIECE: adding to an array copies it, which would be quadratic in one long array
+    step = f"""(a, x) -> CASE WHEN x.h IS NULL THEN a ELSE named_struct('at', a.at + x.g + length(x.h), 'b', {near("concat(a.b, x.b, x.h)")},
+            'out', concat(a.out, array(named_struct('start', a.at + x.g, 'end', a.at + x.g + length(x.h), 'h', x.h, 'b', {near("concat(a.b, x.b)")})))) END"""
+    piece = f"""aggregate(slice(z, i, {PIECE}), named_struct('at', acc.at, 'b', acc.b, 'out', cast(array() AS {FOUND})), {step})"""
+    found = f"""filter(flatten(transform(array(zip_with(split(t, '{p}', -1), regexp_extract_all(t, '{p}', 0),
+            (g, h) -> named_struct('g', length(g), 'b', {near("g")}, 'h', h))),
+        z -> flatten(aggregate(sequence(1, size(z), {PIECE}), named_struct('at', 0, 'b', '', 'outs', cast(array() AS array<{FOUND}>)),
+            (acc, i) -> transform(array({piece}), r -> named_struct('at', r.at, 'b', r.b, 'outs', concat(acc.outs, array(r.out))))[0],
+            acc -> acc.outs)))), s -> {ok.replace("h,", "s.h,").replace("(h)", "(s.h)")})"""
     scored = f"""transform({found}, s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.end, 'score',
         cast(round({score} + CASE WHEN {before} RLIKE '{FOR[kind]}' THEN 0.15 ELSE 0 END - CASE WHEN {before} RLIKE '{AGAINST}' THEN 0.3 ELSE 0 END, 2) AS double)))"""
     kept = scored if kind in BASE else f"filter({scored}, s -> s.score >= 0.5)"
@@ -115,11 +122,17 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of `text` replaced by its kind in brackets; of overlapping spans the first names the gap."""
     d = with_spans(docs, text)
-    parts = f"""aggregate(array_sort(__spans, (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 WHEN a.end > b.end THEN -1 WHEN a.end < b.end THEN 1 ELSE 0 END),
-        named_struct('at', 0, 'out', cast(array() AS array<string>)),
-        (acc, s) -> CASE WHEN s.start >= acc.at THEN named_struct('at', s.end, 'out', concat(acc.out, array(substring(`{text}`, acc.at + 1, s.start - acc.at), concat('[', upper(s.kind), ']'))))
-                         ELSE named_struct('at', greatest(acc.at, s.end), 'out', acc.out) END,
-        acc -> concat(array_join(acc.out, ''), substring(`{text}`, acc.at + 1)))"""
+    t = f"`{text}`"
+    # spans in pieces, each with its own stretch of the text: a place far into a text is found by counting from its start
+    inner = """aggregate(p.own, named_struct('at', acc.at, 'out', cast(array() AS array<string>)),
+        (a, s) -> CASE WHEN s.start >= a.at THEN named_struct('at', s.end, 'out', concat(a.out, array(substring(p.t, a.at - acc.at + 1, s.start - a.at), concat('[', upper(s.kind), ']'))))
+                       ELSE named_struct('at', greatest(a.at, s.end), 'out', a.out) END)"""
+    own = f"slice(z, i, {PIECE})"
+    stretch = f"substring({t}, acc.at + 1, greatest(0, array_max(transform({own}, s -> s.end)) - acc.at))"
+    parts = f"""transform(array(array_sort(__spans, (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 WHEN a.end > b.end THEN -1 WHEN a.end < b.end THEN 1 ELSE 0 END)),
+        z -> aggregate(sequence(1, size(z), {PIECE}), named_struct('at', 0, 'parts', cast(array() AS array<string>)),
+            (acc, i) -> transform(transform(array(named_struct('own', {own}, 't', {stretch})), p -> {inner}), r -> named_struct('at', r.at, 'parts', concat(acc.parts, array(array_join(r.out, '')))))[0],
+            acc -> concat(array_join(acc.parts, ''), substring({t}, acc.at + 1))))[0]"""
     return d.withColumn(text, F.when(F.size("__spans") > 0, F.expr(parts)).otherwise(F.col(text))).drop("__spans")
 
 
