@@ -3,15 +3,17 @@ against brute force."""
 
 import functools
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from veilspark.llm import decontaminate, graph, langid, licences, media, ngram_join, packing, pii, quality, suffix_dedup, token_ids
+from veilspark.llm import common, decontaminate, graph, langid, licences, media, ngram_join, packing, pii, quality, suffix_dedup, token_ids
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, n_tokens long, spans string, start long, digest string, key string"
 rng = random.Random(3)
@@ -78,15 +80,33 @@ def test_coder_checkpoints_and_damage():
 
 
 def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
     path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
     got = packing.pack(docs, path).toPandas()
     assert (got.groupby("doc_id").size().loc[5], got.length.max()) == (2, 2048)
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g.offset.to_numpy() == np.cumsum(g.length.to_numpy()) - g.length.to_numpy()).all() and g.length.sum() <= 2048
     assert got.sequence_id.nunique() == -(-got.length.sum() // 2048)
+    want = []
+    for i, t in rows():
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        want += [(i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)]
+    assert sorted(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32)) == sorted(want)
     assert packing.pack(none, path).count() == 0
 
 
+def test_pieces_equal_the_tokenizer():
+    """Any mixture of blanks, line ends, marks and other characters."""
+    parts = ["a", "Word", "x1", "it's", ".", ",", "..", "é", "\u0301", "日本", "😀", " ", "  ", "\n", "\n\n", "\t", "\x1c", "\x85", "\u00a0", "\u2003", "<|endoftext|>", "'s", "²", "1,2.", "</w>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + ["", " ", "\n", "a\n", "\na", "odd"]
+    for name, lead in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        own = common.Tokens(public_tokenizers.path(name), lead)
+        assert [own.encode(texts[i : i + 300]) for i in range(0, len(texts), 300)] == [own.whole(texts[i : i + 300]) for i in range(0, len(texts), 300)]
+
+
 def test_minimum_bin_slack_fills_bins():
     counts = {1000: 3, 1048: 3, 700: 4, 648: 2, 5: 10}
     bins = packing.combinations(counts)
@@ -112,6 +132,37 @@ def test_quality(spark, docs, none):
     assert set(quality.score(docs, quality.train(d, y.filter("quality = 1"))).toPandas().score) == {0.5}
 
 
+def test_fit_equals_a_plain_solver(monkeypatch):
+    """Dual coordinate descent against projected gradient steps on the dense dual problem."""
+    monkeypatch.setattr(quality, "EPOCHS", 5000)
+    r = np.random.default_rng(4)
+    y, feats = np.arange(30) % 2, [np.sort(r.choice(12, int(r.integers(1, 7)), replace=False)) for _ in range(30)]
+    got = quality.fit(y, feats, 12)
+    counts = np.ones((2, 12))
+    for t, f in zip(y, feats):
+        counts[t, f] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    x = np.zeros((30, 13))
+    for k, f in enumerate(feats):
+        x[k, f] = ratio[f] / np.sqrt(len(f))
+        x[k, 12] = 1
+    sign = np.where(y == 1, 1.0, -1.0)
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha = np.zeros(30)
+    for _ in range(100_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, quality.COST)
+    w = (alpha * sign) @ x
+    mixed = (1 - quality.BETA) * np.abs(w[:-1]).mean() + quality.BETA * w[:-1]
+    assert np.allclose(got[:-1], mixed * ratio, atol=5e-3) and abs(got[-1] - quality.BETA * w[-1]) < 5e-3
+
+
+def test_a_score_of_a_half_is_good(docs):
+    """Without training rows all weights are 0 and all scores 0.5: label 1 by the contract, so that all rows stay."""
+    w = quality.fit(np.zeros(0), [])
+    assert {r["score"] for r in quality.score(docs, w).collect()} == {0.5}
+    assert quality.keep_good(docs, w).count() == len(rows())
+
+
 @pytest.mark.parametrize("n,num,den", [(3, 9, 10), (5, 4, 5)])
 def test_ngram_join(docs, none, n, num, den):
     got = {}
@@ -180,6 +231,36 @@ def test_language_of_unspaced_text(letters):
     assert "".join(langid.line_words(t[0][0])) == t[0][0]
 
 
+def test_forward_backward_equals_all_paths():
+    r = np.random.default_rng(2)
+    emit, trans, size = r.normal(size=(3, 4, 3)), r.normal(size=(3, 3)), np.array([4, 1, 3])
+    got, pairs = langid.forward_backward(emit, size, trans)
+    marginal, want = np.zeros((3, 4, 3)), np.zeros((3, 3))
+    for c, n in enumerate(size):
+        paths = list(itertools.product(range(3), repeat=int(n)))
+        p = np.exp([sum(emit[c, i, y] for i, y in enumerate(x)) + sum(trans[a, b] for a, b in zip(x, x[1:])) for x in paths])
+        for x, q in zip(paths, p / p.sum()):
+            for i, y in enumerate(x):
+                marginal[c, i, y] += q
+            for a, b in zip(x, x[1:]):
+                want[a, b] += q
+    assert np.allclose(got, marginal) and np.allclose(pairs, want)
+
+
+def test_language_switches_within_a_line():
+    r = random.Random(8)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(3, 8)))
+    line = lambda letters, n: [word(letters) for _ in range(n)]
+    langs = {"aa": "abcdef", "bb": "uvwxyz"}
+    texts = [(" ".join(line(x, 30)), k) for k, x in langs.items() for _ in range(60)]
+    model = langid.learn([t for t, _ in texts], [k for _, k in texts])
+    own = line("abcdef", 12) + line("uvwxyz", 12)
+    m, _ = langid.forward_backward(model.rows[model.numbers(own)][None] if model.numbers(own) is not None else None, np.array([24]), model.trans)
+    assert m[0].argmax(axis=1).tolist() == [0] * 12 + [1] * 12
+    assert model.trans[0, 0] > model.trans[0, 1] and np.isfinite(model.trans).all()
+    assert model.label(["½ ² ₃ Ⅷ 12 _", "²abc", None])[0] == ("und", 0.0) and model.label(["²abc"])[0][0] == "aa"
+
+
 def test_decontamination(spark, docs, none):
     words = PASSAGE.split()
     edited = " ".join(words[:20] + ["odd"] + words[21:40] + words[42:])
@@ -258,6 +339,28 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.remove(none).count() == 0
 
 
+@pytest.mark.parametrize("wide,local", [(20_000, 4096), (2, 4096), (20_000, 2)])
+def test_suffix_dedup_of_hot_anchors(spark, wide, local):
+    """A line that most texts hold between others, near copies and long runs; with few surroundings per task allowed."""
+    line = "a line of some fifty bytes that stands in most texts "
+    texts = [f"{text(rng.randint(1, 30))} {line * rng.randint(0, 3)}{text(rng.randint(0, 30))}" for _ in range(150)]
+    texts += [t[rng.randint(0, 40) :] for t in texts[:40]] + ["x" * 700, "x" * 99, None, "é" * 300]
+    texts = list(enumerate(texts))
+    d = spark.createDataFrame(texts + [(None, texts[0][1]), (None, None)], "doc_id long, text string")
+    got = suffix_dedup.remove(d, wide, local).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got if r["doc_id"] is not None} == brute_removed(texts)
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in got if r["doc_id"] is None) == [(0, 0), (len(texts[0][1].encode()), 0)]
+
+
+def test_anchors_of_slices(monkeypatch):
+    """A text of several slices has the anchors of the whole."""
+    data = [text(2000).encode(), b"", b"x" * 99, b"y" * 3000, text(700).encode()]
+    whole = suffix_dedup.anchors(data)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 997)
+    cut = suffix_dedup.anchors(data)
+    assert set(map(tuple, whole.T.tolist())) == set(map(tuple, cut.T.tolist())) and cut.shape == whole.shape
+
+
 def test_suffix_levels_merge():
     levels, data = suffix_dedup.Levels(), np.array([b"%0100d" % (k * 7 % 50) for k in range(200)], dtype="S100")
     hit = np.concatenate([levels.add(data[i : i + 20], np.zeros(20, int), np.arange(i, i + 20)) for i in range(0, 200, 20)])
@@ -276,6 +379,50 @@ def test_pii(docs, none):
     assert pii.redact(docs).columns == docs.columns and pii.find(none).count() == 0
 
 
+def brute_base(t):
+    """The contract's base kinds with another engine's expressions."""
+    out = []
+    luhn = lambda d: sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda h: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda h: all(int(x) <= 255 for x in h.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda h: 16 <= len(re.sub("[^0-9]", "", h)) <= 19 and luhn(re.sub("[^0-9]", "", h))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda h: 8 <= len(re.sub("[^0-9]", "", h)) <= 15),
+    }
+    for kind, (p, ok) in rules.items():
+        out += [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(p, t) if ok(m[0])]
+    return out
+
+
+def test_pii_equals_brute_force(spark):
+    parts = ["a@b.org", "@", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 151 1234567", "+1 (2", "é😀", ".", "-", " ", "x", "12", "_", "%", "a.b", "iban "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(600)] + [" ".join(f"u{k}@m.example 1.1.1.{k % 300}" for k in range(700)), None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find(d).collect()}
+    for i, t in enumerate(texts):
+        base = brute_base(t or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x.startswith(k) for x in base) for k in ("email", "ip", "card", "phone")]
+    back = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    for i, t in enumerate(texts):
+        want, at = "", 0
+        spans = [x.split(":") for x in got[i]["spans"].split(",")] if got[i]["spans"] else []
+        for kind, a, b in sorted(spans, key=lambda x: (int(x[1]), -int(x[2]))):
+            if int(a) >= at:
+                want += t[at : int(a)] + f"[{kind.upper()}]"
+            at = max(at, int(b))
+        assert back[i] == (None if t is None else want + t[at:])
+
+
+def test_pii_takes_time_in_proportion(spark):
+    t = " ".join(f"u{k}@m{k % 97}.example" for k in range(30_000))
+    d = spark.createDataFrame([(1, t), (2, "a" * 3_000_000), (3, "1" * 3_000_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["n_email"] for r in pii.find(d).collect()}
+    pii.redact(d).write.format("noop").mode("overwrite").save()
+    assert got == {1: 30_000, 2: 0, 3: 0} and time.time() - began < 60
+
+
 def test_pii_checksums(spark):
     t = ["IBAN DE89 3704 0044 0532 0130 00.", "IBAN DE89 3704 0044 0532 0130 01.", "ssn 123-45-6789", "version 666-45-6789", "1" * 4000]
     got = [r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()]
@@ -289,6 +436,28 @@ def test_licences(docs, none):
     assert licences.scan(none).count() == 0
 
 
+def test_licence_chains_follow_the_template():
+    scanner = licences.Scanner(licences.TEMPLATES, licences.PHRASES)
+    for t in ("permission is hereby granted " * 10, "to deal in the software " * 7, "to any person obtaining a copy x " * 9):
+        assert scanner.scan(t)[2] == []
+    grant = licences.TEMPLATES["mit"][0].split()
+    halves = " ".join(grant[len(grant) // 2 :] + grant[: len(grant) // 2])
+    assert all(x[3] < 1 for x in scanner.scan(halves)[2])
+    for label, t in licences.TEMPLATES.items():
+        for part in [t] if isinstance(t, str) else t:
+            assert (label, 2, 2 + len(part.split()), 1.0) in scanner.scan(f"zz zz {part} zz")[2]
+
+
+def test_licence_base_equals_brute_force():
+    scanner, words = licences.Scanner(licences.TEMPLATES, licences.PHRASES), ["MIT", "mit", "License", "apache", "General", "public", "licens\u00e9", "zz", "the"]
+    for _ in range(2000):
+        t = "".join(rng.choice(words) + rng.choice([" ", "-", "\n", "", " . "]) for _ in range(rng.randint(0, 12)))
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        want = sorted((i, label) for p, label in licences.PHRASES.items() for i in range(len(own)) if own[i : i + len(p.split())] == p.split())
+        n, places, _ = scanner.scan(t)
+        assert (n, places) == (len(own), want)
+
+
 def test_automaton_statistics():
     seqs = [[rng.randrange(4) for _ in range(30)] for _ in range(3)]
     auto, probe = licences.Automaton(seqs), [rng.randrange(5) for _ in range(300)]
@@ -301,7 +470,8 @@ def test_automaton_statistics():
 
 def test_licence_templates_next_to_words_of_others():
     scanner = licences.Scanner(licences.TEMPLATES, licences.PHRASES)
-    for label, t in licences.TEMPLATES.items():
+    short = [(label, t) for label, ts in licences.TEMPLATES.items() for t in ([ts] if isinstance(ts, str) else ts) if len(t.split()) < 60]
+    for label, t in short:
         for w in [x.decode() for x in scanner.code] + ["zz"]:
             for doc in (f"{t} {w}", f"{w} {t}", f"zz {w} {t} {w} zz"):
                 assert [x for x in scanner.scan(doc)[2] if x[0] == label and x[3] == 1.0], (label, doc)
@@ -327,15 +497,17 @@ def test_media_copies(spark):
     d = spark.createDataFrame([(i, h, 1, "x") for i, h in pages], "page_id long, html string, n_links int, digest string")
     got = {r["id"]: r["component_id"] for r in media.copies(media.describe(d, media.draw, "page_id", "html")).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
+    last = media.copies(media.describe(spark.createDataFrame([(None, a), (None, a), (7, b)], "page_id long, html string"), media.draw, "page_id", "html")).collect()
+    assert sorted(str(r["component_id"]) for r in last) == ["7", "None", "None"]
     assert media.copies(media.describe(d.limit(0), media.draw, "page_id", "html")).count() == 0
 
 
 def brute_components(images: dict) -> dict:
     """Smallest reachable id, all pairs compared."""
     at = {i: i for i in images}
-    ids = sorted(images)
-    linked = [(a, b) for a in ids for b in ids if a < b and media.consensus(images[a], images[b])]
-    for _ in ids:
+    pairs = [(a, b) for a in images for b in images if a < b]
+    linked = [p for p, ok in zip(pairs, media.consensus([(images[a], images[b]) for a, b in pairs])) if ok]
+    for _ in images:
         for a, b in linked:
             at[a] = at[b] = min(at[a], at[b])
     return at
@@ -346,20 +518,38 @@ def test_media_large_buckets(spark, monkeypatch, hot):
     """Common details, as in page headers, and groups of near copies: as if all pairs were compared."""
     monkeypatch.setattr(media, "HOT", hot)
     r = np.random.default_rng(3)
-    common = np.concatenate([np.arange(5)[:, None] * 40, np.full((5, 2), 3), r.integers(0, 1 << 32, (5, media.BANDS))], axis=1)
-    common[:, 2] = 0
+    common_ = np.concatenate([np.arange(5)[:, None] * 40, np.full((5, 2), 3), r.integers(0, 1 << 32, (5, media.BANDS))], axis=1)
+    common_[:, 2] = 0
     images = {}
     for group in range(6):
         own = np.concatenate([r.integers(0, 900, (14, 2)), np.zeros((14, 1), int), r.integers(0, 1 << 32, (14, media.BANDS))], axis=1)
         for k in range(6):
             part = own[r.permutation(14)[: int(r.integers(2, 14))]]
-            t = np.concatenate([common[: int(r.integers(1, 3))] if group else common, part])
-            images[group * 10 + k] = zlib.compress(t.astype("<u4").tobytes())
+            t = np.concatenate([common_[: int(r.integers(1, 4))] if group else common_, part])
+            images[group * 10 + k] = t.astype("<u4").tobytes()
     d = spark.createDataFrame([(i, bytearray(p)) for i, p in images.items()], "rep long, points binary")
     got = {i: i for i in images} | {x["node"]: x["root"] for x in graph.components(media.links(d)).collect()}
     assert got == brute_components(images)
 
 
+def test_media_recall():
+    """Crops and edits of drawn pages with at least 20 lines."""
+    images = [media.draw("<p>" + "</p><p>".join(text(rng.randint(30, 60)) for _ in range(rng.randint(8, 20))) + "</p>") for _ in range(40)]
+    r = np.random.default_rng(6)
+
+    def logo(i):
+        j, (y, x) = i.copy(), (int(r.integers(0, i.shape[0] - 16)), int(r.integers(0, 96)))
+        j[y : y + 16, x : x + 32] = 90
+        return j
+
+    edits = {"rows": lambda i: i[i.shape[0] // 4 :], "columns": lambda i: i[:, 20:], "odd": lambda i: i[3:-2, 5:-6], "logo": logo, "darker": lambda i: (i.astype(int) * 9 // 10).astype(np.uint8)}
+    own = [media.keypoints(i).tobytes() for i in images]
+    for name, edit in edits.items():
+        found = media.consensus([(a, media.keypoints(edit(i)).tobytes()) for a, i in zip(own, images)])
+        assert found.mean() >= 0.9, name
+    assert not media.consensus(list(zip(own, own[1:] + own[:1]))).any()
+
+
 def test_unfinished_components_are_an_error(spark):
     d = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
     assert {tuple(r) for r in graph.components(d).collect()} == {(k, 0) for k in range(31)}
@@ -380,3 +570,25 @@ def test_pipeline(spark):
             left.append(docs.count())
     assert left == sorted(left, reverse=True) and left[-1] > 0
     assert {r["doc_id"] for r in docs.select("doc_id").distinct().collect()} and docs.filter("offset + length > 2048").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, none):
+    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table through every stage."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, d)
+        assert stage(spark, none, d).count() == 0
+        if k < 4:
+            assert out.columns == docs.columns
+        assert out.count() > 0
+
+
+def test_null_ids(spark, tmp_path):
+    r = [(None, "one two three four five six"), (None, "one two three four five six"), (3, "one two three four five six"), (4, None)]
+    d = spark.createDataFrame(r, "doc_id long, text string")
+    got = sorted((str(x["doc_id"]), str(x["component_id"])) for x in ngram_join.join(d, 3, 9, 10).collect())
+    assert got == [("3", "3"), ("4", "4"), ("None", "None"), ("None", "None")]
+    token_ids.write(d, str(tmp_path / "n"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert sorted(str(x["doc_id"]) for x in token_ids.read(spark, str(tmp_path / "n")).collect()) == ["3", "4", "None", "None"]

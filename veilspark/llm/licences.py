@@ -188,14 +188,14 @@ class Scanner:
                 chain = chains.setdefault(k, [])
                 start, stop = at + end - n + 1, at + end + 1
                 run, seq = own[end - n + 1 : end + 1], self.seqs[k]
-                places = [p for p in self.places[k][tuple(run[:LEAST_RUN])] if seq[p : p + n] == run]
+                stands = [p for p in self.places[k][tuple(run[:LEAST_RUN])] if seq[p : p + n] == run]
                 # a chain goes on at the next place of the template; words that it already has count no more
-                if chain and start - chain[-1][1] <= GAP and (on := [p for p in places if p + n > chain[-1][3]]):
+                if chain and start - chain[-1][1] <= GAP and (on := [p for p in stands if p + n > chain[-1][3]]):
                     last, p = chain[-1], on[0]
                     last[2] += p + n - max(p, last[3])
                     last[1], last[3] = max(stop, last[1]), p + n
                 else:
-                    chain.append([start, stop, n, places[0] + n])
+                    chain.append([start, stop, n, stands[0] + n])
         spans = [(self.labels[k], s, e, n / self.size[k]) for k, c in chains.items() for s, e, n, _ in c if n >= LEAST_SHARE * self.size[k]]
         return len(words), sorted(places), sorted(spans, key=lambda s: (s[1], -s[3], s[0]))
 
