@@ -125,7 +125,8 @@ def keypoints(image: np.ndarray | None) -> np.ndarray:
     if not found:
         return np.zeros((0, 3 + BANDS), "<u4")
     found = np.concatenate(found)  # by scale, then from top to bottom
-    return found[np.sort(np.unique(found[:, 2:], axis=0, return_index=True)[1])]
+    code = found[:, 3].astype(np.uint64) << np.uint64(32) | found[:, 4].astype(np.uint64)
+    return found[np.sort(np.unique(mix(code) ^ found[:, 2], return_index=True)[1])]
 
 
 def describe(rows: DataFrame, paint, key: str, column: str) -> DataFrame:
