@@ -261,7 +261,7 @@ def _entries(classes: DataFrame, load: np.ndarray, common: int) -> DataFrame:
 
 def _buckets(entries: DataFrame) -> DataFrame:
     """kind 0: votes (a, b, shift, n; a has fewer details, or as many and a smaller id) of buckets of at most HOT entries; kind 1: entries of larger ones (a: rep, b: key,
-    n: details, shift: first)."""
+    n: details, shift: twice the number of its details with this key that the votes count, plus 1 if one of them has first 2)."""
     ordered = entries.repartition(shuffle_partitions(entries.sparkSession), "route").sortWithinPartitions("route", "key", "rep")
     names = ["kind", "a", "b", "shift", "n"]
 
@@ -277,9 +277,10 @@ def _buckets(entries: DataFrame) -> DataFrame:
         size = np.repeat(np.diff(edge), np.diff(edge))
         hot = (size > HOT) | large.astype(bool)
         if hot.any():  # one row per image: in its prefix if any of its equal details is
-            k, r = key[hot], rep[hot]
+            k, r, f = key[hot], rep[hot], first[hot]
             head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
-            yield batch(1, r[head], k[head], np.maximum.reduceat(first[hot], head), n[hot][head])
+            counted = np.add.reduceat((f > 0).astype(np.int64), head)
+            yield batch(1, r[head], k[head], counted * 2 + np.maximum.reduceat(f == 2, head), n[hot][head])
         found = []
         for d in range(1, HOT):
             i = np.flatnonzero((key[d:] == key[:-d]) & ~hot[d:] & ~hot[:-d])
@@ -315,30 +316,35 @@ def _buckets(entries: DataFrame) -> DataFrame:
 def links(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes with geometric consensus, enough of them that the components are exact.
 
-    Pairs that meet in small buckets only are counted: those with too few votes at each shift, even if all of the large
-    buckets' entries of the image that has fewer were added, are no candidates. In a large bucket every prefix entry is
-    compared with the image that has most details; where a bucket's images are in several components after that, its
-    prefix entries are compared with the larger images of other components. So no pair that could join two components
-    stays uncompared, and pairs already in one component aren't compared.
+    A pair is a candidate if its votes, and the keys of large buckets that both have, are enough together. In a large
+    bucket every image that has the key in its first prefix is compared with the image that has most details; where a
+    bucket's images are in several components after that, those images meet the larger ones of other components, and the
+    join itself drops a pair that has not enough keys in common. So no pair that could join two components stays
+    uncompared, and pairs already in one component aren't compared.
     """
     total = classes.count()
     met = spill(_buckets(_entries(classes, sketch(classes), max(HOT, int(COMMON * total)))), "met")
-    hot = met.filter("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("rep"), "n", (F.col("shift") == 2).alias("first"), (F.col("shift") > 0).alias("counted"))
+    hot = met.filter("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("rep"), "n", (F.col("shift") % 2).alias("first"), F.expr("shift div 2").alias("counted"))
+    hot = spill(hot.groupBy("key", "rep").agg(F.max("n").alias("n"), F.max("first").alias("first"), F.sum("counted").alias("counted")), "large")
+    entry = F.struct("key", "counted")
+    own = hot.groupBy("rep").agg(F.max("n").alias("n"), F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("counted") > 0, entry)).alias("counted"), F.collect_list(F.when(F.col("first") == 1, F.col("key"))).alias("first"))
+    own = spill(own, "large-of-image")
+    small = own.filter(F.size("counted") > 0)
+    shared = "aggregate(counted, 0L, (s, e) -> s + IF(array_contains(keys, e.key), e.counted, 0L))"
     votes = met.filter("kind = 0").groupBy("a", "b", "shift").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(F.max("n").alias("n"))
-    n_hot = hot.filter("counted").groupBy("rep").agg(F.count(F.lit(1)).alias("h"))
-    few = votes.filter(F.col("n") < TRIES).join(n_hot.select(F.col("rep").alias("a"), "h"), "a").filter(F.col("n") + F.col("h") >= TRIES)
-    hot = hot.groupBy("key", "rep").agg(F.max("n").alias("n"), F.max("first").alias("first"))
+    few = votes.filter(F.col("n") < TRIES).withColumnRenamed("n", "votes").join(small.select(F.col("rep").alias("a"), "counted"), "a")
+    few = few.filter(f"votes + aggregate(counted, 0L, (s, e) -> s + e.counted) >= {TRIES}").join(own.select(F.col("rep").alias("b"), "keys"), "b").filter(f"votes + {shared} >= {TRIES}")
     fullest = hot.groupBy("key").agg(F.max(F.struct("n", "rep")).alias("m")).select("key", F.col("m.rep").alias("b"))
-    starred = hot.filter("first").join(fullest, "key").select(F.col("rep").alias("a"), "b")
+    starred = hot.filter("first = 1").join(fullest, "key").select(F.col("rep").alias("a"), "b")
     near = votes.filter(F.col("n") >= TRIES).select("a", "b").unionByName(few.select("a", "b")).unionByName(starred)
     found = spill(_verify(near, classes), "links")
     roots = spill(components(found), "roots")
-    placed = hot.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "first", F.coalesce("root", "rep").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    apart = spill(placed.join(split, "key"), "apart")
-    x = apart.filter("first").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    y = apart.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    rest = x.join(y, "key").filter("ra <> rb AND nb >= na").select("a", "b")
+    placed = spill(own.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "n", "keys", "counted", "first", F.coalesce("root", "rep").alias("root")), "placed")
+    split = placed.select("root", F.explode("keys").alias("key")).groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+    x = placed.filter(F.size("first") > 0).select(F.explode("first").alias("key"), F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), "counted").join(split, "key", "left_semi")
+    y = placed.select(F.explode("keys").alias("key"), F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "keys")
+    # pairs with a vote elsewhere were judged with it before
+    rest = y.join(x, "key").filter(f"ra <> rb AND nb >= na AND {shared} >= {TRIES}").select("a", "b")
     return found.unionByName(_verify(rest, classes))
 
 
