@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept per Python worker before the cache starts afresh (bounds its memory, not the result).
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 #: Bytes of an Arrow batch between the JVM and Python, unless the session asks for smaller ones (bounds memory only).
 BATCH_BYTES = 4 << 20
 ODD = b"odd"  # no ids have three bytes
