@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept per Python worker before the cache starts afresh (bounds its memory, not the result).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 #: Bytes of an Arrow batch between the JVM and Python, unless the session asks for smaller ones (bounds memory only).
 BATCH_BYTES = 4 << 20
 ODD = b"odd"  # no ids have three bytes
@@ -97,7 +97,7 @@ class Tokens:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.lead, self.cache = lead, {}
+        self.lead, self.cache, self.most = lead, {}, CACHE_WORDS
         self.marks = {c: x for c in ".," if len(x := self.whole(["a" + c])[0][len(self.whole(["a"])[0]) :]) == 2}
         if lead:  # ids whose token starts with the blank: the first of each word
             self.opens = np.zeros(1 << 16, dtype=bool)
@@ -105,9 +105,11 @@ class Tokens:
             self.line_end = self.tok.encode("\n", add_special_tokens=False).ids[0]
 
     @classmethod
-    def get(cls, path: str, lead: bool) -> "Tokens":
+    def get(cls, path: str, lead: bool, most: int = CACHE_WORDS) -> "Tokens":
+        """The worker's own instance; most: pieces that it may remember."""
         if (path, lead) not in cls._of:
             cls._of[path, lead] = cls(path, lead)
+        cls._of[path, lead].most = most
         return cls._of[path, lead]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -165,7 +167,7 @@ class Tokens:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [b""] * len(texts)
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
+        if len(cache) > self.most:
             cache.clear()
         if self.lead:
             at = [i for i, x in enumerate(texts) if x]

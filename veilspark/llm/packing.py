@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Tokens, spill, table
+from .common import CACHE_WORDS, Tokens, spill, table
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"
@@ -79,11 +79,11 @@ def places(found: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
 
 
-def pieces(docs: DataFrame, tokenizer: str, lead: bool = False, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, lead: bool = False, capacity: int = CAPACITY, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Cuts only documents longer than the capacity. part and k number the pieces of a length within their task."""
 
     def run(batches):
-        tok, part, n_of = Tokens.get(tokenizer, lead), TaskContext.get().partitionId(), {}
+        tok, part, n_of = Tokens.get(tokenizer, lead, cache_words), TaskContext.get().partitionId(), {}
         for b in batches:
             texts = b.column(1).to_pylist()
             for i in range(0, len(texts), 2000):
@@ -101,8 +101,9 @@ def pieces(docs: DataFrame, tokenizer: str, lead: bool = False, capacity: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, lead: bool = False, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    cut = spill(pieces(docs, tokenizer, lead, capacity, end_id), "pieces")
+def pack(docs: DataFrame, tokenizer: str, lead: bool = False, capacity: int = CAPACITY, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """One row per piece with its sequence and place. cache_words: words that a worker remembers (memory only)."""
+    cut = spill(pieces(docs, tokenizer, lead, capacity, end_id, cache_words), "pieces")
     per_task = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     first = per_task.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
