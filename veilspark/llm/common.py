@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 1_500_000
 #: Bytes of an Arrow batch between the JVM and Python, unless the session asks for smaller ones (bounds memory only).
 BATCH_BYTES = 4 << 20
+#: Setting of Spark: the files of a query's shuffles go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ODD = b"odd"  # no ids have three bytes
 #: A piece of text between blanks: no white space but a line end before it.
 PIECE = re.compile(r"\n?\S+\Z").match
@@ -49,11 +51,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def spill(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df into the shared folder and reads it back: lineage ends here, and any executor can read it again."""
-    small_batches(df.sparkSession)
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df into the shared folder and reads it back: lineage ends here, and any executor can read it again. What
+    was shuffled for it is deleted once it is written."""
+    spark = df.sparkSession
+    small_batches(spark)
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._spill_path = path
     return out
 

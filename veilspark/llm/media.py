@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, spill, table
+from .common import discard, shuffle_partitions, spill, table
 from .graph import components
 from .words import mix
 
@@ -198,8 +198,9 @@ def consensus(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
 
 def _verify(candidates: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs among the candidates that have geometric consensus. The details of a, which has fewer, go to those of b."""
-    pairs = candidates.filter("a <> b").distinct()
-    x, y = (classes.select(F.col("rep").alias(k), F.col("points").alias(f"p{k}")) for k in "ab")
+    pairs = spill(candidates.filter("a <> b").distinct(), "pairs")  # a table: the planner knows its size
+    x = pairs.join(classes.select(F.col("rep").alias("a"), F.col("points").alias("pa")), "a")
+    y = classes.select(F.col("rep").alias("b"), F.col("points").alias("pb")).join(pairs, "b", "left_semi")  # few of all images
 
     def run(batches):
         for t in batches:
@@ -208,7 +209,9 @@ def _verify(candidates: DataFrame, classes: DataFrame) -> DataFrame:
                 ok = consensus(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())))
                 yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+    found = spill(x.join(y, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long"), "links")
+    discard(pairs)
+    return found
 
 
 def sketch(classes: DataFrame) -> np.ndarray:
@@ -229,8 +232,8 @@ def sketch(classes: DataFrame) -> np.ndarray:
 
 
 def _entries(classes: DataFrame, load: np.ndarray, common: int) -> DataFrame:
-    """route, key, rep, n (details of the image), first (2: in the prefix that shares one detail with any link, 1: in
-    that which shares TRIES, 0: in none), x, y, large."""
+    """key, rep, place (x and y, 32 bits each) and mark: n (details of the image), two bits first (2: in the prefix that
+    shares one detail with any link, 1: in that which shares TRIES, 0: in none), one bit large."""
 
     def run(batches):
         for b in batches:
@@ -249,20 +252,19 @@ def _entries(classes: DataFrame, load: np.ndarray, common: int) -> DataFrame:
             rep = reps[own]
             keys = key.T.ravel()
             large = large.T.ravel()
-            rep, n, first, x, y = (np.tile(c, BANDS) for c in (rep, n, first, x, y))
-            spread = mix(keys.astype(np.uint64) ^ mix(rep.astype(np.uint64))).view(np.int64)
-            cols = [np.where(large, spread, keys), keys, rep, n.astype(np.int32), first.astype(np.int32), x.astype(np.int32), y.astype(np.int32), large]
+            cols = [keys, np.tile(rep, BANDS), np.tile(x << 32 | y, BANDS), np.tile(n << 3 | first << 1, BANDS) | large]
             for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], ["route", "key", "rep", "n", "first", "x", "y", "large"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], ["key", "rep", "place", "mark"])
 
     rows = classes.filter(F.octet_length("points") >= LEAST * 4 * (3 + BANDS)).select("rep", "points")
-    return rows.mapInArrow(run, "route long, key long, rep long, n int, first int, x int, y int, large boolean")
+    return rows.mapInArrow(run, "key long, rep long, place long, mark long")
 
 
 def _buckets(entries: DataFrame) -> DataFrame:
     """kind 0: votes (a, b, shift, n; a has fewer details, or as many and a smaller id) of buckets of at most HOT entries; kind 1: entries of larger ones (a: rep, b: key,
     n: details, shift: twice the number of its details with this key that the votes count, plus 1 if one of them has first 2)."""
-    ordered = entries.repartition(shuffle_partitions(entries.sparkSession), "route").sortWithinPartitions("route", "key", "rep")
+    route = F.when(F.col("mark").bitwiseAND(1) == 1, F.xxhash64("key", "rep")).otherwise(F.col("key"))
+    ordered = entries.repartition(shuffle_partitions(entries.sparkSession), route).sortWithinPartitions("key", "rep")
     names = ["kind", "a", "b", "shift", "n"]
 
     def batch(kind, a, b, shift, n):
@@ -270,9 +272,10 @@ def _buckets(entries: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int32 if k == 0 else np.int64)) for k, c in enumerate(cols)], names)
 
     def take(cols):
-        key, rep, n, first, x, y, large = cols
+        key, rep, place, mark = cols
         if not len(key):
             return
+        n, first, large, x, y = mark >> 3, mark >> 1 & 3, mark & 1, place >> 32, place & 0xFFFFFFFF
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.repeat(np.diff(edge), np.diff(edge))
         hot = (size > HOT) | large.astype(bool)
@@ -301,14 +304,14 @@ def _buckets(entries: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
             if left is not None:
                 cols = [np.concatenate(c) for c in zip(left, cols)]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
             left = [c[cut:] for c in cols]
-            yield from take([c[:cut] for c in cols][1:])
+            yield from take([c[:cut] for c in cols])
         if left is not None:
-            yield from take(left[1:])
+            yield from take(left)
 
     return ordered.mapInArrow(run, "kind int, a long, b long, shift long, n long")
 
@@ -331,21 +334,26 @@ def links(classes: DataFrame) -> DataFrame:
     own = spill(own, "large-of-image")
     small = own.filter(F.size("counted") > 0)
     shared = "aggregate(counted, 0L, (s, e) -> s + IF(array_contains(keys, e.key), e.counted, 0L))"
-    votes = met.filter("kind = 0").groupBy("a", "b", "shift").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(F.max("n").alias("n"))
+    votes = met.filter("kind = 0").repartition("a", "b").groupBy("a", "b", "shift").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(F.max("n").alias("n"))
     few = votes.filter(F.col("n") < TRIES).withColumnRenamed("n", "votes").join(small.select(F.col("rep").alias("a"), "counted"), "a")
     few = few.filter(f"votes + aggregate(counted, 0L, (s, e) -> s + e.counted) >= {TRIES}").join(own.select(F.col("rep").alias("b"), "keys"), "b").filter(f"votes + {shared} >= {TRIES}")
     fullest = hot.groupBy("key").agg(F.max(F.struct("n", "rep")).alias("m")).select("key", F.col("m.rep").alias("b"))
     starred = hot.filter("first = 1").join(fullest, "key").select(F.col("rep").alias("a"), "b")
     near = votes.filter(F.col("n") >= TRIES).select("a", "b").unionByName(few.select("a", "b")).unionByName(starred)
-    found = spill(_verify(near, classes), "links")
+    found = _verify(near, classes)
+    discard(met)
     roots = spill(components(found), "roots")
     placed = spill(own.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "n", "keys", "counted", "first", F.coalesce("root", "rep").alias("root")), "placed")
+    for done in (hot, own, roots):
+        discard(done)
     split = placed.select("root", F.explode("keys").alias("key")).groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
     x = placed.filter(F.size("first") > 0).select(F.explode("first").alias("key"), F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), "counted").join(split, "key", "left_semi")
     y = placed.select(F.explode("keys").alias("key"), F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "keys")
     # pairs with a vote elsewhere were judged with it before
     rest = y.join(x, "key").filter(f"ra <> rb AND nb >= na AND {shared} >= {TRIES}").select("a", "b")
-    return found.unionByName(_verify(rest, classes))
+    closing = _verify(rest, classes)
+    discard(placed)
+    return found.unionByName(closing)
 
 
 def copies(described: DataFrame) -> DataFrame:
@@ -354,9 +362,11 @@ def copies(described: DataFrame) -> DataFrame:
     known = held.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
     least = known.groupBy("digest").agg(F.min(F.struct("id", "points")).alias("r"))
     classes = spill(least.select("digest", F.col("r.id").alias("rep"), F.col("r.points").alias("points")), "images")
+    ids = spill(held.drop("points"), "image-ids")
+    discard(held)
     roots = components(links(classes.select("rep", "points")))
     named = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = held.select("id", "n_keypoints", "digest").join(named, "digest", "left")
+    out = ids.join(named, "digest", "left")
     return out.select("id", "n_keypoints", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
 
 
