@@ -8,7 +8,8 @@ fewer, LEAST at least; so crops and edits are found, and pages that share a head
 Descriptors meet in Hamming tables: each is cut into BANDS, and details with an equal band are alike. Every image has its
 details in one order, rare ones first (by counts of all bands in BINS bins; they change the order only, never a result).
 An image linked with a larger one shares at least TRIES of all but its last need() - TRIES details (its prefix), and one
-of all but its last need() - 1. Buckets of at most HOT entries vote for their pairs of prefix details and others by shift.
+of all but its last need() - 1. Buckets of at most HOT entries vote for their pairs of prefix details and others; which of
+these agree in place is for the consensus to say, when the pair is compared.
 Larger buckets, where copies of one image or common details meet, are searched by components: each prefix entry is
 compared with the bucket's fullest image, and what is still apart then is compared across components; see links().
 
@@ -232,15 +233,15 @@ def sketch(classes: DataFrame) -> np.ndarray:
 
 
 def _entries(classes: DataFrame, load: np.ndarray, common: int) -> DataFrame:
-    """key, rep, place (x and y, 32 bits each) and mark: n (details of the image), two bits first (2: in the prefix that
-    shares one detail with any link, 1: in that which shares TRIES, 0: in none), one bit large."""
+    """key, rep and mark: n (details of the image), two bits first (2: in the prefix that shares one detail with any link,
+    1: in that which shares TRIES, 0: in none), one bit large."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             reps, points = b.column(0).to_numpy(), b.column(1).to_pylist()
-            own, key, x, y = _details(points)
+            own, key, _, _ = _details(points)
             size = np.bincount(own, minlength=len(points))
             count = load[_bin(key.ravel())].reshape(key.shape)
             order = np.lexsort((mix(key[:, 0].astype(np.uint64)), count.max(axis=1), own))
@@ -252,30 +253,31 @@ def _entries(classes: DataFrame, load: np.ndarray, common: int) -> DataFrame:
             rep = reps[own]
             keys = key.T.ravel()
             large = large.T.ravel()
-            cols = [keys, np.tile(rep, BANDS), np.tile(x << 32 | y, BANDS), np.tile(n << 3 | first << 1, BANDS) | large]
+            cols = [keys, np.tile(rep, BANDS), np.tile(n << 3 | first << 1, BANDS) | large]
             for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], ["key", "rep", "place", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], ["key", "rep", "mark"])
 
     rows = classes.filter(F.octet_length("points") >= LEAST * 4 * (3 + BANDS)).select("rep", "points")
-    return rows.mapInArrow(run, "key long, rep long, place long, mark long")
+    return rows.mapInArrow(run, "key long, rep long, mark long")
 
 
 def _buckets(entries: DataFrame) -> DataFrame:
-    """kind 0: votes (a, b, shift, n; a has fewer details, or as many and a smaller id) of buckets of at most HOT entries; kind 1: entries of larger ones (a: rep, b: key,
-    n: details, shift: twice the number of its details with this key that the votes count, plus 1 if one of them has first 2)."""
+    """kind 0: votes (a, b, n; a has fewer details, or as many and a smaller id) of buckets of at most HOT entries; kind 1:
+    entries of larger ones (a: rep, b: key, n: details, mark: twice the number of its details with this key that the votes
+    count, plus 1 if one of them has first 2)."""
     route = F.when(F.col("mark").bitwiseAND(1) == 1, F.xxhash64("key", "rep")).otherwise(F.col("key"))
     ordered = entries.repartition(shuffle_partitions(entries.sparkSession), route).sortWithinPartitions("key", "rep")
-    names = ["kind", "a", "b", "shift", "n"]
+    names = ["kind", "a", "b", "n", "mark"]
 
-    def batch(kind, a, b, shift, n):
-        cols = (np.full(len(a), kind, np.int32), a, b, shift, n)
+    def batch(kind, a, b, n, mark):
+        cols = (np.full(len(a), kind, np.int32), a, b, n, mark)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int32 if k == 0 else np.int64)) for k, c in enumerate(cols)], names)
 
     def take(cols):
-        key, rep, place, mark = cols
+        key, rep, mark = cols
         if not len(key):
             return
-        n, first, large, x, y = mark >> 3, mark >> 1 & 3, mark & 1, place >> 32, place & 0xFFFFFFFF
+        n, first, large = mark >> 3, mark >> 1 & 3, mark & 1
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.repeat(np.diff(edge), np.diff(edge))
         hot = (size > HOT) | large.astype(bool)
@@ -283,7 +285,7 @@ def _buckets(entries: DataFrame) -> DataFrame:
             k, r, f = key[hot], rep[hot], first[hot]
             head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
             counted = np.add.reduceat((f > 0).astype(np.int64), head)
-            yield batch(1, r[head], k[head], counted * 2 + np.maximum.reduceat(f == 2, head), n[hot][head])
+            yield batch(1, r[head], k[head], n[hot][head], counted * 2 + np.maximum.reduceat(f == 2, head))
         found = []
         for d in range(1, HOT):
             i = np.flatnonzero((key[d:] == key[:-d]) & ~hot[d:] & ~hot[:-d])
@@ -294,26 +296,28 @@ def _buckets(entries: DataFrame) -> DataFrame:
             ok = (rep[i] != rep[j]) & np.where(n[i] < n[j], first[i], np.where(n[j] < n[i], first[j], first[i] | first[j])).astype(bool)
             i, j = i[ok], j[ok]
             i, j = np.where(n[j] < n[i], j, i), np.where(n[j] < n[i], i, j)  # rep rises from i to j where n is equal
-            found.append(np.stack([rep[i], rep[j], _shift(x[j] - x[i], y[j] - y[i])], axis=1))
+            found.append(np.stack([rep[i], rep[j]], axis=1))
         if found:
             u, c = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            yield batch(0, u[:, 0], u[:, 1], u[:, 2], c)
+            yield batch(0, u[:, 0], u[:, 1], c, np.zeros_like(c))
 
     def run(batches):
         left = None
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
             if left is not None:
                 cols = [np.concatenate(c) for c in zip(left, cols)]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
+            if cols[2][-1] & 1:  # of a large one only its last image is held back
+                cut += int(np.searchsorted(cols[1][cut:], cols[1][-1]))
             left = [c[cut:] for c in cols]
             yield from take([c[:cut] for c in cols])
         if left is not None:
             yield from take(left)
 
-    return ordered.mapInArrow(run, "kind int, a long, b long, shift long, n long")
+    return ordered.mapInArrow(run, "kind int, a long, b long, n long, mark long")
 
 
 def links(classes: DataFrame) -> DataFrame:
@@ -327,14 +331,14 @@ def links(classes: DataFrame) -> DataFrame:
     """
     total = classes.count()
     met = spill(_buckets(_entries(classes, sketch(classes), max(HOT, int(COMMON * total)))), "met")
-    hot = met.filter("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("rep"), "n", (F.col("shift") % 2).alias("first"), F.expr("shift div 2").alias("counted"))
+    hot = met.filter("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("rep"), "n", (F.col("mark") % 2).alias("first"), F.expr("mark div 2").alias("counted"))
     hot = spill(hot.groupBy("key", "rep").agg(F.max("n").alias("n"), F.max("first").alias("first"), F.sum("counted").alias("counted")), "large")
     entry = F.struct("key", "counted")
     own = hot.groupBy("rep").agg(F.max("n").alias("n"), F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("counted") > 0, entry)).alias("counted"), F.collect_list(F.when(F.col("first") == 1, F.col("key"))).alias("first"))
     own = spill(own, "large-of-image")
     small = own.filter(F.size("counted") > 0)
     shared = "aggregate(counted, 0L, (s, e) -> s + IF(array_contains(keys, e.key), e.counted, 0L))"
-    votes = met.filter("kind = 0").repartition("a", "b").groupBy("a", "b", "shift").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(F.max("n").alias("n"))
+    votes = met.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     few = votes.filter(F.col("n") < TRIES).withColumnRenamed("n", "votes").join(small.select(F.col("rep").alias("a"), "counted"), "a")
     few = few.filter(f"votes + aggregate(counted, 0L, (s, e) -> s + e.counted) >= {TRIES}").join(own.select(F.col("rep").alias("b"), "keys"), "b").filter(f"votes + {shared} >= {TRIES}")
     fullest = hot.groupBy("key").agg(F.max(F.struct("n", "rep")).alias("m")).select("key", F.col("m.rep").alias("b"))
@@ -358,11 +362,11 @@ def links(classes: DataFrame) -> DataFrame:
 
 def copies(described: DataFrame) -> DataFrame:
     """id, n_keypoints, component_id: images linked, over any number of steps, have the smallest id among them."""
-    held = spill(described, "keypoints")
+    held = spill(described.withColumn("at", F.monotonically_increasing_id()), "keypoints")
     known = held.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    least = known.groupBy("digest").agg(F.min(F.struct("id", "points")).alias("r"))
-    classes = spill(least.select("digest", F.col("r.id").alias("rep"), F.col("r.points").alias("points")), "images")
-    ids = spill(held.drop("points"), "image-ids")
+    least = spill(known.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("r")).select("r.at"), "classes")
+    classes = spill(known.join(least, "at", "left_semi").select("digest", F.col("id").alias("rep"), "points"), "images")
+    ids = spill(held.drop("points", "at"), "image-ids")
     discard(held)
     roots = components(links(classes.select("rep", "points")))
     named = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("root"))
