@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches, spill, table
+from .common import discard, shuffle_partitions, small_batches, spill, table
 from .graph import components
 from .words import SPACED, chunks, mix, words
 
@@ -367,13 +367,18 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     known = rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     least = known.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "prefix")).alias("r"))
     classes = spill(least.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.size").alias("size"), F.col("r.prefix").alias("prefix")), "classes")
+    ids = spill(rows.select("doc_id", "size", "digest"), "ids")
+    discard(rows)
     blocks = components(candidates(classes, num, den))
     members = spill(classes.select("rep", "size").join(blocks, F.col("rep") == F.col("node")).select("rep", "size", F.col("root").alias("block")), "members")
+    reps = spill(classes.select("digest", "rep"), "reps")
+    discard(classes)
     links = spill(join_blocks(docs, members, n, num, den, last), "near")
     split = members.groupBy("block").agg(F.sum("size").alias("w")).filter(F.col("w") > BLOCK_NGRAMS).limit(1).count()
+    discard(members)
     roots = components(links) if split else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    named = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = rows.select("doc_id", "size", "digest").join(named, "digest", "left")
+    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    out = ids.join(named, "digest", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
