@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .alignment import op13
 from .decontaminate import op6
+from .hard_negatives import op11
 from .langid import op4
 from .licences import op9
 from .media import op10
@@ -10,6 +12,7 @@ from .ngram_join import op3
 from .packing import op5
 from .pii import op8
 from .quality import op2
+from .simhash import op12
 from .suffix_dedup import op7
 from .token_ids import op1
 
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_pii": op8,
     "op9_licences": op9,
     "op10_media_copies": op10,
+    "op11_hard_negatives": op11,
+    "op12_simhash": op12,
+    "op13_tokenizer_alignment": op13,
 }
 
 ORACLE: dict[str, str] = {}
