@@ -8,6 +8,7 @@ overlap become one. All work is linear in the text: the numeric patterns run onl
 from __future__ import annotations
 
 import re
+from re import _parser
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,6 +32,10 @@ class Blocked(Exception):
     """The request must not go out; the message names kinds and counts, never a text."""
 
 
+class Exhausted(Blocked):
+    """The request's validations are spent: its texts were not fully examined. No wrapper may pass over it."""
+
+
 class Budget:
     """Validations left, and what each kind has used."""
 
@@ -42,9 +47,11 @@ class Budget:
         self.used[kind] = self.used.get(kind, 0) + units
 
     def check(self) -> None:
+        """Raises if nothing is left, even if the last validation was the last one needed."""
         if self.left <= 0:
-            most = max(self.used.values())
-            raise Blocked(f"budget exhausted, most by {[k for k in KINDS if self.used.get(k) == most][-1]}")
+            most = max(self.used.values(), default=0)
+            by = [k for k in KINDS if self.used.get(k) == most]
+            raise Exhausted("budget exhausted" + (f", most by {by[-1]}" if by else ""))
 
 
 def luhn(h: str) -> bool:
@@ -151,10 +158,11 @@ class Recogniser:
     again: bool = True  # try one character after each match's start
     shrink: bool = False
     verified: Callable[[str], bool] | None = None
+    reach: int = 0  # characters that the pattern may take after its first digit
 
 
 def _of(name, kind, pattern, check=None, **more) -> Recogniser:
-    return Recogniser(name, kind, re.compile(pattern), check, **more)
+    return Recogniser(name, kind, re.compile(pattern), check, reach=_parser.parse(pattern).getwidth()[1], **more)
 
 
 #: The patterns.
@@ -190,7 +198,7 @@ NAMES = ["secret", "iban", "card", "phone_cc", "email", *[r.name for r in NUMERI
 DOMESTIC = [f"phone_{f}" for f in FORMS]
 _local = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _domain, _top, _digits, _word = re.compile("[A-Za-z0-9.-]+"), re.compile(r"\.[A-Za-z]{2,}"), re.compile(r"\d+"), re.compile(r"\w*")
-AROUND, REACH = 8, 48  # characters that a numeric pattern may need before its first and after its last digit
+AROUND = 8  # characters that a numeric pattern may need before its first digit, and between two digits of a number
 
 
 def domestic(locales: list[str] | None = None) -> list[Recogniser]:
@@ -225,18 +233,19 @@ def emails(text: str):
         at = text.find("@", last)
 
 
-def areas(text: str):
-    """Stretches around digits, wide enough for every numeric pattern, up to the end of a word."""
+def areas(text: str, reach: int):
+    """Stretches around digits, up to `reach` characters (what a pattern may take at most) after the last one and then to
+    the end of a word, so that no match ends before the pattern does."""
     first = end = None
     for m in _digits.finditer(text):
         if first is None:
             first = m.start()
-        elif m.start() - end > AROUND + REACH:
-            yield max(0, first - AROUND), _word.match(text, min(len(text), end + REACH)).end()
+        elif m.start() - end > AROUND + reach:
+            yield max(0, first - AROUND), _word.match(text, min(len(text), end + reach)).end()
             first = m.start()
         end = m.end()
     if first is not None:
-        yield max(0, first - AROUND), _word.match(text, min(len(text), end + REACH)).end()
+        yield max(0, first - AROUND), _word.match(text, min(len(text), end + reach)).end()
 
 
 def _shrunk(r: Recogniser, text: str, start: int, end: int, passes) -> int | None:
@@ -286,14 +295,17 @@ def scan(text: str, names: list[str] | None = None, locales: list[str] | None =
         out += [("SECRET", *m.span(), m[0], True) for m in SECRET.finditer(text)]
     if want("email"):
         out += [("EMAIL", s, e, text[s:e], True) for s, e in emails(text)]
-    where = list(areas(text))
-    if where:
+    if _digits.search(text):
+        where: dict[int, list] = {}
         for r in [*[r for r in NUMERIC if want(r.name)], *(extra if extra is not None else domestic(locales) if locales is not None or chosen and chosen & set(DOMESTIC) else [])]:
             if chosen is not None and r.name.startswith("phone_") and r.name not in chosen:
                 continue
-            for s, e in spans_of(r, text, where, budget):
+            if r.reach not in where:
+                where[r.reach] = list(areas(text, r.reach))
+            for s, e in spans_of(r, text, where[r.reach], budget):
                 h = text[s:e]
                 out.append((r.kind, s, e, h, r.verified is None or r.verified(h)))
+    budget.check()
     return out
 
 
@@ -331,7 +343,7 @@ class Vault:
     def __init__(self, texts: list[str] = ()):
         self.original: dict[str, str] = {}
         self.token: dict[str, str] = {}
-        self.taken = {f"[{m[1].upper()}_{int(m[2])}]" for t in texts if "[" in t for m in TOKEN.finditer(t)}
+        self.taken = {f"[{m[1].upper()}_{m[2]}]" for t in texts if "[" in t for m in TOKEN.finditer(t)}
         self.last: dict[str, int] = {}
 
     def put(self, kind: str, text: str) -> str:
@@ -348,14 +360,19 @@ class Vault:
 def mask(text: str, vault: Vault, budget: Budget, names=None, locales=None, extra=None, passes: int = PASSES) -> str:
     """Masks until nothing more is found; what is still found after `passes` blocks the request."""
     extra = domestic(locales) if extra is None and locales is not None else extra
+    return mask_by(lambda _, t: union(scan(t, names, locales, budget, extra)), text, vault, passes)
+
+
+def mask_by(find: Callable[[int, str], list[tuple]], text: str, vault: Vault, passes: int = PASSES) -> str:
+    """As mask(), with find(pass, text) giving the disjoint spans (kind, start, end, ...) in order."""
     for k in range(passes + 1):
-        spans = [s for s in union(scan(text, names, locales, budget, extra)) if not is_token(text[s[1] : s[2]])]
+        spans = [s for s in find(k, text) if not is_token(text[s[1] : s[2]])]
         if not spans:
             return text
         if k == passes:
             raise Blocked(f"not masked in {passes} passes: " + ", ".join(f"{kind} {sum(s[0] == kind for s in spans)}" for kind in sorted({s[0] for s in spans})))
         parts, at = [], 0
-        for kind, start, end, _ in spans:
+        for kind, start, end, *_ in spans:
             parts += [text[at:start], vault.put(kind, text[start:end])]
             at = end
         text = "".join(parts) + text[at:]

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scan as S
 from ..functions import walks
+from . import detectors as D
 
 MAX_BODY = 16 * 1024 * 1024
 _TEXTS = "struct<texts:array<struct<path:string,text:string>>,status:string>"
-_BODY = "struct<body:string,vault:map<string,string>,units:map<string,double>,status:string>"
+_BODY = "struct<body:string,vault:map<string,string>,units:map<string,double>,status:string,failures:map<string,int>>"
 _STR = pa.map_(pa.string(), pa.string())
-#: Further detectors of names: a function from a text to spans (kind, start, end, text, verified); runs in the first pass.
-Detector = Callable[[str], list[tuple]]
+#: A detector of names as a function: from a text to spans (kind, start, end, text, verified).
+Find = Callable[[str], list[tuple]]
 
 
 def texts(body: Column, schema: str) -> Column:
@@ -33,6 +34,7 @@ def texts(body: Column, schema: str) -> Column:
             found: list[dict] = []
 
             def keep(path, text, found=found):
+                _encodes(text)
                 found.append({"path": path, "text": text})
                 return text
 
@@ -55,38 +57,28 @@ def fields(requests: DataFrame, schema: str) -> DataFrame:
     return found.select("request_id", F.posexplode("t.texts").alias("field_ord", "f")).select("request_id", "field_ord", "f.path", "f.text")
 
 
-def _with(detector: Detector | None, fail_open: bool, text: str, vault: S.Vault, budget: S.Budget, extra) -> str:
-    """Structured values and a detector's names are resolved together in the first pass: names that overlap a structured
-    value, or a better name, go. A failing detector blocks the request, unless fail_open: then its names are missing."""
-    if detector is not None:
-        try:
-            names = detector(text)
-        except Exception:
-            if not fail_open:
-                raise S.Blocked("a detector failed") from None
-            names = []
-        kept = S.union(S.scan(text, None, None, budget, extra))
-        for n in sorted(names, key=lambda s: (-S.PRIORITY.get(s[0], 0), s[1] - s[2], s[1])):
-            if not S.is_token(text[n[1] : n[2]]) and all(n[2] <= k[1] or k[2] <= n[1] for k in kept):
-                kept.append((n[0], n[1], n[2], False))
-        parts, at = [], 0
-        for kind, start, end, _ in sorted(kept, key=lambda s: s[1]):
-            if not S.is_token(text[start:end]):
-                parts += [text[at:start], vault.put(kind, text[start:end])]
-                at = end
-        text = "".join(parts) + text[at:]
-    return S.mask(text, vault, budget, extra=extra)
-
-
-def masked(body: Column, schema: str, locales: list[str] | None = None, units: float = S.UNITS, notice: bool = True, detector: Detector | None = None, fail_open: bool = False) -> Column:
-    """Struct of the masked body, its vault, the validation units used by kind, and the status. All texts of a body share
-    one vault and one budget."""
+def _encodes(text: str) -> None:
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        raise S.Blocked("half of a surrogate pair") from None
+
+
+def masked(
+    body: Column, schema: str, locales: list[str] | None = None, units: float = S.UNITS, notice: bool = True,
+    detector: Find | None = None, fail_open: bool = False, chain: D.Chain | None = None,
+) -> Column:
+    """Struct of the masked body, its vault, the validation units used by kind, the status, and how often each detector
+    that may fail was passed over. All texts of a body share one vault and one budget. chain: what finds the values; or
+    the structured recognisers with `detector`, which is passed over when it fails if fail_open says so."""
+    if chain is None:
+        chain = D.build(locales, [D.Names(detector)] if detector else [], required=not fail_open)
 
     @F.arrow_udf(_BODY)
     def run(a: pa.Array) -> pa.Array:
-        extra = S.domestic(locales) if locales is not None else []
-        out, vaults, used, status = [], [], [], []
+        out, vaults, used, status, failures = [], [], [], [], []
         for t in a.to_pylist():
+            before = chain.failures()
             budget, vault, result, why = S.Budget(units), None, None, "ok"
             try:
                 if t is None or len(t.encode()) > MAX_BODY:
@@ -95,7 +87,7 @@ def masked(body: Column, schema: str, locales: list[str] | None = None, units: f
                 whole = walks.load(t)
                 walks.WALKS[schema](whole, lambda _, x, seen=seen: seen.append(x) or x)
                 vault = S.Vault(seen)
-                walks.WALKS[schema](whole, lambda _, x, vault=vault, budget=budget: _with(detector, fail_open, x, vault, budget, extra))
+                walks.WALKS[schema](whole, lambda _, x, vault=vault, budget=budget: D.mask(x, vault, budget, chain))
                 if notice and vault.original:
                     walks.add_notice(whole, schema)
                 result = walks.dump(whole)
@@ -105,8 +97,9 @@ def masked(body: Column, schema: str, locales: list[str] | None = None, units: f
             vaults.append(list(vault.original.items()) if vault else [])
             used.append(list(budget.used.items()))
             status.append(why)
-        cols = [pa.array(out, pa.string()), pa.array(vaults, _STR), pa.array(used, pa.map_(pa.string(), pa.float64())), pa.array(status, pa.string())]
-        return pa.StructArray.from_arrays(cols, ["body", "vault", "units", "status"])
+            failures.append([(k, n - before[k]) for k, n in chain.failures().items()])
+        cols = [pa.array(out, pa.string()), pa.array(vaults, _STR), pa.array(used, pa.map_(pa.string(), pa.float64())), pa.array(status, pa.string()), pa.array(failures, pa.map_(pa.string(), pa.int32()))]
+        return pa.StructArray.from_arrays(cols, ["body", "vault", "units", "status", "failures"])
 
     return run.asNondeterministic()(body)
 

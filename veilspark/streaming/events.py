@@ -13,13 +13,15 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.scan import Blocked
 from ..functions.walks import _at, _list, dump, restore
 from .restore import held_back
 
 OUT = "stream_id string, seq long, bytes binary"
 STATE = "state string"
-#: What a reader gets where the upstream fails midway: a comment line, which event readers skip, and an end.
-FAILED = ": upstream failed\n\n"
+#: Fixed value: the type of an error that this side reports. What a reader gets where the upstream fails midway.
+ERROR = "proxy_error"
+FAILED = "event: error\ndata: " + dump({"error": {"message": "the upstream failed before its reply ended", "type": ERROR}}) + "\n\n"
 
 
 class Events:
@@ -87,7 +89,19 @@ class Events:
             self._flush(lambda k: k[:2] == ("b", index))
         self._event()
         (self._blocks if self.schema == "anthropic" else self._choices)(value)
-        self.out.append(f"data: {dump(value)}\n")
+        self.out.append(f"data: {self._written(value, line)}\n")
+
+    @staticmethod
+    def _written(value, line: str) -> str:
+        """The event as JSON; where it holds half of a surrogate pair, all but ASCII as escapes; where it holds a number
+        that no double can, as it came."""
+        try:
+            return dump(value)
+        except Blocked:
+            try:
+                return json.dumps(value, allow_nan=False, separators=(",", ":"))
+            except ValueError:
+                return line[5:].lstrip()
 
     def _piece(self, holder, name: str, key: tuple) -> None:
         if isinstance(holder, dict) and isinstance(holder.get(name), str):
@@ -132,7 +146,7 @@ class Events:
                 delta = {"type": "input_json_delta", "partial_json": text} if key[2] else {"type": "text_delta", "text": text}
                 value = {"type": "content_block_delta", "index": key[1], "delta": delta}
                 self.out.append("event: content_block_delta\n")
-            self.out.append(f"data: {dump(value)}\n\n")
+            self.out.append(f"data: {self._written(value, '')}\n\n")
 
 
 def _rows(stream: str, frame: pd.DataFrame, state: str | None, vault: dict, schema: str | None):
