@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,74 @@ def chunk_ranges(n: Column, window: int = 480, overlap: int = 32) -> Column:
     return F.when(n > 0, F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(n, s + window).alias("end"))))
 
 
+def chunk_chars(n: Column, offsets: Column, window: int = 480, overlap: int = 32) -> Column:
+    """[start, end) character ranges of the token windows that cover a text of n characters. offsets: array of (start, end)
+    of its tokens, the marks before and after the text among them: the mark after it says (0, 0), so that the window that
+    holds it ends with the text. A text without tokens has no range."""
+    stride, size = max(1, window - overlap), F.size(offsets)
+    count = F.when(size > window, F.ceil((size - window) / stride)).otherwise(0).cast("int")
+    ranges = F.transform(F.sequence(F.lit(0), count), lambda k: _chunk(n, offsets, size, k * stride, window))
+    return F.when(size > 0, ranges)
+
+
+def _chunk(n: Column, offsets: Column, size: Column, first: Column, window: int) -> Column:
+    start = F.element_at(offsets, first + 1)["start"].cast("int")
+    end = F.when(first + window >= size, n.cast("int")).otherwise(F.greatest(F.element_at(offsets, F.least(first + window, size))["end"].cast("int"), start))
+    return F.struct(start.alias("start"), end.alias("end"))
+
+
+def word_windows(costs: Column, budget: int = 100, overlap: int = 8) -> Column:
+    """[start, end) word windows of a text whose words cost so many tokens (one at least): each holds as many words as the
+    budget allows, one if that alone costs more, and begins `overlap` words before the end of the one before, but always
+    after its start. Null for null, none for no words."""
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def plan(a: pa.Array) -> pa.Array:
+        most = max(1, budget)
+        per, flat, null = a.offsets.to_numpy(), a.values.fill_null(1).to_numpy(zero_copy_only=False), a.is_null().to_pylist()
+        out = []
+        for k, (lo, hi) in enumerate(zip(per[:-1].tolist(), per[1:].tolist())):
+            if null[k]:
+                out.append(None)
+                continue
+            n, total = hi - lo, np.concatenate([[0], np.cumsum(np.maximum(flat[lo:hi], 1))])
+            found, start, end = [], 0, 0
+            while end < n:
+                end = max(start + 1, int(np.searchsorted(total, total[start] + most, side="right")) - 1)
+                found.append({"start": start, "end": end})
+                start = end - min(overlap, end - start - 1)
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return plan(costs.cast("array<long>"))
+
+
+def stitch(entities: DataFrame, key: str) -> DataFrame:
+    """key, kind, start, end of entities found by windows (key, window, offset, kind, start, end): places count from the
+    window's offset; in order of places, then of windows, an entity equal to the one before it goes."""
+    d = entities.select(key, "window", "kind", (F.col("start") + F.col("offset")).cast("int").alias("start"), (F.col("end") + F.col("offset")).cast("int").alias("end"))
+    own, last = F.struct("kind", "start", "end"), W.partitionBy(key).orderBy("start", "end", "window", "kind")
+    d = d.withColumn("again", own.eqNullSafe(F.lag(own).over(last)))
+    return d.filter(~F.col("again")).select(key, "kind", "start", "end")
+
+
+def best_label(logits: Column) -> Column:
+    """The class of the largest logit, the last of equal ones. As comparisons with NaN are neither, a NaN gives way to
+    what follows it and takes the place of what stands before it: of NaNs only, the last class; 0 for no logits."""
+    pairs = F.transform(logits, lambda x, i: F.struct(x.cast("double").alias("x"), i.alias("i")))
+    stays = lambda a, b: ~F.isnan(a["x"]) & ~F.isnan(b["x"]) & (a["x"] > b["x"])
+    won = F.aggregate(pairs, F.struct(F.lit(float("nan")).alias("x"), F.lit(0).alias("i")), lambda a, b: F.when(stays(a, b), a).otherwise(b))
+    return won["i"]
+
+
+def tags(logits: Column, offsets: Column, id2label: Column) -> Column:
+    """Array of (ord, label, start, end) of a text's tokens: logits by token and class, offsets by token, labels by class
+    as text. Tokens without characters (marks around the text) go; a class without a label is `O`."""
+    label = lambda row: F.coalesce(F.try_element_at(id2label, best_label(row).cast("string")), F.lit("O"))
+    all_ = F.transform(F.arrays_zip(logits.alias("l"), offsets.alias("o")), lambda t, i: F.struct(i.alias("ord"), label(t["l"]).alias("label"), t["o"]["start"].alias("start"), t["o"]["end"].alias("end")))
+    return F.filter(all_, lambda t: t["start"] < t["end"])
+
+
 def safe_prefix(pending: Column) -> Column:
     """How much of a streamed text can't be part of an unfinished token."""
     tail = F.regexp_extract(pending, r"(\[[A-Za-z0-9 _\-]{0,32})\z", 1)

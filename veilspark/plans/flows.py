@@ -1,0 +1,125 @@
+"""Queries of replies as streams, of model outputs in windows, of bodies as variants and in SQL, with their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import labels
+from ..operators import vault
+from ..streaming import replies
+from .registry import _query, _table
+
+# --- replies
+
+_MIXED = """SELECT conv_id, turn, text, CASE conv_id % 3 WHEN 0 THEN 'events' WHEN 1 THEN 'body' ELSE 'failed' END AS kind FROM conversations WHERE text IS NOT NULL"""
+
+
+@_query("stream_mixed_replies", _MIXED)
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn is masked and comes back in three pieces, cut anywhere: as events, as one JSON body, or as events of an
+    upstream that fails at the end. Vaults are a table that the first pieces meet by a join. The texts are those of the
+    conversations, and exactly the failed streams end with an error event."""
+    d = vault.mask(_table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", "text"))
+    d = d.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("stream_id"), "masked", "vault")
+    half = (F.length("masked") / 2).cast("int")
+    event = lambda t: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), F.struct(t.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
+    events = F.concat(event(F.substring("masked", F.lit(1), half)), event(F.substring("masked", half + 1, F.length("masked"))), F.when(F.col("conv_id") % 3 == 0, F.lit("data: [DONE]\n\n")).otherwise(F.lit("")))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("masked").alias("content")).alias("message"))).alias("choices")))
+    whole = d.select("*", F.when(F.col("conv_id") % 3 == 1, body).otherwise(events).cast("binary").alias("b"))
+    n = F.octet_length("b")
+    cuts = F.array(*[F.struct(F.lit(k).cast("long").alias("seq"), F.substring(F.col("b"), (n * k / 3).cast("int") + 1, (n * (k + 1) / 3).cast("int") - (n * k / 3).cast("int")).alias("bytes")) for k in range(3)])
+    last = F.col("c.seq") == 2
+    kind = F.when(F.col("conv_id") % 3 == 1, F.lit("application/json")).otherwise(F.lit("text/event-stream; charset=utf-8"))
+    chunks = whole.select("stream_id", "conv_id", F.explode(cuts).alias("c")).select("stream_id", "c.seq", "c.bytes", F.lit("openai").alias("schema"), kind.alias("content_type"), (last & (F.col("conv_id") % 3 != 2)).alias("is_end"), (last & (F.col("conv_id") % 3 == 2)).alias("failed"))
+    vaults = d.select("stream_id", F.explode("vault").alias("placeholder", "original"))
+    got = replies.restore_recorded(replies.with_vaults(chunks, vaults)).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("all"))
+    out = got.select("stream_id", F.array_join(F.transform("all", lambda x: x["bytes"].cast("string")), "").alias("out"))
+    pieces = F.filter(F.split("out", "\n"), lambda x: x.startswith("data: {") & ~x.contains('"error"'))
+    streamed = F.array_join(F.transform(pieces, lambda x: F.coalesce(F.get_json_object(F.substring(x, F.lit(7), F.length(x)), "$.choices[0].delta.content"), F.lit(""))), "")
+    failed = F.col("out").endswith(replies.FAILED)
+    is_body = F.col("out").startswith("{")
+    kind = F.when(is_body, "body").when(failed, "failed").otherwise("events")
+    id_ = F.split("stream_id", ":")
+    return out.select(id_[0].cast("long").alias("conv_id"), id_[1].cast("long").alias("turn"), F.when(is_body, F.get_json_object("out", "$.choices[0].message.content")).otherwise(streamed).alias("text"), kind.alias("kind"))
+
+
+# --- model outputs
+
+_COSTS = "list_transform(string_split(text, ' '), lambda w: CAST(greatest(1, length(w) // 3) AS bigint))"
+
+
+@_query(
+    "word_windows",
+    """WITH RECURSIVE w AS (SELECT doc_id, generate_subscripts(string_split(text, ' '), 1) AS k, unnest(string_split(text, ' ')) AS word FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT doc_id, list(total ORDER BY k) AS c FROM (SELECT doc_id, k, sum(greatest(1, length(word) // 3)) OVER (PARTITION BY doc_id ORDER BY k) AS total FROM w) GROUP BY doc_id),
+    p AS (
+      SELECT doc_id, 0 AS s, greatest(1, len(list_filter(c, lambda x: x <= 12))) AS e FROM t
+      UNION ALL
+      SELECT doc_id, s, greatest(s + 1, len(list_filter(c, lambda x: x <= c[s] + 12))) AS e FROM (SELECT p.doc_id, p.e - least(2, p.e - p.s - 1) AS s, t.c FROM p JOIN t ON p.doc_id = t.doc_id WHERE p.e < len(t.c))
+    ) SELECT doc_id, cast(s AS int) AS "start", cast(e AS int) AS "end" FROM p""",
+)
+def _word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words cost a token for each three letters; windows of 12 tokens, shorter than some words, overlap by two words."""
+    d = _table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    costs = F.transform(F.split("text", " ", -1), lambda w: F.greatest(F.lit(1), F.floor(F.length(w) / 3)).cast("long"))
+    return d.select("doc_id", F.explode(labels.word_windows(costs, 12, 2)).alias("w")).select("doc_id", "w.start", "w.end")
+
+
+_TAGGED = "SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS ord, CASE WHEN l_partkey % 4 = 0 THEN 'O' WHEN l_partkey % 4 = 1 THEN 'B-PER' WHEN l_partkey % 4 = 2 THEN 'I-PER' ELSE 'I-ORG' END AS label FROM lineitem"
+
+
+@_query(
+    "stitched_entities",
+    f"""WITH t AS ({_TAGGED}), n AS (SELECT k, count(*) AS n FROM t GROUP BY k),
+    w AS (SELECT k, n, unnest(range(0, greatest(0, n - 2) + 1, 3)) AS s FROM n),
+    x AS (SELECT w.k, w.s AS win, t.ord, CASE WHEN label = 'O' THEN NULL WHEN label LIKE '%PER' THEN 'PERSON' ELSE 'ORG' END AS kind, label FROM w JOIN t ON t.k = w.k AND t.ord >= w.s AND t.ord < w.s + 4),
+    g AS (SELECT *, sum(CASE WHEN kind IS NOT DISTINCT FROM p AND label NOT LIKE 'B-%' THEN 0 ELSE 1 END) OVER (PARTITION BY k, win ORDER BY ord) AS g FROM (SELECT *, lag(kind) OVER (PARTITION BY k, win ORDER BY ord) AS p FROM x))
+    SELECT DISTINCT k, kind, cast(min(ord) * 10 AS int) AS "start", cast(max(ord) * 10 + 8 AS int) AS "end" FROM g WHERE kind IS NOT NULL GROUP BY k, win, g, kind""",
+)
+def _stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of ten characters, in windows of four that overlap by one: each window is decoded with places of its own, the
+    entities are put back where they stand and found once."""
+    _table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    t = spark.sql(_TAGGED)
+    n = t.groupBy("k").agg(F.count("*").cast("int").alias("n"))
+    w = n.select("k", F.explode(labels.chunk_ranges(F.col("n"), 4, 1)).alias("w")).select(F.col("k").alias("of"), "w.start", "w.end")
+    x = t.join(w, (F.col("k") == F.col("of")) & (F.col("ord") >= F.col("start")) & (F.col("ord") < F.col("end")))
+    x = x.select(F.struct("k", "start").alias("id"), "ord", "label", ((F.col("ord") - F.col("start")) * 10).cast("int").alias("s"), ((F.col("ord") - F.col("start")) * 10 + 8).cast("int").alias("e"))
+    found = labels.bio_decode(x.withColumnsRenamed({"s": "start", "e": "end"}), "id")
+    return labels.stitch(found.select(F.col("id.k").alias("k"), F.col("id.start").alias("window"), (F.col("id.start") * 10).alias("offset"), "kind", "start", "end"), "k")
+
+
+@_query(
+    "logit_tags",
+    """SELECT l_orderkey, l_linenumber, l_partkey, cast(CASE WHEN l_suppkey % 11 = 0 THEN 3 ELSE 4 - list_position(list_reverse(m), list_max(m)) END AS int) AS tag
+    FROM (SELECT *, [l_partkey % 3, l_suppkey % 3, l_linenumber % 3, cast(l_quantity AS bigint) % 3] AS m FROM lineitem)""",
+)
+def _logit_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four logits a token with many ties, every eleventh supplier's all NaN: the last of equal ones wins."""
+    d = _table(spark, sf_dir, "lineitem")
+    own = F.array(*[(F.col(c).cast("long") % 3).cast("float") for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")])
+    logits = F.when(F.col("l_suppkey") % 11 == 0, F.array_repeat(F.lit(float("nan")).cast("float"), 4)).otherwise(own)
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", labels.best_label(logits).cast("int").alias("tag"))
+
+
+@_query(
+    "logit_entities",
+    """WITH t AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS ord, [l_partkey % 3, l_suppkey % 3, l_linenumber % 3] AS m FROM lineitem),
+    x AS (SELECT k, ord, CASE WHEN list_position(list_reverse(m), list_max(m)) = 1 THEN 'ORG' WHEN list_position(list_reverse(m), list_max(m)) = 2 THEN 'PERSON' END AS kind FROM t),
+    g AS (SELECT *, sum(CASE WHEN kind IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY ord) AS g FROM (SELECT *, lag(kind) OVER (PARTITION BY k ORDER BY ord) AS p FROM x))
+    SELECT k, kind, cast(min(ord) * 10 AS int) AS "start", cast(max(ord) * 10 + 8 AS int) AS "end" FROM g WHERE kind IS NOT NULL GROUP BY k, g, kind""",
+)
+def _logit_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a model's logits by token to entities: tags, then islands. The marks around a text have no characters and go."""
+    d = _table(spark, sf_dir, "lineitem")
+    m = F.array(*[(F.col(c).cast("long") % 3).cast("double") for c in ("l_partkey", "l_suppkey", "l_linenumber")])
+    rows = d.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", m.alias("m")))).alias("rows"))
+    mark = F.array(F.array(F.lit(0.0), F.lit(9.0), F.lit(0.0)))
+    logits = F.concat(mark, F.transform("rows", lambda x: x["m"]), mark)
+    place = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
+    none = F.array(place(F.lit(0), F.lit(0)))
+    offsets = F.concat(none, F.transform("rows", lambda x, i: place(i * 10, i * 10 + 8)), none)
+    names = F.create_map(*[F.lit(x) for x in ("0", "O", "1", "I-PER", "2", "I-ORG")])
+    t = rows.select("k", F.explode(labels.tags(logits, offsets, names)).alias("t")).select("k", "t.*")
+    return labels.bio_decode(t, "k")

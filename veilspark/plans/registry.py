@@ -518,3 +518,6 @@ def _json(spark, sf_dir):
 def _header_list(spark, sf_dir):
     d = _table(spark, sf_dir, "customer")
     return d.select("c_custkey", F.array_join(requests.parse_header_list(F.concat(F.lit(" X-"), "c_name", F.lit(" ,, Accept "))), "|").alias("names"))
+
+
+from . import flows  # noqa: E402, F401  registers its queries here
