@@ -34,7 +34,7 @@ def texts(body: Column, schema: str) -> Column:
             found: list[dict] = []
 
             def keep(path, text, found=found):
-                _encodes(text)
+                check_encodes(text)
                 found.append({"path": path, "text": text})
                 return text
 
@@ -57,7 +57,7 @@ def fields(requests: DataFrame, schema: str) -> DataFrame:
     return found.select("request_id", F.posexplode("t.texts").alias("field_ord", "f")).select("request_id", "field_ord", "f.path", "f.text")
 
 
-def _encodes(text: str) -> None:
+def check_encodes(text: str) -> None:
     try:
         text.encode()
     except UnicodeEncodeError:

@@ -22,19 +22,24 @@ EMAIL_LINEAR = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.
 NEEDED = r"[@\p{Nd}]|sk-|AKIA"
 
 
-def spans(text: Column, names: list[str] | None = None, locales: list[str] | None = None) -> Column:
-    """Array of raw spans of a text; empty for null. names: recognisers; locales: regions of domestic phones, none by default."""
+def spans(text: Column, names: list[str] | None = None, locales: list[str] | None = None, units: float = float("inf")) -> Column:
+    """Array of raw spans of a text; empty for null. names: recognisers; locales: regions of domestic phones, none by default;
+    units: validations that one text may cost, beyond which it has no array (null)."""
 
     @F.arrow_udf(f"array<{SPAN}>")
     def found(a: pa.Array) -> pa.Array:
         extra = S.domestic(locales) if locales is not None or set(names or ()) & set(DOMESTIC) else []
-        offsets, rows = [0], []
+        offsets, rows, spent = [0], [], []
         for t in a.to_pylist():
-            rows += S.scan(t, names, locales, S.Budget(float("inf")), extra) if t else []
+            try:
+                rows += S.scan(t, names, locales, S.Budget(units), extra) if t else []
+                spent.append(False)
+            except S.Blocked:
+                spent.append(True)
             offsets.append(len(rows))
         cols = list(zip(*rows)) or [()] * 5
         parts = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, _FIELDS)], fields=[pa.field(*f) for f in _FIELDS])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts, mask=pa.array(spent) if any(spent) else None)
 
     # a null goes through the scan for nothing; nondeterministic: never computed twice, whatever reads it
     return found.asNondeterministic()(F.when(text.rlike(NEEDED), text))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import scan as S
-from .detect import NEEDED
+from .detect import NEEDED, SPAN
 
 TOKEN = r"\[\s*[A-Za-z]+[ _-]*[0-9]+\s*\]"
 _MASKED = "struct<masked:string,vault:map<string,string>,status:string>"
@@ -27,18 +27,25 @@ def number(sightings: DataFrame, request: str, order: list[str]) -> DataFrame:
     return first.withColumn("n", n).select(request, "text", "kind", "n", F.concat(F.lit("["), "kind", F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("placeholder"))
 
 
-def masked(text: Column, names: list[str] | None = None, locales: list[str] | None = None, units: float = S.UNITS, passes: int = S.PASSES) -> Column:
+def masked(text: Column, names: list[str] | None = None, locales: list[str] | None = None, units: float = S.UNITS, passes: int = S.PASSES, found: Column | None = None) -> Column:
     """Struct of the masked text, the vault (placeholder to original) and the status of a request with one text: `ok`, or
-    why it is blocked; then there is no masked text and no vault."""
+    why it is blocked; then there is no masked text and no vault. found: raw spans of the text that are known already, as
+    detect.spans gives them; the first pass takes those and scans only where they are null."""
 
     @F.arrow_udf(_MASKED)
-    def run(a: pa.Array) -> pa.Array:
+    def run(a: pa.Array, known: pa.Array) -> pa.Array:
         extra = S.domestic(locales) if locales is not None else []
         out, vaults, status = [], [], []
-        for t in a.to_pylist():
-            vault = S.Vault([t] if t else [])
+        for t, spans in zip(a.to_pylist(), known.to_pylist()):
+            vault, budget = S.Vault([t] if t else []), S.Budget(units)
+
+            def find(k, x, spans=spans, budget=budget):
+                if k or spans is None:
+                    return S.union(S.scan(x, names, locales, budget, extra))
+                return S.union([(s["kind"], s["start"], s["end"], s["text"], s["verified"]) for s in spans])
+
             try:
-                out.append(S.mask(t, vault, S.Budget(units), names, locales, extra, passes) if t else t)
+                out.append(S.mask_by(find, t, vault, passes) if t else t)
                 vaults.append(list(vault.original.items()))
                 status.append("ok")
             except S.Blocked as e:
@@ -47,7 +54,7 @@ def masked(text: Column, names: list[str] | None = None, locales: list[str] | No
                 status.append(f"blocked: {e}")
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(vaults, _MAP), pa.array(status, pa.string())], ["masked", "vault", "status"])
 
-    return run.asNondeterministic()(text)
+    return run.asNondeterministic()(text, F.lit(None).cast(f"array<{SPAN}>") if found is None else found)
 
 
 def mask(df: DataFrame, text: str = "text", names: list[str] | None = None, locales: list[str] | None = None, **limits) -> DataFrame:

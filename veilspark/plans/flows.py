@@ -1,14 +1,17 @@
-"""Queries of replies as streams, of model outputs in windows, of bodies as variants and in SQL, with their DuckDB SQL."""
+"""Queries of stages, of replies as streams, of model outputs in windows, of bodies as variants and in SQL, with their DuckDB SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import vault
+from ..operators import cache, detect, detectors, variants, vault
 from ..streaming import replies
-from .registry import _query, _table
+from . import stages
+from .registry import _bodies, _query, _table
 
 # --- replies
 
@@ -123,3 +126,63 @@ def _logit_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.create_map(*[F.lit(x) for x in ("0", "O", "1", "I-PER", "2", "I-ORG")])
     t = rows.select("k", F.explode(labels.tags(logits, offsets, names)).alias("t")).select("k", "t.*")
     return labels.bio_decode(t, "k")
+
+
+# --- bodies
+
+_WITH_TOOLS = """SELECT conv_id AS request_id, cast(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS int) AS field_ord, text FROM conversations WHERE text IS NOT NULL
+    UNION ALL SELECT conv_id, cast(count(text) AS int), concat('tool of ', conv_id) FROM conversations WHERE conv_id % 5 = 0 GROUP BY conv_id"""
+
+
+def _some_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as bodies, every fifth with a tool, which no plain body has."""
+    d = _bodies(spark, sf_dir)
+    tool = F.concat(F.lit('{"tools":[{"function":{"description":"tool of '), F.col("request_id").cast("string"), F.lit('"}}],'), F.substring("body", F.lit(2), F.length("body")))
+    return d.withColumn("body", F.when(F.col("request_id") % 5 == 0, tool).otherwise(F.col("body")))
+
+
+@_query("variant_fields", _WITH_TOOLS)
+def _variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain bodies are read as variants, those with tools by the walk."""
+    return variants.fields(_some_tools(spark, sf_dir), "openai").select("request_id", "field_ord", "text")
+
+
+@_query("udtf_fields", _WITH_TOOLS)
+def _udtf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through SQL and the table function."""
+    variants.register(spark)
+    _some_tools(spark, sf_dir).createOrReplaceTempView("bodies_with_tools")
+    return spark.sql("SELECT request_id, f.field_ord, f.text FROM bodies_with_tools, LATERAL text_fields(body, 'openai') f")
+
+
+@_query(
+    "stages_round_trip",
+    """SELECT conv_id AS request_id, CASE conv_id % 4 WHEN 0 THEN 'blocked: no JSON' WHEN 1 THEN 'blocked: unknown shape' ELSE 'ok' END AS status,
+    CASE WHEN conv_id % 4 >= 2 THEN string_agg(text, '|' ORDER BY turn, role, text) END AS texts FROM conversations GROUP BY conv_id""",
+)
+def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests go out through admission and masking, and come back as replies in reverse order: the texts are those of
+    the conversations, and the first stage that blocks a request gives the reason."""
+    k = F.col("request_id") % 4
+    body = F.when(k == 0, F.concat(F.lit("{"), F.col("body"))).otherwise(F.col("body"))
+    schema = F.when(k == 1, "other").when(k == 2, "openai").otherwise("anthropic")
+    requests = _bodies(spark, sf_dir).select("request_id", schema.alias("schema"), body.alias("body"), F.create_map(F.lit("x"), F.lit("y")).alias("headers"))
+    way = [stages.Admission(), stages.Privacy(detectors.build(), notice=False)]
+    sent = stages.outbound(requests, way)
+    texts = F.from_json("body", "messages array<struct<content:string>>")["messages"]["content"]
+    reply = F.when(F.col("schema") == "openai", F.to_json(F.struct(F.transform(texts, lambda t: F.struct(F.struct(t.alias("content")).alias("message"))).alias("choices"))))
+    reply = reply.otherwise(F.to_json(F.struct(F.transform(texts, lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content"))))
+    back = stages.inbound(sent.filter("status = 'ok'").select("request_id", reply.alias("body")), sent, way)
+    own = F.from_json("body", "choices array<struct<message:struct<content:string>>>, content array<struct<text:string>>")
+    back = back.select(F.col("request_id").alias("of"), F.array_join(F.coalesce(own["choices"]["message"]["content"], own["content"]["text"]), "|").alias("texts"))
+    return sent.select("request_id", "status").join(back, F.col("request_id") == F.col("of"), "left").drop("of")
+
+
+@_query("cached_emails", f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{detect.EMAIL}')) AS bigint) AS n_emails FROM documents")
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first run fills the cache; the second one reads what it found and scans only what is too short or long to keep."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    kept = cache.TextCache(spark, f"{root.rstrip('/')}/cache-{uuid.uuid4().hex}", names=["email"])
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept.find(d)
+    return kept.find(d).select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_emails"))
