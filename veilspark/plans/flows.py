@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import labels, phones
 from ..operators import cache, detect, detectors, variants, vault
 from ..streaming import replies
 from . import stages
@@ -186,3 +186,65 @@ def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents").select("doc_id", "text")
     kept.find(d)
     return kept.find(d).select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_emails"))
+
+
+# --- precision: texts that hold no telephone number, by what they hold and by region
+
+
+def _n(k: int, most: int, digits: int = 0) -> str:
+    """The k-th number below `most` of a linear congruential generator that starts at c_custkey; digits: padded with zeros."""
+    made = f"((c_custkey * 1103515245 + {12345 + 7919 * k}) % 2147483648 * {2 * k + 69069} + {k}) % 4294967291 % {most}"
+    text = f"cast({made} AS varchar(20))"
+    return f"lpad({text}, {digits}, '0')" if digits else text
+
+
+_NEGATIVES = {
+    "amount": f"concat('total ', {_n(1, 100000)}, '.', {_n(2, 100, 2)}, ' due')",
+    "grouped_amount": f"concat('sum ', {_n(1, 900)}, '.', {_n(2, 1000, 3)}, '.', {_n(3, 1000, 3)}, ' paid')",
+    "iso_date": f"concat('on ', '20', {_n(1, 30, 2)}, '-', {_n(2, 13, 2)}, '-', {_n(3, 29, 2)})",
+    "dotted_date": f"concat('am ', {_n(1, 29, 2)}, '.', {_n(2, 13, 2)}, '.20', {_n(3, 30, 2)})",
+    "clock": f"concat('at ', {_n(1, 24, 2)}, ':', {_n(2, 60, 2)}, ':', {_n(3, 60, 2)})",
+    "version": f"concat('v ', {_n(1, 20)}, '.', {_n(2, 100)}, '.', {_n(3, 3000)})",
+    "public_ip": f"concat('from ', {_n(1, 10)}, {_n(5, 9)}, '.', {_n(2, 256)}, '.', {_n(3, 256)}, '.', {_n(4, 256)})",
+    "private_ip_10": f"concat('host 10.', {_n(1, 256)}, '.', {_n(2, 256)}, '.', {_n(3, 256)})",
+    "private_ip_192": f"concat('host 192.168.', {_n(1, 256)}, '.', {_n(2, 256)})",
+    "order_id": f"concat('order ', {_n(1, 100000000, 8)}, ' sent')",
+    "padded_id": f"concat('ref 00', {_n(1, 10000000, 7)}, ' sent')",
+    "table_row": f"concat('row ', {_n(1, 99)}, '  ', {_n(2, 1000)}, '   ', {_n(3, 1000)}, ' ', {_n(4, 10000)})",
+    "coordinates": f"concat({_n(1, 90)}, '.', {_n(2, 10000, 4)}, ' ', {_n(3, 180)}, '.', {_n(4, 10000, 4)})",
+    "isbn": f"concat('978-3-', {_n(1, 100, 2)}, '-', {_n(2, 1000000, 6)}, '-', {_n(3, 10)})",
+    "epoch": f"concat('ts=1', {_n(1, 1000000000, 9)}, ' ok')",
+}
+_MADE = " UNION ALL ".join(f"SELECT '{c}' AS category, c_custkey, {sql} AS text FROM customer" for c, sql in _NEGATIVES.items())
+
+
+def _matrix_sql() -> str:
+    """Every start, every form, every shortened value; the plans are the fixed values of functions/phones.py."""
+    gap = "[\\t \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}./()-]{1,4}"
+    forms = {
+        "trunk": f"0[0-9]{{1,4}}{gap}[0-9]{{3,4}}{gap}[0-9]{{3,4}}\\b|0[0-9]{{1,4}}{gap}[0-9]{{4,8}}\\b|0[0-9]{{6,11}}\\b",
+        "trunk_pairs": f"0[0-9](?:{gap}[0-9]{{2}}){{4}}\\b",
+        "groups": f"[1-9][0-9]{{1,2}}(?:{gap}[0-9]{{2,4}}){{1,3}}\\b",
+        "long_block": f"[1-9][0-9]{{2}}{gap}[0-9]{{6,8}}\\b",
+    }
+    whole = " UNION ALL ".join(f"SELECT category, c_custkey, '{f}' AS form, regexp_extract(rest, '^(?:{p})') AS h FROM s WHERE regexp_matches(rest, '^(?:{p})')" for f, p in forms.items())
+    cut = " UNION ALL ".join(f"SELECT category, c_custkey, form, left(h, k) AS h FROM (SELECT *, unnest(range(1, length(h))) AS k FROM w WHERE form = '{f}') WHERE regexp_matches(substr(h, k + 1, 1), '[ ./()-]') AND regexp_extract(left(h, k), '^(?:{forms[f]})') = left(h, k)" for f in ("groups", "long_block"))
+    plain = "regexp_replace(h, '[^0-9]', '', 'g')"
+    region = []
+    for r, plan in phones.PLANS.items():
+        own = ", ".join(f"'{f}'" for f, rs in phones.FAMILIES.items() if r in rs)
+        digits = f"CASE WHEN {plain} LIKE '0%' THEN {'NULL' if r in ('es', 'lv', 'pt') else plain if r == 'it' else f'substr({plain}, 2)'} ELSE {plain} END"
+        plan = plan.replace("\\d", "[0-9]")
+        region.append(f"SELECT m.category, '{r}' AS region, cast(avg(CASE WHEN f.c_custkey IS NULL THEN 0 ELSE 1 END) AS double) AS rate FROM m LEFT JOIN (SELECT DISTINCT category, c_custkey FROM c WHERE form IN ({own}) AND regexp_full_match({digits}, '{plan}')) f ON m.category = f.category AND m.c_custkey = f.c_custkey GROUP BY m.category")
+    return f"""WITH m AS ({_MADE}), s AS (SELECT category, c_custkey, substr(text, i, length(text)) AS rest FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM m) WHERE i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[A-Za-z0-9_]')),
+    w AS ({whole}), c AS (SELECT * FROM w UNION ALL {cut}) {' UNION ALL '.join(region)}"""
+
+
+@_query("phone_precision_matrix", _matrix_sql())
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of texts in which a region's domestic forms see a telephone number: 15 categories, 9 regions, one scan of each
+    text a region."""
+    _table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    d = spark.sql(_MADE)
+    each = d.select("category", *[(F.size(detect.spans(F.col("text"), detect.DOMESTIC, [r])) > 0).cast("int").alias(r) for r in phones.REGIONS])
+    return each.groupBy("category").agg(*[F.avg(r).alias(r) for r in phones.REGIONS]).unpivot("category", list(phones.REGIONS), "region", "rate")
