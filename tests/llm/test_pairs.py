@@ -249,3 +249,37 @@ def test_coalescing_expands_overlaps():
     group_a, group_b, i, j = alignment.coalesce(*(np.array(x) for x in ([2, 5, 6, 9], [2, 4, 6, 8, 9], [0, 2, 5, 6], [0, 2, 4, 6, 8])))
     assert group_a.tolist() == [0, 1, 1, 2] and group_b.tolist() == [0, 1, 1, 2, 2]
     assert list(zip(i.tolist(), j.tolist())) == [(0, 0), (1, 1), (1, 2), (2, 2), (3, 3), (3, 4)]
+
+
+# --- copies of images, by the number of a page's lines
+
+
+@pytest.mark.parametrize("lines,least_half", [(9, 0), (12, 0.5), (18, 0.85), (26, 0.9), (50, 0.9), (100, 0.9)])
+def test_media_recall_by_size(lines, least_half):
+    """Noise of three grey levels, columns and rows cut off, and half the size: of drawn pages of so many lines."""
+    from veilspark.llm import media
+
+    r, images = np.random.default_rng(6), []
+    while len(images) < 40:
+        i = media.draw("<p>" + "</p><p>".join(text(rng.randint(30, 45)) for _ in range(max(1, lines // 2))) + "</p>")
+        images.append(i[: 4 * lines])
+
+    def half(i):
+        i = i[: i.shape[0] // 2 * 2].astype(float)
+        return np.rint((i[::2, ::2] + i[1::2, ::2] + i[::2, 1::2] + i[1::2, 1::2]) / 4).astype(np.uint8)
+
+    edits = {"noise": lambda i: np.clip(np.rint(i + r.normal(0, 3, i.shape)), 0, 255).astype(np.uint8), "columns": lambda i: i[:, 20:], "rows": lambda i: i[i.shape[0] // 4 :], "half": half}
+    own = [media.keypoints(i).tobytes() for i in images]
+    for name, edit in edits.items():
+        found = media.consensus([(a, media.keypoints(edit(i)).tobytes()) for a, i in zip(own, images)])
+        assert found.mean() >= (least_half if name == "half" else 0.9), name
+    assert not media.consensus(list(zip(own, own[1:] + own[:1]))).any()
+
+
+def test_small_and_blank_images_equal_their_copies(spark):
+    from veilspark.llm import media
+
+    pages = [(3, "<p>one line</p>"), (1, "<p>one line</p>"), (7, "<p>x</p>"), (9, "<p>x</p>"), (2, "<p>another</p>"), (5, None), (6, "")]
+    d = spark.createDataFrame(pages, "page_id long, html string")
+    got = {r["id"]: r["component_id"] for r in media.copies(media.describe(d, media.draw, "page_id", "html")).collect()}
+    assert got == {3: 1, 1: 1, 7: 7, 9: 7, 2: 2, 5: 5, 6: 6}

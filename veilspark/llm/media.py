@@ -2,7 +2,7 @@
 
 Corners (Harris, at two scales; the strongest within RADIUS pixels, wherever the image is cut) are described by binary
 tests on a smoothed patch, turned to the patch's orientation. Equal images become one class. Two images are linked if
-enough details of each stand in the other at one shift (geometric consensus): half of the details of the image that has
+enough details of each stand in the other at one shift (geometric consensus), and at one ratio of sizes, 1 or 2: a third of the details of the image that has
 fewer, LEAST at least; so crops and edits are found, and pages that share a header only are not.
 
 Descriptors meet in Hamming tables: each is cut into BANDS, and details with an equal band are alike. Every image has its
@@ -16,8 +16,9 @@ compared with the bucket's fullest image, and what is still apart then is compar
 The tables here hold no pictures, so the query draws each page: its visible words in a micro font, a new line for each
 block, which is what a screenshot thumbnail would show.
 
-Defined results: a null or damaged image has no keypoints and links with nothing; equal images are one class (unless they
-have no keypoint); a null id links with nothing; further columns are ignored.
+Defined results: a null or damaged image has no keypoints and links with nothing; equal images are one class, with or
+without keypoints; an image of fewer than LEAST keypoints links with its equals only; repeated rows and equal ids keep one
+row each; a null id links with nothing; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +39,12 @@ PATCH, RADIUS, CORNER, BANDS, SHIFT = 7, 8, 3e5, 2, 8
 LEAST, TRIES, HOT, BINS = 3, 3, 32, 1 << 16
 COMMON = 0.01  # share of all images: a bin with more entries is dealt over tasks like a large bucket
 WIDTH = 128
-MARGIN = 24  # of nine pixels' sum: what flat places differ by through noise is no difference
+MARGIN = 48  # of nine pixels' sum: what flat places differ by through noise is no difference
 _rng = np.random.default_rng(11)
 TESTS = _rng.integers(-PATCH, PATCH + 1, size=(32 * BANDS, 4))
 FULL = 0.7  # share of a patch that isn't blank: shapes of blank places are the same in many images
+BORDER = 10
+KEPT = 12  # details of each scale that an image keeps at least, the fullest ones, however blank they are
 TAG, BLOCK, HIDDEN = re.compile(r"<[^>]*>"), re.compile(r"</?(?:p|div|h\d|li|ul|tr|table|article|nav|br)\b[^>]*>"), re.compile(r"<(script|style|title)\b.*?</\1>|<!--.*?-->", re.S)
 
 
@@ -99,9 +102,10 @@ def keypoints(image: np.ndarray | None) -> np.ndarray:
     found = []
     edge = int(PATCH * 1.5) + 2
     for scale in (0, 1):
-        if image is None or min(image.shape) < 2 * edge + 2:
+        if image is None or min(image.shape) < 4:
             break
-        s = _sum(image.astype(np.float32), 3)  # s[y, x] is the square around (x + 1, y + 1)
+        # blank space around the picture, so that details at its border count
+        s = _sum(np.pad(image.astype(np.float32), BORDER, constant_values=255), 3)  # s[y, x] is the square around (x + 1, y + 1)
         gx, gy = s[1:-1, 2:] - s[1:-1, :-2], s[2:, 1:-1] - s[:-2, 1:-1]
         xx, yy, xy = _sum(gx * gx, 3), _sum(gy * gy, 3), _sum(gx * gy, 3)
         r = (xx * yy - xy * xy) / (xx + yy + 1)  # r[y, x] belongs to (x + 3, y + 3)
@@ -112,14 +116,15 @@ def keypoints(image: np.ndarray | None) -> np.ndarray:
             y, x = y + edge, x + edge
             off = np.arange(-PATCH, PATCH + 1)
             p = 9 * 255 - s[(y - 1)[:, None, None] + off[:, None], (x - 1)[:, None, None] + off]
-            full = (p > 0).mean(axis=(1, 2)) >= FULL
+            ink = (p > 0).mean(axis=(1, 2))
+            full = ink >= min(FULL, np.sort(ink)[-KEPT:][0])
             x, y, p = x[full], y[full], p[full]
             angle = np.arctan2((p.sum(axis=2) * off).sum(axis=1), (p.sum(axis=1) * off).sum(axis=1))
             c, d = np.cos(angle)[:, None], np.sin(angle)[:, None]
             at = lambda u, v: s[(y - 1)[:, None] + np.rint(d * u + c * v).astype(np.int32), (x - 1)[:, None] + np.rint(c * u - d * v).astype(np.int32)]
             bits = at(TESTS[:, 0], TESTS[:, 1]) + MARGIN < at(TESTS[:, 2], TESTS[:, 3])
             bands = np.packbits(bits, axis=1).view(">u4")
-            found.append(np.concatenate([np.stack([x << scale, y << scale, np.full(len(x), scale)], axis=1), bands], axis=1).astype("<u4"))
+            found.append(np.concatenate([np.stack([(x - BORDER) << scale, (y - BORDER) << scale, np.full(len(x), scale)], axis=1), bands], axis=1).astype("<u4"))
         h, w = (image.shape[0] // 2) * 2, (image.shape[1] // 2) * 2
         image = image[:h, :w].astype(np.float32)
         image = (image[::2, ::2] + image[1::2, ::2] + image[::2, 1::2] + image[1::2, 1::2]) / 4
@@ -140,38 +145,41 @@ def describe(rows: DataFrame, paint, key: str, column: str) -> DataFrame:
                 image = paint(v)
                 t = keypoints(image)
                 n.append(len(t))
-                digest.append(xxhash.xxh3_128_digest(image.tobytes() + image.shape[1].to_bytes(4, "little")) if len(t) else None)
+                digest.append(xxhash.xxh3_128_digest(image.tobytes() + image.shape[1].to_bytes(4, "little")) if image is not None else None)
                 points.append(t.tobytes() if len(t) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(points, pa.binary())], ["id", "n_keypoints", "digest", "points"])
 
     return rows.select(F.col(key).cast("long").alias("id"), column).mapInArrow(run, "id long, n_keypoints long, digest binary, points binary")
 
 
-def _details(points: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all details of several images: the image's number, the keys (detail, band), x and y."""
+def _details(points: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all details of several images: the image's number, the keys (detail, band), x, y and scale. A key holds no scale:
+    a copy at half the size has at one scale what the original has at the next."""
     t = np.frombuffer(b"".join(points), "<u4").reshape(-1, 3 + BANDS).astype(np.int64)
     own = np.repeat(np.arange(len(points)), [len(p) // (4 * (3 + BANDS)) for p in points])
-    return own, (np.arange(BANDS) << 33) | (t[:, 2:3] << 32) | t[:, 3:], t[:, 0], t[:, 1]
+    return own, (np.arange(BANDS) << 32) | t[:, 3:], t[:, 0], t[:, 1], t[:, 2]
 
 
 def _bin(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.astype(np.uint64)) >> np.uint64(48)).astype(np.int64) % BINS
 
 
-def _shift(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
-    return (dx // SHIFT + (1 << 20)) << 24 | (dy // SHIFT + (1 << 20))
+def _shifts(dx: np.ndarray, dy: np.ndarray, ratio: np.ndarray) -> list[np.ndarray]:
+    """The bins of shifts in four grids that lie half a bin apart, so that near shifts share one; ratio: 0, 1 or 2."""
+    half = SHIFT // 2
+    return [((ratio * 4 + 2 * i + j) << 44) | ((dx + i * half) // SHIFT + (1 << 20)) << 22 | ((dy + j * half) // SHIFT + (1 << 20)) for i in (0, 1) for j in (0, 1)]
 
 
 def need(n):
     """Details that an image of n details must share with a larger one."""
-    return np.maximum(LEAST, (n + 1) // 2)
+    return np.maximum(LEAST, (n + 2) // 3)
 
 
 def consensus(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
-    """For each pair of images, whether need() details of each stand in the other at one shift. A detail counts once at a
-    shift, however many of its bands agree."""
-    i, k, x, y = _details([a for a, _ in pairs])
-    j, m, u, v = _details([b for _, b in pairs])
+    """For each pair of images, whether need() details of each stand in the other at one shift and one ratio of sizes. A
+    detail counts once at a shift, however many of its bands agree."""
+    i, k, x, y, p = _details([a for a, _ in pairs])
+    j, m, u, v, q = _details([b for _, b in pairs])
     least = need(np.minimum(np.bincount(i, minlength=len(pairs)), np.bincount(j, minlength=len(pairs))))
     alike = []
     for band in range(BANDS):
@@ -183,7 +191,12 @@ def consensus(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
         alike.append(own * len(j) + order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
     alike = np.unique(np.concatenate(alike))
     own, other = alike // max(1, len(j)), alike % max(1, len(j))
-    _, spot = np.unique(np.stack([i[own], _shift(u[other] - x[own], v[other] - y[own])], axis=1), axis=0, return_inverse=True)
+    # places in the picture of the larger size: a detail of scale 1 beside one of scale 0 says that one picture is half the other
+    ratio = p[own] - q[other]
+    up, down = np.where(ratio > 0, 2, 1), np.where(ratio < 0, 2, 1)
+    bins = _shifts(u[other] * up - x[own] * down, v[other] * up - y[own] * down, ratio + 1)
+    own, other = np.tile(own, 4), np.tile(other, 4)
+    _, spot = np.unique(np.stack([i[own], np.concatenate(bins)], axis=1), axis=0, return_inverse=True)
     spot = spot.reshape(-1)
     full = None
     for detail in (own, other):
@@ -241,7 +254,7 @@ def _entries(classes: DataFrame, load: np.ndarray, common: int) -> DataFrame:
             if not b.num_rows:
                 continue
             reps, points = b.column(0).to_numpy(), b.column(1).to_pylist()
-            own, key, _, _ = _details(points)
+            own, key, *_ = _details(points)
             size = np.bincount(own, minlength=len(points))
             count = load[_bin(key.ravel())].reshape(key.shape)
             order = np.lexsort((mix(key[:, 0].astype(np.uint64)), count.max(axis=1), own))
@@ -368,7 +381,7 @@ def copies(described: DataFrame) -> DataFrame:
     classes = spill(known.join(least, "at", "left_semi").select("digest", F.col("id").alias("rep"), "points"), "images")
     ids = spill(held.drop("points", "at"), "image-ids")
     discard(held)
-    roots = components(links(classes.select("rep", "points")))
+    roots = components(links(classes.filter("points IS NOT NULL").select("rep", "points")))
     named = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = ids.join(named, "digest", "left")
     return out.select("id", "n_keypoints", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
