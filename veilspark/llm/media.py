@@ -42,9 +42,9 @@ WIDTH = 128
 MARGIN = 48  # of nine pixels' sum: what flat places differ by through noise is no difference
 _rng = np.random.default_rng(11)
 TESTS = _rng.integers(-PATCH, PATCH + 1, size=(32 * BANDS, 4))
-FULL = 0.7  # share of a patch that isn't blank: shapes of blank places are the same in many images
+FULL = 0.85  # share of a patch that isn't blank: shapes of blank places are the same in many images
 BORDER = 10
-KEPT = 12  # details of each scale that an image keeps at least, the fullest ones, however blank they are
+KEPT = 6  # details of each scale that an image keeps at least, the fullest ones, however blank they are
 TAG, BLOCK, HIDDEN = re.compile(r"<[^>]*>"), re.compile(r"</?(?:p|div|h\d|li|ul|tr|table|article|nav|br)\b[^>]*>"), re.compile(r"<(script|style|title)\b.*?</\1>|<!--.*?-->", re.S)
 
 
@@ -116,7 +116,7 @@ def keypoints(image: np.ndarray | None) -> np.ndarray:
             y, x = y + edge, x + edge
             off = np.arange(-PATCH, PATCH + 1)
             p = 9 * 255 - s[(y - 1)[:, None, None] + off[:, None], (x - 1)[:, None, None] + off]
-            ink = (p > 0).mean(axis=(1, 2))
+            ink = (p > MARGIN).mean(axis=(1, 2))
             full = ink >= min(FULL, np.sort(ink)[-KEPT:][0])
             x, y, p = x[full], y[full], p[full]
             angle = np.arctan2((p.sum(axis=2) * off).sum(axis=1), (p.sum(axis=1) * off).sum(axis=1))
