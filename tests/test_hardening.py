@@ -33,6 +33,21 @@ def test_stretches_hold_every_match(seed):
             assert S.spans_of(x, t, list(S.areas(t, x.reach)), S.Budget(float("inf"))) == whole, (x.name, t)
 
 
+def test_skipped_recognisers_would_find_nothing():
+    """What scan() leaves out for want of digits in a row, or of a sign, has no match."""
+    r = random.Random(12)
+    made = {"iban": "GB29NWBK60161331926819", "card": "4111 1111 1111 1111", "phone_cc": "+31 20 624 1111", "phone_us": "(212) 555-0147", "ssn": "219-09-9999", "it_cf": "RSSMRA80A01H501U", "gb_nino": "AB 12 34 56 C", "es_dni": "12345678Z"}
+    for _ in range(600):
+        parts = [r.choice([*made.values(), "12", "123", "4567", "89012", "678901", "+", "-", "x", "1234567", "99999999", "123456789", "12345678901", "123456-12345"]) for _ in range(r.randint(1, 6))]
+        t = r.choice([" ", "-", ""]).join(parts)
+        longest = max((len(d) for d in re.findall(r"\d+", t)), default=0)
+        for x in [*S.NUMERIC, *S.domestic([])]:
+            if x.run > longest or x.sign not in t:
+                assert not x.pattern.search(t), (x.name, t)
+    for name, value in made.items():
+        assert any(s[3] == value for s in S.scan(value, [name])), name
+
+
 def test_a_long_grouped_iban_is_masked_to_its_end():
     t = "BE68" + "    5390" + "    BANK" * 6 + "    XYZ"
     assert [s[1:3] for s in S.scan(t, ["iban"])] == [(0, len(t))]

@@ -159,6 +159,8 @@ class Recogniser:
     shrink: bool = False
     verified: Callable[[str], bool] | None = None
     reach: int = 0  # characters that the pattern may take after its first digit
+    run: int = 1  # digits in a row that every match has
+    sign: str = ""  # a character that every match has
 
 
 def _of(name, kind, pattern, check=None, **more) -> Recogniser:
@@ -167,25 +169,25 @@ def _of(name, kind, pattern, check=None, **more) -> Recogniser:
 
 #: The patterns.
 NUMERIC = [
-    _of("iban", "IBAN", rf"{B}[A-Za-z]{{2}}\d{{2}}(?:[A-Za-z0-9]{{11,30}}|(?:{GAP}[A-Za-z0-9]{{4}}){{2,7}}(?:{GAP}[A-Za-z0-9]{{1,4}})?){E}", _iban, shrink=True, verified=iban_verified),
-    _of("card", "CARD", rf"{B}(?:\d{{4}}{CARD_GAP}\d{{4}}{CARD_GAP}\d{{4}}{CARD_GAP}\d{{4}}(?:{CARD_GAP}\d{{1,3}})?|\d{{4}}{CARD_GAP}\d{{6}}{CARD_GAP}\d{{4,5}}|\d{{13,19}}){E}", lambda h, _: card(h), shrink=True),
-    _of("phone_cc", "PHONE", rf"\+\d{{1,3}}(?:{PHONE_GAP}\d{{1,8}}){{1,6}}{E}|\+\d{{8,15}}{E}", _international, shrink=True),
+    _of("iban", "IBAN", rf"{B}[A-Za-z]{{2}}\d{{2}}(?:[A-Za-z0-9]{{11,30}}|(?:{GAP}[A-Za-z0-9]{{4}}){{2,7}}(?:{GAP}[A-Za-z0-9]{{1,4}})?){E}", _iban, shrink=True, verified=iban_verified, run=2),
+    _of("card", "CARD", rf"{B}(?:\d{{4}}{CARD_GAP}\d{{4}}{CARD_GAP}\d{{4}}{CARD_GAP}\d{{4}}(?:{CARD_GAP}\d{{1,3}})?|\d{{4}}{CARD_GAP}\d{{6}}{CARD_GAP}\d{{4,5}}|\d{{13,19}}){E}", lambda h, _: card(h), shrink=True, run=4),
+    _of("phone_cc", "PHONE", rf"\+\d{{1,3}}(?:{PHONE_GAP}\d{{1,8}}){{1,6}}{E}|\+\d{{8,15}}{E}", _international, shrink=True, sign="+"),
     _of("phone_us", "PHONE", rf"(?:\+1(?:{PHONE_GAP})?)?(?:\(\d{{3}}\)(?:{PHONE_GAP})?|\d{{3}}{PHONE_GAP})\d{{3}}{PHONE_GAP}\d{{4}}|\+\d{{1,3}}{PHONE_GAP}\d{{2,4}}{PHONE_GAP}\d{{2,4}}{PHONE_GAP}\d{{3,4}}|\+\d{{1,3}}{PHONE_GAP}\d{{2,4}}{PHONE_GAP}\d{{5,8}}"),
-    _of("ssn", "SSN", rf"{B}\d{{3}}-\d{{2}}-\d{{4}}{E}"),
-    _of("it_cf", "NATID", rf"{B}[A-Za-z]{{6}}\d{{2}}[A-Za-z]\d{{2}}[A-Za-z]\d{{3}}[A-Za-z]{E}", plain(it_cf)),
-    _of("gb_nino", "NATID", rf"{B}[A-Za-z]{{2}}(?:\d{{6}}|{GAP}\d{{2}}{GAP}\d{{2}}{GAP}\d{{2}}{GAP})[A-Da-d]{E}", lambda h, _: nino(h)),
-    _of("es_dni", "NATID", rf"{B}(?:[XYZxyz]\d{{7}}|\d{{8}})[A-Za-z]{E}", plain(es_dni)),
-    _of("fr_nir", "NATID", rf"{B}[12]\d{{2}}(?:0[1-9]|1[0-2]|20|3\d|4[0-2]|[5-9]\d)\d{{10}}{E}", plain(lambda h: 97 - int(h[:13]) % 97 == int(h[13:]))),
-    _of("nine_digit", "NATID", rf"{B}\d{{9}}{E}", plain(lambda h: bsn(h) or nif(h))),
-    _of("eleven_digit", "NATID", rf"{B}\d{{11}}{E}", plain(lambda h: steuer_id(h) or lv_code(h))),
-    _of("lv_dashed", "NATID", rf"{B}\d{{6}}-\d{{5}}{E}", plain(lv_code)),
-    _of("cn_id", "NATID", rf"{B}\d{{17}}[0-9Xx]{E}", plain(cn_id)),
-    _of("vat_it_bare", "TAXID", rf"{B}\d{{11}}{E}", plain(luhn)),
-    _of("vat_it", "TAXID", rf"{B}[Ii][Tt]\d{{11}}{E}", plain(luhn, 11)),
-    _of("vat_de", "TAXID", rf"{B}[Dd][Ee]\d{{9}}{E}", plain(mod_11_10, 9)),
-    _of("vat_gb", "TAXID", rf"{B}[Gg][Bb]\d{{9}}{E}", plain(gb_vat, 9)),
-    _of("vat_pt", "TAXID", rf"{B}[Pp][Tt]\d{{9}}{E}", plain(nif, 9)),
-    _of("vat_nl", "TAXID", rf"{B}[Nn][Ll]\d{{9}}[Bb]\d{{2}}{E}", verified=lambda h: h.isascii() and bsn(h[2:11])),
+    _of("ssn", "SSN", rf"{B}\d{{3}}-\d{{2}}-\d{{4}}{E}", run=4, sign="-"),
+    _of("it_cf", "NATID", rf"{B}[A-Za-z]{{6}}\d{{2}}[A-Za-z]\d{{2}}[A-Za-z]\d{{3}}[A-Za-z]{E}", plain(it_cf), run=3),
+    _of("gb_nino", "NATID", rf"{B}[A-Za-z]{{2}}(?:\d{{6}}|{GAP}\d{{2}}{GAP}\d{{2}}{GAP}\d{{2}}{GAP})[A-Da-d]{E}", lambda h, _: nino(h), run=2),
+    _of("es_dni", "NATID", rf"{B}(?:[XYZxyz]\d{{7}}|\d{{8}})[A-Za-z]{E}", plain(es_dni), run=7),
+    _of("fr_nir", "NATID", rf"{B}[12]\d{{2}}(?:0[1-9]|1[0-2]|20|3\d|4[0-2]|[5-9]\d)\d{{10}}{E}", plain(lambda h: 97 - int(h[:13]) % 97 == int(h[13:])), run=15),
+    _of("nine_digit", "NATID", rf"{B}\d{{9}}{E}", plain(lambda h: bsn(h) or nif(h)), run=9),
+    _of("eleven_digit", "NATID", rf"{B}\d{{11}}{E}", plain(lambda h: steuer_id(h) or lv_code(h)), run=11),
+    _of("lv_dashed", "NATID", rf"{B}\d{{6}}-\d{{5}}{E}", plain(lv_code), run=6, sign="-"),
+    _of("cn_id", "NATID", rf"{B}\d{{17}}[0-9Xx]{E}", plain(cn_id), run=17),
+    _of("vat_it_bare", "TAXID", rf"{B}\d{{11}}{E}", plain(luhn), run=11),
+    _of("vat_it", "TAXID", rf"{B}[Ii][Tt]\d{{11}}{E}", plain(luhn, 11), run=11),
+    _of("vat_de", "TAXID", rf"{B}[Dd][Ee]\d{{9}}{E}", plain(mod_11_10, 9), run=9),
+    _of("vat_gb", "TAXID", rf"{B}[Gg][Bb]\d{{9}}{E}", plain(gb_vat, 9), run=9),
+    _of("vat_pt", "TAXID", rf"{B}[Pp][Tt]\d{{9}}{E}", plain(nif, 9), run=9),
+    _of("vat_nl", "TAXID", rf"{B}[Nn][Ll]\d{{9}}[Bb]\d{{2}}{E}", verified=lambda h: h.isascii() and bsn(h[2:11]), run=9),
 ]
 FORMS = {
     "trunk": rf"{B}0\d{{1,4}}{PHONE_GAP}\d{{3,4}}{PHONE_GAP}\d{{3,4}}{E}|{B}0\d{{1,4}}{PHONE_GAP}\d{{4,8}}{E}|{B}0\d{{6,11}}{E}",
@@ -295,11 +297,14 @@ def scan(text: str, names: list[str] | None = None, locales: list[str] | None =
         out += [("SECRET", *m.span(), m[0], True) for m in SECRET.finditer(text)]
     if want("email"):
         out += [("EMAIL", s, e, text[s:e], True) for s, e in emails(text)]
-    if _digits.search(text):
+    longest = max((m.end() - m.start() for m in _digits.finditer(text)), default=0)
+    if longest:
         where: dict[int, list] = {}
         for r in [*[r for r in NUMERIC if want(r.name)], *(extra if extra is not None else domestic(locales) if locales is not None or chosen and chosen & set(DOMESTIC) else [])]:
             if chosen is not None and r.name.startswith("phone_") and r.name not in chosen:
                 continue
+            if r.run > longest or r.sign not in text:
+                continue
             if r.reach not in where:
                 where[r.reach] = list(areas(text, r.reach))
             for s, e in spans_of(r, text, where[r.reach], budget):
