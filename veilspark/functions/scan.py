@@ -12,6 +12,8 @@ from re import _parser
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+
 from . import phones
 from .phones import digits
 
@@ -199,7 +201,8 @@ SECRET = re.compile(rf"{B}(?:sk-[A-Za-z0-9_-]{{5,}}[A-Za-z0-9_]{E}|AKIA[0-9A-Z]{
 NAMES = ["secret", "iban", "card", "phone_cc", "email", *[r.name for r in NUMERIC[3:]]]
 DOMESTIC = [f"phone_{f}" for f in FORMS]
 _local = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-_domain, _top, _digits, _word = re.compile("[A-Za-z0-9.-]+"), re.compile(r"\.[A-Za-z]{2,}"), re.compile(r"\d+"), re.compile(r"\w*")
+_domain, _top, _word = re.compile("[A-Za-z0-9.-]+"), re.compile(r"\.[A-Za-z]{2,}"), re.compile(r"\w*")
+_decimal: np.ndarray | None = None  # by code point, made when a worker first needs it
 AROUND = 8  # characters that a numeric pattern may need before its first digit, and between two digits of a number
 
 
@@ -235,17 +238,28 @@ def emails(text: str):
         at = text.find("@", last)
 
 
-def areas(text: str, reach: int):
+def digit_runs(text: str) -> list[tuple[int, int]]:
+    """Where decimal digits of any script stand in a row: [start, end) of each run."""
+    global _decimal
+    if _decimal is None:
+        _decimal = np.fromiter((chr(i).isdecimal() for i in range(0x110000)), dtype=bool, count=0x110000)
+    inside = np.zeros(len(text) + 2, dtype=np.int8)
+    inside[1:-1] = _decimal[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
+    return list(zip(edge[::2], edge[1::2]))
+
+
+def areas(text: str, reach: int, runs: list[tuple[int, int]] | None = None):
     """Stretches around digits, up to `reach` characters (what a pattern may take at most) after the last one and then to
     the end of a word, so that no match ends before the pattern does."""
     first = end = None
-    for m in _digits.finditer(text):
+    for start, stop in digit_runs(text) if runs is None else runs:
         if first is None:
-            first = m.start()
-        elif m.start() - end > AROUND + reach:
+            first = start
+        elif start - end > AROUND + reach:
             yield max(0, first - AROUND), _word.match(text, min(len(text), end + reach)).end()
-            first = m.start()
-        end = m.end()
+            first = start
+        end = stop
     if first is not None:
         yield max(0, first - AROUND), _word.match(text, min(len(text), end + reach)).end()
 
@@ -297,7 +311,8 @@ def scan(text: str, names: list[str] | None = None, locales: list[str] | None =
         out += [("SECRET", *m.span(), m[0], True) for m in SECRET.finditer(text)]
     if want("email"):
         out += [("EMAIL", s, e, text[s:e], True) for s, e in emails(text)]
-    longest = max((m.end() - m.start() for m in _digits.finditer(text)), default=0)
+    runs = digit_runs(text)
+    longest = max((end - start for start, end in runs), default=0)
     if longest:
         where: dict[int, list] = {}
         for r in [*[r for r in NUMERIC if want(r.name)], *(extra if extra is not None else domestic(locales) if locales is not None or chosen and chosen & set(DOMESTIC) else [])]:
@@ -306,7 +321,7 @@ def scan(text: str, names: list[str] | None = None, locales: list[str] | None =
             if r.run > longest or r.sign not in text:
                 continue
             if r.reach not in where:
-                where[r.reach] = list(areas(text, r.reach))
+                where[r.reach] = list(areas(text, r.reach, runs))
             for s, e in spans_of(r, text, where[r.reach], budget):
                 h = text[s:e]
                 out.append((r.kind, s, e, h, r.verified is None or r.verified(h)))
