@@ -283,3 +283,13 @@ def test_small_and_blank_images_equal_their_copies(spark):
     d = spark.createDataFrame(pages, "page_id long, html string")
     got = {r["id"]: r["component_id"] for r in media.copies(media.describe(d, media.draw, "page_id", "html")).collect()}
     assert got == {3: 1, 1: 1, 7: 7, 9: 7, 2: 2, 5: 5, 6: 6}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from veilspark.llm import ngram_join, pii
+
+    d = spark.createDataFrame([(1, "mail a@b.org now", "x", "y", "z"), (2, "mail a@b.org now", "x", "y", "z"), (None, None, "x", "y", "z")], "doc_id long, text string, __t string, __spans string, __keep string")
+    got = sorted(map(tuple, pii.redact(d).collect()), key=str)
+    assert got == [(1, "mail [EMAIL] now", "x", "y", "z"), (2, "mail [EMAIL] now", "x", "y", "z"), (None, None, "x", "y", "z")]
+    assert sorted((r["doc_id"] for r in ngram_join.keep_one(d).collect()), key=str) == [1, None]
+    assert ngram_join.keep_one(d).columns == d.columns

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_partitions, small_batches, spill, table
+from .common import discard, free, shuffle_partitions, small_batches, spill, table
 from .graph import components
 from .words import SPACED, chunks, mix, words
 
@@ -384,8 +384,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs with the smallest doc_id of each component, repeated rows once; a null doc_id stays."""
-    found = join(docs, n, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(found, docs["doc_id"] == F.col("__keep"), "left_semi")
+    found = join(docs, n, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias(free(docs, "__keep"))).distinct()
+    kept = docs.join(found, docs["doc_id"] == found[found.columns[0]], "left_semi")
     once = kept.dropDuplicates(["doc_id", "text"])
     return once.unionByName(docs.filter(F.col("doc_id").isNull()))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 LOCAL = "A-Za-z0-9._%+-"
 #: kind -> (pattern, cheap test that a match needs, condition on the match h, base score)
@@ -96,9 +96,10 @@ def _of(kind: str) -> str:
 
 def with_spans(docs: DataFrame, text: str = "text", out: str = "__spans") -> DataFrame:
     """docs and an array of spans. The array is computed once, in a projection of its own."""
-    parts = ", ".join(_of(k).replace("(t,", "(__t,").replace("(t)", "(__t)") for k in KINDS)
-    held = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    return held.withColumn(out, F.expr(f"concat({parts})")).drop("__t")
+    own = free(docs, "__t")
+    parts = ", ".join(_of(k).replace("(t,", f"({own},").replace("(t)", f"({own})") for k in KINDS)
+    held = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
+    return held.withColumn(out, F.expr(f"concat({parts})")).drop(own)
 
 
 def _joined(a: Column) -> Column:
@@ -121,7 +122,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of `text` replaced by its kind in brackets; of overlapping spans the first names the gap."""
-    d = with_spans(docs, text)
+    spans = free(docs, "__spans")
+    d = with_spans(docs, text, spans)
     t = f"`{text}`"
     # spans in pieces, each with its own stretch of the text: a place far into a text is found by counting from its start
     inner = """aggregate(p.own, named_struct('at', acc.at, 'out', cast(array() AS array<string>)),
@@ -129,11 +131,11 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                        ELSE named_struct('at', greatest(a.at, s.end), 'out', a.out) END)"""
     own = f"slice(z, i, {PIECE})"
     stretch = f"substring({t}, acc.at + 1, greatest(0, array_max(transform({own}, s -> s.end)) - acc.at))"
-    parts = f"""transform(array(array_sort(__spans, (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 WHEN a.end > b.end THEN -1 WHEN a.end < b.end THEN 1 ELSE 0 END)),
+    parts = f"""transform(array(array_sort({spans}, (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 WHEN a.end > b.end THEN -1 WHEN a.end < b.end THEN 1 ELSE 0 END)),
         z -> aggregate(sequence(1, size(z), {PIECE}), named_struct('at', 0, 'parts', cast(array() AS array<string>)),
             (acc, i) -> transform(transform(array(named_struct('own', {own}, 't', {stretch})), p -> {inner}), r -> named_struct('at', r.at, 'parts', concat(acc.parts, array(array_join(r.out, '')))))[0],
             acc -> concat(array_join(acc.parts, ''), substring({t}, acc.at + 1))))[0]"""
-    return d.withColumn(text, F.when(F.size("__spans") > 0, F.expr(parts)).otherwise(F.col(text))).drop("__spans")
+    return d.withColumn(text, F.when(F.size(spans) > 0, F.expr(parts)).otherwise(F.col(text))).drop(spans)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
