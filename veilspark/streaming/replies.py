@@ -96,11 +96,11 @@ def _key(text: str) -> tuple:
 
 
 class Restorer(StatefulProcessor):
-    def __init__(self, idle_ms: int, event_time: bool):
-        self.idle, self.event_time = idle_ms, event_time
+    def __init__(self, idle_ms: int, event_time: bool, ttl_ms: int):
+        self.idle, self.event_time, self.ttl = idle_ms, event_time, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = None if self.event_time else 4 * self.idle
+        ttl = None if self.event_time else self.ttl
         self.handle = handle
         self.head = handle.getValueState("head", HEAD, ttl)
         self.vault = handle.getValueState("vault", "vault map<string,string>", ttl)
@@ -194,16 +194,17 @@ def with_vaults(chunks: DataFrame, vaults: DataFrame) -> DataFrame:
     return chunks.drop("vault").join(per, (F.col("stream_id") == F.col("of")) & (F.col("seq") == 0), "left").drop("of")
 
 
-def restore(chunks: DataFrame, idle: str = "10 minutes", event_time: str | None = None) -> DataFrame:
-    """stream_id, seq, bytes of a streaming table of pieces. event_time: a timestamp column that drives the timers through
+def restore(chunks: DataFrame, idle: str = "10 minutes", event_time: str | None = None, ttl: str = "1 day") -> DataFrame:
+    """stream_id, seq, bytes of a streaming table of pieces. ttl: how long state may outlive its last write by the clock, a
+    safeguard besides the timers; what a query that was down for longer held is lost. event_time: a timestamp column that drives the timers through
     a watermark of the same length; else the clock does. By the clock Spark runs batches without rows for the timers'
     sake, which an availableNow query never ends; run that with spark.sql.streaming.noDataMicroBatches.enabled = false."""
     spark = chunks.sparkSession
     keep_state_on_disk(spark)
-    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    ms, ttl_ms = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (idle, ttl))
     cols = ["stream_id", "seq", "bytes", "schema", "content_type", "vault", "is_end", "failed"]
     d = chunks.select(*cols, F.col(event_time).alias("at")).withWatermark("at", idle) if event_time else chunks.select(*cols)
-    return d.groupBy("stream_id").transformWithStateInPandas(Restorer(ms, event_time is not None), OUT, "Append", "EventTime" if event_time else "ProcessingTime")
+    return d.groupBy("stream_id").transformWithStateInPandas(Restorer(ms, event_time is not None, max(ttl_ms, 4 * ms)), OUT, "Append", "EventTime" if event_time else "ProcessingTime")
 
 
 def restore_recorded(chunks: DataFrame) -> DataFrame:
