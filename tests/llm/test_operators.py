@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 
 from veilspark.llm import common, decontaminate, graph, langid, licences, media, ngram_join, packing, pii, quality, suffix_dedup, token_ids
+from veilspark.llm.words import SPACED, words as hashed
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, n_tokens long, spans string, start long, digest string, key string"
 rng = random.Random(3)
@@ -21,8 +22,9 @@ VOCABULARY = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
 PASSAGE = " ".join(rng.choice(VOCABULARY) for _ in range(60))
 
 
-def text(n):
-    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+def text(n, known=0):
+    """n words of the vocabulary, or of `known` words apart from it."""
+    return " ".join(f"w{rng.randrange(known)}" if known else rng.choice(VOCABULARY) for _ in range(n))
 
 
 @functools.cache
@@ -184,6 +186,24 @@ def test_ngram_join(docs, none, n, num, den):
     assert sorted(kept) == sorted(i for i in sets if root[i] == i)
 
 
+def test_words_whose_sums_agree_stay_apart(spark):
+    """A Thue-Morse word and its complement have equal polynomials modulo any power of two."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    for n in (8, 16, 64, 256, 1024):
+        h = hashed([f"{one[:n]} {other[:n]} {one[:n]}"], SPACED)[0]
+        assert h[0] == h[2] != h[1]
+    d = spark.createDataFrame([(1, f"{one} x y"), (2, f"{other} x y"), (3, f"{one}\tX y")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(d, 3, 9, 10).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_word_hashes_of_all_lengths():
+    own = list({"".join(rng.choice("ab\0\1é") for _ in range(n)) for n in [*range(1, 40), 255, 256, 257, 300, 5000] for _ in range(40)})
+    h = hashed([" ".join(own)], SPACED)[0]
+    assert len(set(h.tolist())) == len(own) and [int(hashed([w], SPACED)[0][0]) for w in own] == h.tolist()
+    assert [len(x) for x in hashed([None, "", " "], SPACED)[:3]] == [0, 0, 0] and len(hashed([], SPACED)[0]) == 0
+
+
 def test_ngram_join_in_shards(docs, monkeypatch):
     whole = sorted(map(tuple, ngram_join.join(docs).collect()))
     monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 150)
@@ -319,6 +339,41 @@ def test_decontamination_finds_all_short_items(n):
                 assert all(i in [x[0] for x in f] for f in index.search([*one, *(f"{text(5)} {x} {text(5)}" for x in one)]))
 
 
+def fewest_edits(item, own):
+    """Edits that turn the item into some part of the words, by the whole table."""
+    row = [0] * (len(own) + 1)
+    for i, w in enumerate(item):
+        new = [i + 1]
+        for j, x in enumerate(own):
+            new.append(min(row[j + 1] + 1, row[j] + (x != w), new[-1] + 1))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("known", [6, 3000])
+def test_decontamination_equals_brute_force(known):
+    """Every document against every item: the items found are those within the limit, with their fewest edits."""
+    items, docs = [(i, text(rng.choice([3, 7, 12, 19, 20, 25, 40, 80]), known)) for i in range(30)], [""]
+    for _, t in items:
+        w = t.split()
+        for _ in range(rng.randint(0, len(w) // 4 + 1)):
+            p = rng.randrange(len(w))
+            w[p : p + 1] = rng.choice([["zz"], [w[p], "yy"]])
+        docs.append(" ".join([text(rng.randint(1, 30), known), *w, text(rng.randint(1, 30), known)]))
+    true = {(d, i, e) for d, x in enumerate(docs) for i, t in items if (e := fewest_edits(t.split(), x.split())) <= int(decontaminate.SHARE * len(t.split()))}
+    found = {(d, i, e) for d, f in enumerate(decontaminate.Index(items).search(docs)) for i, e, _ in f}
+    assert found <= true and len(found) >= decontaminate.RECALL * len(true) and len(true) > 15
+
+
+def test_decontamination_of_long_items():
+    """Thousands of words, edited and not, in many documents: in a band, and not at all where the words aren't there."""
+    t = text(2000, 3000)
+    near = " ".join(edited(t.split(), "replaced", 300, False))
+    began = time.time()
+    found = decontaminate.Index([(1, t)]).search([f"{text(50)} {near} {text(50)}", t, text(3000, 3000), None] * 8)
+    assert [[x[:2] for x in f] for f in found] == [[(1, 300)], [(1, 0)], [], []] * 8 and time.time() - began < 20
+
+
 def brute_removed(texts):
     seen, out = set(), {}
     for i, t in texts:

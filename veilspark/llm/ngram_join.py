@@ -32,7 +32,7 @@ from .words import SPACED, chunks, mix, words
 HOT, ORDER_LAST = 32, 200_000
 BLOCK_NGRAMS = 4_000_000
 COUNTED = 1_000_000  # prefix n-grams that a task counts at once (memory only)
-_ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 LATE = np.uint64(1 << 63)
 
 
@@ -42,9 +42,9 @@ def ngram_sets(texts: list, n: int, last: np.ndarray) -> list[np.ndarray]:
     size = np.concatenate([[0], np.cumsum(end - start)])
     w = len(h)
     if w >= n:
-        code = np.zeros(w - n + 1, dtype=np.uint64)
-        for k in range(n):
-            code += h[k : w - n + 1 + k] * _ODD[k]
+        code = h[: w - n + 1]
+        for k in range(1, n):
+            code = mix(code * _ODD) ^ h[k : w - n + 1 + k]
         value = _number(code, size[n:] - size[:-n], last)
     else:
         value = np.zeros(0, dtype=np.uint64)
@@ -54,8 +54,10 @@ def ngram_sets(texts: list, n: int, last: np.ndarray) -> list[np.ndarray]:
         if j - i >= n:
             out.append(np.unique(value[i : j - n + 1]))
         elif j > i:
-            code = np.array([np.sum(h[i:j] * _ODD[: j - i], dtype=np.uint64) + np.uint64(j - i)])
-            out.append(_number(code, np.array([size[j] - size[i]]), last))
+            code = h[i : i + 1]
+            for k in range(i + 1, j):
+                code = mix(code * _ODD) ^ h[k : k + 1]
+            out.append(_number(mix(code + np.uint64(j - i)), np.array([size[j] - size[i]]), last))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -43,6 +44,32 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _power(_Q, len(sums))[start] + (end - start).astype(np.uint64))
 
 
+#: Words of more bytes than this are hashed one by one.
+LONG = 256
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word: words of up to seven bytes never hash alike, longer ones are mixed eight
+    bytes at a time, each step a bijection of what was there before, so that no sum of bytes cancels out."""
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([b, np.zeros(8, np.uint8)]), 8)
+    n = end - start
+    lane = np.ascontiguousarray(eight[start]).view("<u8")[:, 0] & _KEEP[np.minimum(n, 8)]
+    out = mix(np.where(n < 8, lane | n.astype(np.uint64) << np.uint64(56), lane))
+    left, at = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(left):
+        lane = np.ascontiguousarray(eight[start[left] + at]).view("<u8")[:, 0] & _KEEP[np.minimum(n[left] - at, 8)]
+        out[left] = mix(mix(out[left] + _P) ^ lane)
+        at += 8
+        left = left[n[left] > at]
+    out[n > 7] = mix(out[n > 7] ^ (n[n > 7].astype(np.uint64) << np.uint64(32)) ^ _Q)
+    for k in np.flatnonzero(n > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(b[start[k] : end[k]].tobytes())
+    return out
+
+
 def words(texts: list, table: bytes):
     """(word hashes, first byte, end byte, first word of each text and the number of all words)."""
     coded = [(t or "").encode() for t in texts]
@@ -53,7 +80,7 @@ def words(texts: list, table: bytes):
     edge = np.flatnonzero(np.diff(inside))
     start, end = edge[::2], edge[1::2]
     at = np.cumsum([0] + [len(c) + 1 for c in coded])
-    return spans(prefix(b), start, end), start, end, np.searchsorted(start, at)
+    return word_hashes(b, start, end), start, end, np.searchsorted(start, at)
 
 
 def chunks(texts: list, limit: int = 1 << 20):
