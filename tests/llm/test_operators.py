@@ -484,6 +484,34 @@ def test_pii_checksums(spark):
     assert got == ["iban:5:32", "", "ssn:4:15", "", ""]
 
 
+def test_pii_ibans_of_each_length(spark):
+    """Every country's length, with and without blanks, before an upper-case word, before another one; one character less or more is none."""
+    def iban(country, n):
+        own = "".join(rng.choice("0123456789") for _ in range(n - 4))
+        value = int(own + "".join(str(ord(c) - 55) for c in country) + "00")
+        return f"{country}{98 - value % 97:02d}{own}"
+
+    grouped = lambda x: " ".join(x[k : k + 4] for k in range(0, len(x), 4))
+    t, want = [], []
+    for n, countries in pii.IBAN.items():
+        for c in countries.split("|"):
+            x = iban(c, n)
+            for form in (x, grouped(x)):
+                t += [f"{form} BANK", f"to {form}, {form}.", f"{form}7", f"A{form}", form[:-1]]
+                k = len(form)
+                want += [f"iban:0:{k}", f"iban:3:{k + 3},iban:{k + 5}:{2 * k + 5}", "", "", ""]
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("iban")] for r in pii.find(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    assert [",".join(got[k]) for k in range(len(t))] == want
+
+
+def test_pii_context_on_both_sides(spark):
+    key, far = "0123456789abcdef0123456789abcdef01234567", "x" * 60
+    t = [f"api token {key}", f"{key} is the token", f"{key} {far} token", key, f"{key} a@b.org password", "123-45-6789 invoice", "invoice 123-45-6789", f"{key} {key} key"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    want = ["secret:10:50", "secret:0:40", "", "", "email:41:48,secret:0:40", "ssn:0:11", "", "secret:41:81"]
+    assert [got[k] for k in range(len(t))] == want
+
+
 def test_licences(docs, none):
     got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
     assert [(x["word"], x["label"]) for x in got[14]["base"]] == [(3, "mit"), (5, "mit"), (7, "gpl")]
