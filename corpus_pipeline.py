@@ -37,9 +37,9 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all texts into sequences of 2048 tokens: one row per piece. Workers of earlier stages still hold memory, so
-    that these remember fewer words."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=600_000)
+    """Packs all texts into sequences of 2048 tokens: one row per piece. Workers hold memory of all
+    stages, so that these remember fewer words, and none after a task."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=600_000, keep=False)
 
 
 STAGES = [

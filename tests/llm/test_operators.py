@@ -120,6 +120,37 @@ def test_minimum_bin_slack_fills_bins():
     assert used == counts and sum(t for t, _ in bins) == 6
 
 
+def test_quality_fit_holds_the_rows_once():
+    """The fit makes no second copy of its sample, and takes it in batches of any size and order."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    y, feats = np.arange(600) % 2, [np.unique(r.integers(0, 4096, 2000)).astype(np.int32) for _ in range(600)]
+    tracemalloc.start()
+    try:
+        quality.fit(y, feats, 4096)
+        assert tracemalloc.get_traced_memory()[1] < sum(f.nbytes for f in feats) / 2
+    finally:
+        tracemalloc.stop()
+    sample = [(i, int(y[i]), feats[i].tobytes()) for i in range(40)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "y", "x"])
+    once = [b.to_pydict() for b in quality.learn([batch(sample)])]
+    assert once == [b.to_pydict() for b in quality.learn(batch(sample[::-1][i : i + 7] + sample[:3]) for i in range(0, 40, 7))]
+    assert list(quality.learn([])) == []
+
+
+def test_tokens_are_forgotten(docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    common.Tokens.get(path, False)
+    common.Tokens.forget(path, False)
+    assert (path, False) not in common.Tokens._of
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kept, dropped = (sorted(map(tuple, packing.pieces(docs, path, keep=k).select(columns).collect()), key=str) for k in (True, False))
+    assert kept == dropped
+
+
 def test_quality(spark, docs, none):
     good = [(i, text(60)) for i in range(300)]
     bad = [(i + 300, " ".join(f"{w}&&&" for w in text(60).split())) for i in range(300)]

@@ -128,6 +128,11 @@ class Tokens:
         cls._of[path, lead].most = most
         return cls._of[path, lead]
 
+    @classmethod
+    def forget(cls, path: str, lead: bool) -> None:
+        """Frees the worker's own instance with all that it remembers."""
+        cls._of.pop((path, lead), None)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 

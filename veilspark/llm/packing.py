@@ -79,7 +79,7 @@ def places(found: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
 
 
-def pieces(docs: DataFrame, tokenizer: str, lead: bool = False, capacity: int = CAPACITY, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, lead: bool = False, capacity: int = CAPACITY, end_id: int = 0, cache_words: int = CACHE_WORDS, keep: bool = True) -> DataFrame:
     """Cuts only documents longer than the capacity. part and k number the pieces of a length within their task."""
 
     def run(batches):
@@ -97,13 +97,16 @@ def pieces(docs: DataFrame, tokenizer: str, lead: bool = False, capacity: int =
                         rows.append((d, p, at, len(own), zlib.crc32(own.tobytes()), part, k))
                 cols = list(zip(*rows)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "k"])
+        if not keep:
+            Tokens.forget(tokenizer, lead)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, lead: bool = False, capacity: int = CAPACITY, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """One row per piece with its sequence and place. cache_words: words that a worker remembers (memory only)."""
-    cut = spill(pieces(docs, tokenizer, lead, capacity, end_id, cache_words), "pieces")
+def pack(docs: DataFrame, tokenizer: str, lead: bool = False, capacity: int = CAPACITY, end_id: int = 0, cache_words: int = CACHE_WORDS, keep: bool = True) -> DataFrame:
+    """One row per piece with its sequence and place. cache_words: words that a worker remembers; keep: also after its
+    task (memory only)."""
+    cut = spill(pieces(docs, tokenizer, lead, capacity, end_id, cache_words, keep), "pieces")
     per_task = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     first = per_task.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows

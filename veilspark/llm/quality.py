@@ -14,7 +14,6 @@ row, repeated rows too; further columns are ignored by score() and kept by keep_
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,18 +82,19 @@ def fit(y: np.ndarray, rows: list[np.ndarray], width: int = WIDTH) -> np.ndarray
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     sign = np.where(y == 1, 1.0, -1.0)
     norm = np.array([1 / np.sqrt(max(1, len(r))) for r in rows])
-    values = [ratio[r] * s for r, s in zip(rows, norm)]
-    square = np.array([v @ v + 1 for v in values])
+    values = lambda i: ratio[rows[i]] * norm[i]  # noqa: E731  made anew each time: all of them would be twice the rows
+    square = np.array([(v := values(i)) @ v + 1 for i in range(len(rows))])
     w, bias, alpha = np.zeros(width), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(7)
     for _ in range(EPOCHS):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            g = sign[i] * (w[rows[i]] @ values[i] + bias) - 1
+            v = values(i)
+            g = sign[i] * (w[rows[i]] @ v + bias) - 1
             a = min(max(alpha[i] - g / square[i], 0.0), COST)
             if a != alpha[i]:
                 d = (a - alpha[i]) * sign[i]
-                w[rows[i]] += d * values[i]
+                w[rows[i]] += d * v
                 bias += d
                 moved = max(moved, abs(a - alpha[i]))
                 alpha[i] = a
@@ -124,15 +124,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
 
     coded = rows.mapInArrow(code, "doc_id long, y int, x binary")
 
-    def learn(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["doc_id", "y"]).drop_duplicates(["doc_id", "y"])
-        w = fit(p["y"].to_numpy(), [np.frombuffer(x, np.int32) for x in p["x"]])
-        return pd.DataFrame({"w": [w.astype("<f4").tobytes()]})
-
-    got = coded.groupBy().applyInPandas(learn, "w binary").collect()
+    # one task reads the sample in small batches: as one group, the JVM and Python would hold it several times over
+    got = coded.repartition(1).mapInArrow(learn, "w binary").collect()
     return np.frombuffer(got[0]["w"], "<f4").astype(np.float64) if got else np.zeros(WIDTH + 1)
 
 
+def learn(batches):
+    """One row: the weights fitted to all rows of doc_id, y and x; no row without any."""
+    held: dict[tuple[int, int], bytes] = {}
+    for b in batches:
+        for d, y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            held[d, y] = min(x, held.get((d, y), x))  # repeated rows once, whatever their order
+    if held:
+        keys = sorted(held)
+        w = fit(np.array([y for _, y in keys]), [np.frombuffer(held[k], np.int32) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary())], ["w"])
+
+
 def scores(weights: np.ndarray, texts: list) -> np.ndarray:
     m = np.array([margin(weights, features(t or "")) for t in texts], dtype=np.float64)
     return 1 / (1 + np.exp(-np.clip(4 * m, -50, 50)))
