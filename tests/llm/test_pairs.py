@@ -276,6 +276,21 @@ def test_media_recall_by_size(lines, rows, half_size):
     assert not media.consensus(list(zip(own, own[1:] + own[:1]))).any()
 
 
+def test_stacked_images_give_what_each_gives_alone(monkeypatch):
+    """Images of all sizes searched together, in stacks of any height, have the key points of each alone."""
+    from veilspark.llm import media
+
+    r = np.random.default_rng(4)
+    images = [None, *(r.integers(0, 256, (h, w)).astype(np.uint8) for w in (3, 4, 5, 9, 40) for h in (*range(1, 14), 31, 60))]
+    images += [media.draw("<p>" + "</p><p>".join(text(n) for n in range(1, k)) + "</p>") for k in range(2, 25)]
+    alone = [media.keypoints(i) for i in images]
+    assert sum(len(t) > 3 for t in alone) > 20 and all(t.dtype == np.dtype("<u4") for t in alone)
+    for rows in (1, 200, 100_000):
+        monkeypatch.setattr(media, "STACK", rows)
+        assert all(np.array_equal(a, b) for a, b in zip(alone, media.keypoints_of(images), strict=True))
+    assert media.keypoints_of([]) == []
+
+
 def test_small_and_blank_images_equal_their_copies(spark):
     from veilspark.llm import media
 

@@ -44,6 +44,7 @@ _rng = np.random.default_rng(11)
 TESTS = _rng.integers(-PATCH, PATCH + 1, size=(32 * BANDS, 4))
 FULL = 0.85  # share of a patch that isn't blank: shapes of blank places are the same in many images
 BORDER = 10
+STACK = 512  # rows of pictures that are searched together (speed only)
 KEPT = 6  # details of each scale that an image keeps at least, the fullest ones, however blank they are
 TAG, BLOCK, HIDDEN = re.compile(r"<[^>]*>"), re.compile(r"</?(?:p|div|h\d|li|ul|tr|table|article|nav|br)\b[^>]*>"), re.compile(r"<(script|style|title)\b.*?</\1>|<!--.*?-->", re.S)
 
@@ -68,9 +69,7 @@ def draw(html: str | None) -> np.ndarray | None:
             line = ""
     if not lines:
         return None
-    code = np.zeros((len(lines), WIDTH), np.uint32)
-    for i, x in enumerate(lines):
-        code[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    code = np.frombuffer("".join([x.ljust(WIDTH, "\0") for x in lines]).encode("utf-32-le"), np.uint32).reshape(-1, WIDTH)
     ink = np.where((code == 0) | (code == 32), 0, 1).astype(np.uint8)
     image = np.full((4 * len(lines), WIDTH), 255, np.uint8)
     for r, m in enumerate((37, 101, 59)):
@@ -99,40 +98,95 @@ def _highest(a: np.ndarray, n: int) -> np.ndarray:
 
 def keypoints(image: np.ndarray | None) -> np.ndarray:
     """Rows of x, y, scale and BANDS numbers of 32 bits: an image's corners, of equal ones the topmost."""
-    found = []
+    return keypoints_of([image])[0]
+
+
+def keypoints_of(images: list[np.ndarray | None]) -> list[np.ndarray]:
+    """keypoints() of each image. Images of one width are searched together, one below the other."""
+    out = [np.zeros((0, 3 + BANDS), "<u4")] * len(images)
+    stacks: dict[int, list[int]] = {}
+    rows: dict[int, int] = {}
+    full: list[list[int]] = []
+    for k, image in enumerate(images):
+        if image is None or min(image.shape) < 4:
+            continue
+        w = image.shape[1]
+        stacks.setdefault(w, []).append(k)
+        rows[w] = rows.get(w, 0) + image.shape[0] + 2 * BORDER
+        if rows[w] >= STACK:
+            full.append(stacks.pop(w))
+            rows[w] = 0
+    for own in [*full, *stacks.values()]:
+        for i, found in zip(own, _stacked([images[i] for i in own])):
+            out[i] = found
+    return out
+
+
+def _stacked(images: list[np.ndarray]) -> list[np.ndarray]:
+    """keypoints() of each image; all have one width, and four rows and columns at least."""
+    found, of, total = [], [], len(images)
+    own = np.arange(total)
     edge = int(PATCH * 1.5) + 2
     for scale in (0, 1):
-        if image is None or min(image.shape) < 4:
+        if scale:
+            w = (images[0].shape[1] // 2) * 2
+            images = [i[: (i.shape[0] // 2) * 2, :w].astype(np.float32) for i in images]
+            images = [(i[::2, ::2] + i[1::2, ::2] + i[::2, 1::2] + i[1::2, 1::2]) / 4 for i in images]
+            own = np.array([k for k, i in zip(own.tolist(), images) if min(i.shape) >= 4], dtype=np.int64)
+            images = [i for i in images if min(i.shape) >= 4]
+        if not images:
             break
-        # blank space around the picture, so that details at its border count
-        s = _sum(np.pad(image.astype(np.float32), BORDER, constant_values=255), 3)  # s[y, x] is the square around (x + 1, y + 1)
-        gx, gy = s[1:-1, 2:] - s[1:-1, :-2], s[2:, 1:-1] - s[:-2, 1:-1]
+        # blank space around each picture, so that details at its border count
+        h, w = np.array([i.shape[0] for i in images]), images[0].shape[1]
+        top = np.cumsum(h + 2 * BORDER) - (h + 2 * BORDER)
+        sheet = np.full((int((h + 2 * BORDER).sum()), w + 2 * BORDER), 255, np.float32)
+        for i, y in zip(images, top.tolist()):
+            sheet[y + BORDER : y + BORDER + i.shape[0], BORDER:-BORDER] = i
+        s = _sum(sheet, 3)  # s[y, x] is the square around (x + 1, y + 1)
+        t = s[edge - 3 : 3 - edge, edge - 3 : 3 - edge]
+        if min(t.shape) < 5:
+            continue
+        gx, gy = t[1:-1, 2:] - t[1:-1, :-2], t[2:, 1:-1] - t[:-2, 1:-1]
         xx, yy, xy = _sum(gx * gx, 3), _sum(gy * gy, 3), _sum(gx * gy, 3)
-        r = (xx * yy - xy * xy) / (xx + yy + 1)  # r[y, x] belongs to (x + 3, y + 3)
-        inner = r[edge - 3 : r.shape[0] - edge + 3, edge - 3 : r.shape[1] - edge + 3]
-        best = _highest(np.pad(inner, RADIUS, constant_values=-1), 2 * RADIUS + 1)
-        y, x = np.nonzero((inner == best) & (inner > CORNER))
-        if len(x):
-            y, x = y + edge, x + edge
-            off = np.arange(-PATCH, PATCH + 1)
-            p = 9 * 255 - s[(y - 1)[:, None, None] + off[:, None], (x - 1)[:, None, None] + off]
-            ink = (p > MARGIN).mean(axis=(1, 2))
-            full = ink >= min(FULL, np.sort(ink)[-KEPT:][0])
-            x, y, p = x[full], y[full], p[full]
-            angle = np.arctan2((p.sum(axis=2) * off).sum(axis=1), (p.sum(axis=1) * off).sum(axis=1))
-            c, d = np.cos(angle)[:, None], np.sin(angle)[:, None]
-            at = lambda u, v: s[(y - 1)[:, None] + np.rint(d * u + c * v).astype(np.int32), (x - 1)[:, None] + np.rint(c * u - d * v).astype(np.int32)]
-            bits = at(TESTS[:, 0], TESTS[:, 1]) + MARGIN < at(TESTS[:, 2], TESTS[:, 3])
-            bands = np.packbits(bits, axis=1).view(">u4")
-            found.append(np.concatenate([np.stack([(x - BORDER) << scale, (y - BORDER) << scale, np.full(len(x), scale)], axis=1), bands], axis=1).astype("<u4"))
-        h, w = (image.shape[0] // 2) * 2, (image.shape[1] // 2) * 2
-        image = image[:h, :w].astype(np.float32)
-        image = (image[::2, ::2] + image[1::2, ::2] + image[::2, 1::2] + image[1::2, 1::2]) / 4
+        r = (xx * yy - xy * xy) / (xx + yy + 1)  # r[y, x] belongs to (x + edge, y + edge)
+        for a, b in zip((top + h + 2 * BORDER - 2 * edge).tolist(), top[1:].tolist()):
+            r[a:b] = -1  # between two pictures
+        framed = np.full((r.shape[0] + 2 * RADIUS, r.shape[1] + 2 * RADIUS), -1, np.float32)
+        framed[RADIUS:-RADIUS, RADIUS:-RADIUS] = r
+        best = _highest(framed, 2 * RADIUS + 1)
+        high = np.flatnonzero(r > CORNER)
+        y, x = np.divmod(high[r.ravel()[high] == best[high // r.shape[1], high % r.shape[1]]], r.shape[1])
+        if not len(x):
+            continue
+        k = np.searchsorted(top, y, side="right") - 1
+        y, x = y + edge, x + edge
+        off, width, flat = np.arange(-PATCH, PATCH + 1), s.shape[1], s.ravel()
+        p = 9 * 255 - flat[((y - 1) * width + x - 1)[:, None, None] + (off[:, None] * width + off)]
+        ink = (p > MARGIN).mean(axis=(1, 2))
+        n = np.bincount(k, minlength=len(images))
+        least = np.append(ink[np.lexsort((-ink, k))], 0)[np.cumsum(n) - n + np.minimum(n, KEPT) - 1]  # not read where n is 0
+        full = ink >= np.minimum(FULL, least[k])
+        x, y, p, k = x[full], y[full], p[full], k[full]
+        angle = np.arctan2((p.sum(axis=2) * off).sum(axis=1), (p.sum(axis=1) * off).sum(axis=1))
+        c, d = np.cos(angle)[:, None], np.sin(angle)[:, None]
+        middle = ((y - 1) * width + x - 1)[:, None]
+        at = lambda u, v: flat[middle + np.rint(d * u + c * v).astype(np.int32) * width + np.rint(c * u - d * v).astype(np.int32)]
+        bits = at(TESTS[:, 0], TESTS[:, 1]) + MARGIN < at(TESTS[:, 2], TESTS[:, 3])
+        bands = np.packbits(bits, axis=1).view(">u4")
+        of.append(own[k])
+        found.append(np.concatenate([np.stack([(x - BORDER) << scale, (y - top[k] - BORDER) << scale, np.full(len(x), scale)], axis=1), bands], axis=1).astype("<u4"))
     if not found:
-        return np.zeros((0, 3 + BANDS), "<u4")
-    found = np.concatenate(found)  # by scale, then from top to bottom
+        return [np.zeros((0, 3 + BANDS), "<u4")] * total
+    of, found = np.concatenate(of), np.concatenate(found)
+    order = np.argsort(of, kind="stable")  # by image, then scale, then from top to bottom
+    of, found = of[order], found[order]
     code = found[:, 3].astype(np.uint64) << np.uint64(32) | found[:, 4].astype(np.uint64)
-    return found[np.sort(np.unique(mix(code) ^ found[:, 2], return_index=True)[1])]
+    code = mix(code) ^ found[:, 2]
+    order = np.lexsort((code, of))
+    first = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (code[order][1:] != code[order][:-1])])
+    kept = np.sort(order[first])
+    of, found = of[kept], found[kept]
+    return np.split(found, np.searchsorted(of, np.arange(1, total)))
 
 
 def describe(rows: DataFrame, paint, key: str, column: str) -> DataFrame:
@@ -141,12 +195,12 @@ def describe(rows: DataFrame, paint, key: str, column: str) -> DataFrame:
     def run(batches):
         for b in batches:
             n, digest, points = [], [], []
-            for v in b.column(1).to_pylist():
-                image = paint(v)
-                t = keypoints(image)
-                n.append(len(t))
-                digest.append(xxhash.xxh3_128_digest(image.tobytes() + image.shape[1].to_bytes(4, "little")) if image is not None else None)
-                points.append(t.tobytes() if len(t) else None)
+            for at in range(0, b.num_rows, 64):
+                images = [paint(v) for v in b.column(1).slice(at, 64).to_pylist()]
+                for image, t in zip(images, keypoints_of(images)):
+                    n.append(len(t))
+                    digest.append(xxhash.xxh3_128_digest(image.tobytes() + image.shape[1].to_bytes(4, "little")) if image is not None else None)
+                    points.append(t.tobytes() if len(t) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(points, pa.binary())], ["id", "n_keypoints", "digest", "points"])
 
     return rows.select(F.col(key).cast("long").alias("id"), column).mapInArrow(run, "id long, n_keypoints long, digest binary, points binary")
