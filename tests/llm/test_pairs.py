@@ -291,6 +291,80 @@ def test_stacked_images_give_what_each_gives_alone(monkeypatch):
     assert media.keypoints_of([]) == []
 
 
+def made_images(groups, of_group, common, seed=3):
+    """Images with `common` details at different places of each, and groups that share the rest of theirs with small shifts."""
+    from veilspark.llm import media
+
+    r = np.random.default_rng(seed)
+    shared = r.integers(0, 1 << 32, (common, media.BANDS))
+    images = {}
+    for group in range(groups):
+        place, bands = r.integers(0, 900, (9, 2)), r.integers(0, 1 << 32, (9, media.BANDS))
+        for k in range(of_group):
+            own = np.concatenate([place + 20 + r.integers(-5, 6, (9, 2)), np.zeros((9, 1), int), bands], axis=1)
+            everywhere = np.concatenate([r.integers(0, 900, (common, 2)), np.zeros((common, 1), int), shared], axis=1)
+            images[group * 100 + k] = np.concatenate([everywhere, own]).astype("<u4").tobytes()
+    return images
+
+
+def test_images_with_one_common_detail_are_not_compared(spark, monkeypatch):
+    """One detail that all images have makes a large bucket; a link needs more, so no pair is verified for it."""
+    from veilspark.llm import media
+
+    monkeypatch.setattr(media, "HOT", 5)
+    compared, keep = {}, media.spill
+    monkeypatch.setattr(media, "spill", lambda df, name, *x: compared.setdefault(name, []).append((out := keep(df, name, *x)).count()) or out)
+    images = made_images(40, 1, 1)
+    d = spark.createDataFrame([(i, bytearray(p)) for i, p in images.items()], "rep long, points binary")
+    assert media.links(d).count() == 0
+    assert compared["large"] == [40 * media.BANDS] and compared["pairs"] == [0, 0]
+
+
+def test_points_are_dealt_once(spark, monkeypatch):
+    """The details of both images of a pair come from one shuffle of all of them."""
+    from veilspark.llm import media
+
+    plans, keep = [], media.spill
+    monkeypatch.setattr(media, "spill", lambda df, name, *x: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name, *x))
+    images = made_images(3, 4, 2)
+    d = keep(media.packed(spark.createDataFrame([(i, bytearray(p)) for i, p in images.items()], "rep long, points binary")), "packed")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(before, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        media._verify(spark.createDataFrame([(0, 1), (100, 101)], "a long, b long"), d)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plans[-1].count("ReusedExchange") == 1 and plans[-1].count("Exchange hashpartitioning(") == 4  # pairs, points, both; points again
+
+
+def test_packed_points_are_whole(spark):
+    from veilspark.llm import media
+
+    images = [*made_images(2, 2, 3).values(), b"", None]
+    d = media.packed(spark.createDataFrame([(k, p and bytearray(p), "x") for k, p in enumerate(images)], "rep long, points binary, further string"))
+    got = d.orderBy("rep").toArrow()
+    assert got["points"].combine_chunks()[:4].to_pylist() != images[:4] and got["further"].to_pylist() == ["x"] * 6
+    assert media.unpacked(got["points"].combine_chunks()[:5]) == images[:5] and got["points"][5].as_py() is None
+    assert d.limit(0).count() == 0 and media.packed(d.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_links_do_not_depend_on_order_or_bucket_sizes(spark, monkeypatch, seed):
+    from veilspark.llm import graph, media
+
+    images = made_images(5, 6, 2, seed)
+    pairs = [(a, b) for a in images for b in images if a != b]
+    linked = dict(zip(pairs, media.consensus([(images[a], images[b]) for a, b in pairs]).tolist()))
+    assert 0 < sum(linked.values()) < len(pairs) and all(linked[a, b] == linked[b, a] for a, b in pairs)
+    want = dict(zip(images, classes(list(images), lambda i, j: linked[list(images)[i], list(images)[j]])))
+    d = spark.createDataFrame([(i, bytearray(p)) for i, p in images.items()], "rep long, points binary")
+    for hot in (2, 32):
+        monkeypatch.setattr(media, "HOT", hot)
+        assert {i: i for i in images} | {x["node"]: x["root"] for x in graph.components(media.links(d)).collect()} == want
+
+
 def test_small_and_blank_images_equal_their_copies(spark):
     from veilspark.llm import media
 
