@@ -249,6 +249,43 @@ def test_ngram_join_with_frequent_ngrams(spark, monkeypatch):
     assert {got[i] for i in range(60)} == {0} and all(got[100 + i] == 100 + i for i in range(50))
 
 
+@pytest.mark.parametrize("n,num,den,most", [(3, 9, 10, 0), (5, 4, 5, 0), (3, 9, 10, 200_000)])
+def test_frequent_ngrams_beyond_the_list_make_no_blocks(spark, monkeypatch, n, num, den, most):
+    """Texts that share a frequent passage only are in no block, whether the list of frequent n-grams holds it or not; near
+    copies that differ in a word, and short texts, of which all n-grams may be frequent, are linked as by brute force."""
+    own = random.Random(9)
+    word = lambda k: "".join(own.choice("abcdefgh") for _ in range(k))
+    passage, base, short = [word(14) for _ in range(n + 3)], [word(6) for _ in range(90)], [word(7) for _ in range(14)]
+    d = [[word(5) for _ in range(30)] + passage + [word(5) for _ in range(30)] for _ in range(40)]
+    d += [base[:k] + [word(6)] + base[k + 1 :] for k in range(0, 90, 5)] + [base]
+    d += [short[: 8 + k % 6] + [word(4)] * (k % 3 == 0) for k in range(30)] + [passage[:k] for k in range(1, len(passage))]
+    sets = {i: {tuple(t[j : j + n]) for j in range(len(t) - n + 1)} if len(t) >= n else {tuple(t)} for i, t in enumerate(d)}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if v == y else v for k, v in root.items()}
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    monkeypatch.setattr(ngram_join, "ORDER_LAST", most)
+    blocks, join_blocks = [], ngram_join.join_blocks
+    monkeypatch.setattr(ngram_join, "join_blocks", lambda docs, members, *rest: blocks.extend(members.collect()) or join_blocks(docs, members, *rest))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(d)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(table, n, num, den).collect()} == root
+    assert not [r for r in blocks if r["rep"] < 40] and {r["rep"] for r in blocks} >= {40, 58}
+
+
+def test_counting_frequent_ngrams_leaves_no_shuffle_files(spark):
+    files = lambda: {f for f in str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|")).split("|") if "/shuffle_" in f}
+    d = spark.createDataFrame([(i, f"{text(40)} {PASSAGE}") for i in range(50)], "doc_id long, text string")
+    before = files()
+    assert len(ngram_join.frequent(d, 3, 9, 10)) > 0
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
 def test_language(spark, docs, none):
     other = ["".join(rng.choice("nopqrstu") for _ in range(rng.randint(2, 9))) for _ in range(300)]
     d = [(i, text(30), "aa") for i in range(90)] + [(100 + i, " ".join(rng.choice(other) for _ in range(30)), "bb") for i in range(90)]

@@ -2,15 +2,16 @@
 
 A document's set of word n-grams is sorted in one global order: frequent n-grams last, then long before short, then by
 hash. Documents with equal sets become one class. Two sets can only be similar enough if they share a known number of
-n-grams among the first few of each (their prefixes), so classes are linked by counting shared prefix n-grams, or, for
-frequent ones, chained by set size; a connected component of these candidate links is a block. Each block's sets go into a trie; every
+n-grams among the first few of each (their prefixes), so classes are linked by counting shared prefix n-grams. Frequent
+ones aren't counted in pairs: a pair may lack as many as both sets have of them, and only classes that have enough of them to
+be similar by these alone are chained by set size; a connected component of these candidate links is a block. Each block's sets go into a trie; every
 set walks the trie of its block, shares the overlap counted along common branches, and leaves a subtree as soon as the
 lengths that remain can't reach the needed overlap, or all of the subtree is already in its component. Blocks beyond
 BLOCK_NGRAMS are dealt out as pairs of shards, which loses no pair. No pair list is ever built: links are emitted only
 where they join two components.
 
 The order's frequent n-grams are those with more than HOT prefix entries, at most ORDER_LAST of them; this bound
-changes only the order, never a result.
+changes only the order, never a result: further ones stay in the prefixes and are frequent n-grams there.
 
 Defined results: null, empty and word-less texts have an empty set, link with nothing and are their own component; a
 text with fewer words than n counts as one n-gram; equal texts are linked; rows of equal doc_id are kept; a null doc_id
@@ -92,11 +93,12 @@ def frequent(docs: DataFrame, n: int, num: int, den: int, rounds: int = 2) -> np
     """
     last = np.zeros(0, np.uint64)
     for _ in range(rounds):
-        last = np.union1d(last, _frequent(docs, n, num, den, last))[:ORDER_LAST]
+        if len(last) < ORDER_LAST:
+            last = np.union1d(last, _frequent(docs, n, num, den, last, ORDER_LAST - len(last)))
     return last
 
 
-def _frequent(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> np.ndarray:
+def _frequent(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray, most: int) -> np.ndarray:
     def run(batches):
         kept, size = [], 0
 
@@ -121,8 +123,10 @@ def _frequent(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) ->
             yield from flush()
 
     counts = docs.select("text").mapInArrow(run, "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).filter(F.col("c") > HOT)
-    top = counts.orderBy(F.desc("c"), "v").limit(ORDER_LAST).select("v").toPandas()["v"].to_numpy(dtype=np.int64)
-    return np.sort(top.view(np.uint64))
+    top = spill(counts.orderBy(F.desc("c"), "v").limit(most).select("v"), "frequent")  # what was shuffled for it goes at once
+    v = top.toPandas()["v"].to_numpy(dtype=np.int64)
+    discard(top)
+    return np.sort(v.view(np.uint64))
 
 
 def profiles(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> DataFrame:
@@ -159,14 +163,17 @@ def candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) whose components hold every pair of classes that may be similar.
 
     Two similar sets share at least the smaller of their extra() numbers of prefix n-grams. Where an n-gram is shared by
-    at most HOT classes its pairs of fitting sizes are counted, and those with enough n-grams in common are links. The
-    classes of a more frequent n-gram are chained by set size instead: each is linked to the next one.
+    at most HOT classes its pairs of fitting sizes are counted. More frequent n-grams aren't counted: a pair is a link if
+    those counted and the frequent ones that each of the two has could be enough. So a pair without any counted one can
+    only be similar if both have at least as many frequent ones as they must share; such classes, and no others, are
+    chained by set size instead: of each frequent n-gram, each is linked to the next one.
     """
     spark = classes.sparkSession
     parts = shuffle_partitions(spark)
     rows = _entries(classes)
 
     def pairs(batches):
+        """Pairs with their counts; b is null for an entry of a frequent n-gram: its class, its size and the n-gram."""
         held, left = [], None
 
         def out(v, s, r):
@@ -174,16 +181,20 @@ def candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
             group = np.repeat(np.diff(edge), np.diff(edge))
             for d in range(1, int(min(group.max(initial=0), HOT))):
                 at = np.flatnonzero((v[d:] == v[:-d]) & (group[d:] <= HOT) & (s[:-d] * den >= s[d:] * num) & (r[d:] != r[:-d]))
-                yield r[at], r[at + d], np.minimum(extra(s[at]), extra(s[at + d]))
-            at = np.flatnonzero((group[1:] > HOT) & (v[1:] == v[:-1]) & (s[:-1] * den >= s[1:] * num) & (r[1:] != r[:-1]))
-            yield r[at], r[at + 1], np.zeros(len(at), np.int64)
+                if len(at):
+                    held.append((r[at], r[at + d], np.minimum(extra(s[at]), extra(s[at + d]))))
+            at = np.flatnonzero(group > HOT)
+            for i in range(0, len(at), 200_000):
+                own = at[i : i + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(r[own]), pa.nulls(len(own), pa.int64()), pa.array(s[own]), pa.array(v[own])], names)
 
         def flush():
             a, b, need = (np.concatenate(x) for x in zip(*held))
-            key, at, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), need], axis=1), axis=0, return_index=True, return_counts=True)
+            key, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), need], axis=1), axis=0, return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(key[:, 2].copy()), pa.array(n)], ["a", "b", "need", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(key[:, 2].copy()), pa.array(n)], names)
 
+        names = ["a", "b", "need", "n"]
         for b in batches:
             v, s, r = (b.column(k).to_numpy() for k in range(3))
             if left is not None:
@@ -192,17 +203,30 @@ def candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             cut = int(np.searchsorted(v, v[-1]))  # the last n-gram may go on in the next batch
             left = (v[cut:], s[cut:], r[cut:])
-            held += [x for x in out(v[:cut], s[:cut], r[:cut]) if len(x[0])]
+            yield from out(v[:cut], s[:cut], r[:cut])
             if sum(len(x[0]) for x in held) > 2_000_000:
                 yield flush()
         if left is not None:
-            held += [x for x in out(*left) if len(x[0])]
+            yield from out(*left)
         if held:
             yield flush()
 
     rare = rows.filter("v >= 0").repartition(parts, "v").sortWithinPartitions("v", "size", "rep")
-    shared = rare.mapInArrow(pairs, "a long, b long, need long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
-    return shared.filter("n >= need").select("a", "b").unionByName(chains(rows.filter("v < 0"), num, den))
+    got = spill(rare.mapInArrow(pairs, "a long, b long, need long, n long"), "pairs")
+    late = rows.filter("v < 0").select("v", "size", "rep")
+    hot = spill(late.unionByName(got.filter("b IS NULL").select(F.col("n").alias("v"), F.col("need").alias("size"), F.col("a").alias("rep"))), "hot")
+    have = spill(hot.groupBy("rep").agg(F.count(F.lit(1)).alias("h"), F.min("size").alias("size")), "have")
+    shared = got.filter("b IS NOT NULL").join(have.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a", "left")
+    shared = shared.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.coalesce(F.max("ha"), F.lit(0)).alias("ha"))
+    shared = shared.filter("n + ha >= need").join(have.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b", "left")
+    shared = spill(shared.filter("n + least(ha, coalesce(hb, 0)) >= need").select("a", "b"), "shared")
+    discard(got)
+    # what a class must share with one of the smallest size that fits
+    alone = have.filter(f"h >= greatest(1, (size * {num} + {den - 1}) div {den} div 10)").select("rep")
+    linked = chains(hot.join(alone, "rep", "left_semi").select("v", "size", "rep"), num, den)
+    discard(hot)
+    discard(have)
+    return shared.unionByName(linked)
 
 
 def chains(rows: DataFrame, num: int, den: int) -> DataFrame:
