@@ -286,6 +286,16 @@ def test_counting_frequent_ngrams_leaves_no_shuffle_files(spark):
     assert not left
 
 
+def test_texts_that_cannot_be_members_are_not_joined(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"t{i}") for i in [*range(-500, 2000), 1 << 62, None, 7]], "doc_id long, text string")
+    members = spark.createDataFrame([(i,) for i in [-3, 0, 7, 7, 1999, 1 << 62]], "rep long")
+    kept = [r["doc_id"] for r in ngram_join.may_be_among(texts, members).collect()]
+    assert {-3, 0, 7, 1999, 1 << 62} <= set(kept) and kept.count(7) == 2 and len(kept) < 500
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 64)
+    assert {-3, 0, 7, 1999, 1 << 62} <= {r["doc_id"] for r in ngram_join.may_be_among(texts, members).collect()}
+    assert ngram_join.may_be_among(texts, members.filter("rep = 5")).count() == 0
+
+
 def test_language(spark, docs, none):
     other = ["".join(rng.choice("nopqrstu") for _ in range(rng.randint(2, 9))) for _ in range(300)]
     d = [(i, text(30), "aa") for i in range(90)] + [(100 + i, " ".join(rng.choice(other) for _ in range(30)), "bb") for i in range(90)]

@@ -33,6 +33,7 @@ from .words import SPACED, chunks, mix, words
 HOT, ORDER_LAST = 32, 200_000
 BLOCK_NGRAMS = 4_000_000
 COUNTED = 1_000_000  # prefix n-grams that a task counts at once (memory only)
+FILTER_BITS = 1 << 25  # of the filter that keeps texts out of a shuffle (more ids let more texts pass, the join decides)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 LATE = np.uint64(1 << 63)
 
@@ -350,6 +351,26 @@ def block_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> l
     return [(i, root[k]) for i, k in zip(own.tolist(), label.tolist()) if root[k] != i]
 
 
+def may_be_among(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id has the hash of a member's; so most other texts aren't shuffled for a join."""
+    bits, n = 64, members.count()
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = members.select(place("rep").alias("h")).select(F.expr("h div 64").alias("w"), F.expr("shiftleft(1L, cast(h % 64 AS int))").alias("b"))
+    known = spill(at.groupBy("w").agg(F.bit_or("b").alias("b")), "filter")
+    got = known.toPandas()
+    discard(known)
+    held = np.zeros(bits // 64, np.int64)
+    held[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+
+    def there(h: pa.Array) -> pa.Array:
+        x = h.to_numpy(zero_copy_only=False)
+        return pa.array((held[x >> 6] >> (x & 63)) & 1 == 1)
+
+    return texts.filter(F.arrow_udf(there, "boolean")(place("doc_id")))
+
+
 def join_blocks(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> DataFrame:
     """members: rep, size, block. Links (a, b) inside blocks."""
     sizes = members.groupBy("block").agg(F.sum("size").alias("w"))
@@ -357,7 +378,7 @@ def join_blocks(docs: DataFrame, members: DataFrame, n: int, num: int, den: int,
     dealt = members.join(sizes, "block").withColumn("of", shards).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     dealt = dealt.select("rep", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    texts = _texts(docs).join(dealt, F.col("doc_id") == F.col("rep")).select("block", "i", "j", "rep", "text")
+    texts = may_be_among(_texts(docs), members).join(dealt, F.col("doc_id") == F.col("rep")).select("block", "i", "j", "rep", "text")
     ordered = texts.repartition(shuffle_partitions(docs.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep")
 
     def run(batches):
